@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.runtime import col, stage_table
+from lexforge.runtime import col, join_back, stage_table
 
 BUCKETS = 64
 #: Digests with more rows than both this and a HOT_SHARE-th of all rows are joined back by broadcast: HOT_SHARE of them at most.
@@ -73,9 +73,7 @@ class DigestIndex:
 
 def _to_rows(rows: DataFrame, decided: DataFrame, hot: int) -> DataFrame:
     """Each row with what was decided for its digest; digests with more than ``hot`` rows go by broadcast."""
-    few = F.broadcast(decided.filter(F.col("copies") > hot).drop("copies"))
-    many = decided.filter(F.col("copies") <= hot).drop("copies")
-    found = rows.join(few, "digest").unionByName(rows.join(few.select("digest"), "digest", "left_anti").join(many, "digest"))
+    found = join_back(rows, decided, "digest", "copies", hot)
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -27,9 +27,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a group that the estimate is made from, number of concentration steps, and least rows of a group that gets an estimate of its own.
 SUPPORT, STEPS, MIN_GROUP = 0.75, 8, 40
 #: Least standard deviation of each statistic, so that a constant one leaves the determinant above zero.
-FLOORS = {"word_length": 0.05, "symbols": 0.35, "dup_lines": 0.25, "repeats": 0.25}
+FLOORS = {"word_length": 0.05, "symbols": 0.35, "dup_lines": 0.25, "repeats": 0.5}
 #: Squared distance beyond which a document is an outlier.
-CUTOFF = 150.0
+CUTOFF = 40.0
 #: Relative error of the distance quantile that selects the nearest part.
 QUANTILE_ACCURACY = 2000
 
