@@ -73,6 +73,17 @@ def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_back(rows: DataFrame, groups: DataFrame, key: str, copies: str, hot: int, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``groups`` (one row for each ``key``) says of them, without a hot task.
+
+    Keys with more than ``hot`` rows, of which there are at most rows / hot, go
+    by broadcast; the rows of all others are shuffled to their group.
+    """
+    few = F.broadcast(groups.filter(F.col(copies) > hot))
+    many = groups.filter(F.col(copies) <= hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key, how), allowMissingColumns=True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     name, n = f"_lf_{stem}", 0
