@@ -1,35 +1,44 @@
-"""All registered queries of the library's own operators, with their SQL."""
+"""Registry of the queries of the library's own operators, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lexforge.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, query: Query, sql: str | None = None) -> None:
-    if name in _QUERIES:
-        raise ValueError(f"registered twice: {name}")
-    _QUERIES[name] = query
-    if sql is not None:
-        _SQL[name] = sql
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name."""
+
+    def put(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"registered twice: {f.__name__}")
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from lexforge.plans import corpus, joining, numeric, reporting, structure  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    """Vocabulary of the documents by falling frequency."""
-    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("token")).groupBy("token").count()
+    """The vocabulary of the documents."""
+    return queries()["vocab_topk"](spark, sf_dir)

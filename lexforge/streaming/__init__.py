@@ -1,0 +1 @@
+"""Stateful and event-time operators for Structured Streaming; all run on batch frames' schemas, too."""
