@@ -170,7 +170,9 @@ def _container(chars: dict[tuple[str, ...], int]) -> tuple[str, ...]:
     for prefix, n in under.items():
         if n >= COVER * total and len(prefix) > len(best) and (not prefix or prefix[-1].split(".")[0] not in ("p", "b", "i", "em", "strong", "span", "a", "u", "pre", "font")):
             best = prefix
-    return best
+    # An element that is declared as the article holds all of it, lists and tables, too.
+    declared = [i for i, step in enumerate(best) if step.split(".")[0] in ("article", "main")]
+    return best[: declared[-1] + 1] if declared else best
 
 
 def main_text(page: str | None) -> str:
@@ -189,12 +191,20 @@ def main_text(page: str | None) -> str:
     content = {p for p in scores if scores[p] >= THRESHOLD * mean and linked[p] < LINKED * chars[p]} or set(chars)
     top = _container({p: chars[p] for p in content})
     bare = not top or top[-1].split(".")[0] in ("html", "body")
-    chosen = content if bare else {p for p in chars if p[: len(top)] == top}
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[Node]] = {}
     for x in found:
-        if not x.outside and (x.path in chosen or _headline(x.path, top, bare)):
-            blocks.setdefault(x.block, []).append(x.text)
-    lines = [" ".join("".join(parts).split()) for _, parts in sorted(blocks.items())]
+        if not x.outside:
+            blocks.setdefault(x.block, []).append(x)
+
+    def wanted(block: list[Node]) -> bool:
+        if any(_headline(x.path, top, bare) for x in block):
+            return True
+        if not bare:
+            return any(x.path[: len(top)] == top for x in block)
+        # Without a container a block goes by the greater part of it, so that what is set off inside a paragraph stays.
+        return 2 * sum(len(x.text.strip()) for x in block if x.path in content) > sum(len(x.text.strip()) for x in block)
+
+    lines = [" ".join("".join(x.text for x in block).split()) for _, block in sorted(blocks.items()) if wanted(block)]
     return "\n".join(x for x in lines if x)
 
 
