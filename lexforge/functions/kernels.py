@@ -16,6 +16,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once for the row, not again in each turn of an inner lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # --- metrics -----------------------------------------------------------------
 
 
@@ -161,9 +166,17 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / _sum(F.transform(scores, lambda y: F.exp(y - top))))
+    def over(e: Column) -> Column:
+        return let(_sum(e), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(F.array_max(scores), lambda top: let(F.transform(scores, lambda x: F.exp(x - top)), over))
+
+
+def log_softmax(scores: Column) -> Column:
+    def shifted(top: Column) -> Column:
+        return let(top + F.log(_sum(F.transform(scores, lambda x: F.exp(x - top)))), lambda norm: F.transform(scores, lambda x: x - norm))
+
+    return let(F.array_max(scores), shifted)
 
 
 def masked_softmax(scores: Column, lengths: Column) -> Column:
@@ -185,15 +198,16 @@ def sparsemax_threshold(scores: Column) -> Column:
 
 
 def sparsemax(scores: Column) -> Column:
-    tau = sparsemax_threshold(scores)
-    return F.transform(scores, lambda z: F.greatest(z - tau, F.lit(0.0)))
+    return let(sparsemax_threshold(scores), lambda tau: F.transform(scores, lambda z: F.greatest(z - tau, F.lit(0.0))))
 
 
 def sparsemax_loss(scores: Column, target: Column) -> Column:
     """``target`` is a place from 0."""
-    tau = sparsemax_threshold(scores)
-    inside = F.filter(scores, lambda z: z > tau)
-    return F.greatest(_sum(F.transform(inside, lambda z: (z * z - tau * tau) / 2)) - F.get(scores, target) + 0.5, F.lit(0.0))
+    def loss(tau: Column) -> Column:
+        inside = F.filter(scores, lambda z: z > tau)
+        return F.greatest(_sum(F.transform(inside, lambda z: (z * z - tau * tau) / 2)) - F.get(scores, target) + 0.5, F.lit(0.0))
+
+    return let(sparsemax_threshold(scores), loss)
 
 
 def smoothed_target(classes: int, smoothing: float) -> tuple[float, float]:

@@ -125,8 +125,7 @@ def mean_pool_by_label(spark, sf_dir):
 WITH e AS (SELECT vec_id, label, {VS} AS v FROM embeddings), l AS (SELECT vec_id, label, list_transform(v, lambda x: x - list_max(v) - ln(list_sum(list_transform(v, lambda y: exp(y - list_max(v)))))) AS lp FROM e)
 SELECT vec_id, CASE WHEN label = 1 THEN 0 ELSE round(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN i = 1 THEN 0 WHEN i = label THEN 0.9 * (ln(0.9) - lp[i + 1]) ELSE 0.1 / 62 * (ln(0.1 / 62) - lp[i + 1]) END)), 5) END AS loss FROM l""")
 def label_smoothing_loss(spark, sf_dir):
-    lp = F.transform(F.col("v"), lambda x: x - F.array_max("v") - F.log(F.aggregate(F.transform("v", lambda y: F.exp(y - F.array_max("v"))), F.lit(0.0), lambda s, y: s + y)))
-    rows = vectors(spark, sf_dir).select("vec_id", "label", doubles().alias("v")).select("vec_id", "label", lp.alias("lp"))
+    rows = vectors(spark, sf_dir).select("vec_id", "label", doubles().alias("v")).select("vec_id", "label", K.log_softmax(F.col("v")).alias("lp"))
     return rows.select("vec_id", F.round(K.label_smoothing_loss(F.col("lp"), F.col("label"), 1, 64, 0.1), 5).alias("loss"))
 
 
