@@ -19,12 +19,11 @@ import zlib
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.tokenize import WordCache
+from lexforge.llm.tokenize import PreTokenizer, WordCache
 from lexforge.runtime import BROADCAST_ROWS, checked_broadcast, col, stage_table
 
 CAPACITY = 1024
@@ -98,9 +97,9 @@ class TokenBytes:
 
         def ids(word: str) -> bytes:
             spelled = word.encode("utf-8").decode("latin-1").translate(to_letter)
-            return b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(spelled))
+            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(spelled)])
 
-        self._find, self._ids = regex.compile(pattern).findall, WordCache(ids).__getitem__
+        self._find, self._ids = PreTokenizer(pattern).findall, WordCache(ids).__getitem__
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self._ids, self._find(text)))

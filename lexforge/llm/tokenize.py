@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -137,6 +138,36 @@ class BytePairEncoder:
         return ids
 
 
+#: Texts without a character from here on are split by the faster engine.
+NARROW = 0x250
+
+
+class PreTokenizer:
+    """All matches of a pattern, each on its own.
+
+    Most texts have characters below ``NARROW`` only. For them the pattern's
+    property classes become plain ranges, taken from the engine that knows the
+    properties, and the standard library finds the same matches in less time.
+    """
+
+    def __init__(self, pattern: str):
+        self._any = regex.compile(pattern).findall
+        below = "".join(map(chr, range(NARROW)))
+
+        def ranges(m: re.Match) -> str:
+            runs = (x[0] for x in regex.finditer(f"(?:{m[0]})+", below))
+            return "".join(f"\\U{ord(x[0]):08x}-\\U{ord(x[-1]):08x}" for x in runs)
+
+        inside = re.sub(r"\[[^]]*\]", lambda m: re.sub(r"\\p\{\w+\}|\\s", ranges, m[0]), pattern)
+        plain = re.sub(r"\\p\{\w+\}|\\s", lambda m: f"[{ranges(m)}]", inside)
+        plain = plain.replace(r"\S", f"[^{ranges(re.match('.*', chr(92) + 's'))}]")
+        self._narrow = None if re.search(r"\\[PXd]|\\p|&&|\|\|", plain) else re.compile(plain).findall
+        self._wide = re.compile(f"[{chr(NARROW)}-{chr(0x10FFFF)}]").search
+
+    def findall(self, text: str) -> list[str]:
+        return self._any(text) if self._narrow is None or self._wide(text) else self._narrow(text)
+
+
 class WordCache(dict):
     """Results by word, bounded: a full cache is emptied, long words are computed each time."""
 
@@ -158,7 +189,7 @@ class TextCodec:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.bpe = bpe = BytePairEncoder(load_ranks(ranks_path))
-        self._find = regex.compile(pattern).findall
+        self._find = PreTokenizer(pattern).findall
         self._ids = WordCache(lambda word: tuple(bpe.encode_piece(word.encode("utf-8")))).__getitem__
         self._text_of = {i: str(i) for i in bpe.bytes_of}
 
