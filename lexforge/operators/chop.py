@@ -90,17 +90,17 @@ LEVELS: dict[str, list[Rule]] = {
 }
 
 
-def rewrite(tree: Tree, rules: list[Rule]) -> Tree | None:
-    """Top-down by the rules, closed up bottom-up; without recursion."""
+def rewrite(tree: Tree, rules: list[Rule], close_up: bool = True) -> Tree | None:
+    """Top-down by the rules, closed up bottom-up (or with every list as it comes); without recursion."""
     results: list[list] = [[]]
     todo: list[tuple[str, object]] = [("do", tree)]
     while todo:
         kind, x = todo.pop()
         if kind == "close":
             kept = results.pop()
-            if len(kept) == 1:
+            if len(kept) == 1 and close_up:
                 results[-1].append(kept[0])
-            elif kept:
+            elif kept or not close_up:
                 results[-1].append(kept)
             continue
         while isinstance(x, list):
@@ -156,3 +156,19 @@ def level(tree: Tree, name: str, seed: str = "") -> Tree | None:
     if name in ("kernel-random", "syntax-random"):
         return prune(tree, KERNEL_SHARE if name[0] == "k" else SYNTAX_SHARE, seed)
     raise KeyError(name)
+
+
+def unmarked_product(x: list) -> tuple[str, object] | None:
+    return ("of", ["GProd", x[1], *x[3:]]) if _tag(x) == "GProd" and len(x) >= 3 else None
+
+
+def reduced(tree: Tree) -> Tree:
+    """A kernel tree with wrappers, paths and references reduced until none is left; tags stay unmarked, lists as they are."""
+    return rewrite(tree, [*LEVELS["kernel"][:5], unmarked_product], close_up=False)
+
+
+def conclusion(tree: Tree) -> Tree:
+    """What stands after the last of the leading products of a raw tree."""
+    while isinstance(tree, list) and len(tree) >= 2 and tree[0] == "GProd":
+        tree = tree[-1]
+    return tree

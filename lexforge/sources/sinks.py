@@ -38,7 +38,7 @@ def rewrite_texts(texts: DataFrame, changes: DataFrame, key: str, text: str, ord
     folded = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "old", "new"))).alias("_lf_c"))
 
     def step(t: Column, c: Column) -> Column:
-        at = F.charindex(c["old"], t)
+        at = F.call_function("locate", c["old"], t)
         return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), c["new"], F.substring(t, at + F.length(c["old"]), F.length(t)))).otherwise(t)
 
     return texts.join(folded, key, "left").withColumn(text, F.aggregate(F.coalesce("_lf_c", F.array().cast("array<struct<o:bigint,old:string,new:string>>")), F.col(text), step)).drop("_lf_c")
