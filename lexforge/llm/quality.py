@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.runtime import col, fresh, stage_table
+from lexforge.runtime import BROADCAST_ROWS, col, fresh, stage_table
 
 #: Blanks that separate words, and characters that count as symbols; fixed by the contract.
 BLANKS, SYMBOLS = "[\\x20\\x09-\\x0D]+", "#*$%&|<>"
@@ -30,6 +30,8 @@ SUPPORT, STEPS, MIN_GROUP = 0.75, 8, 40
 FLOORS = {"word_length": 0.05, "symbols": 0.35, "dup_lines": 0.25, "repeats": 0.5}
 #: Squared distance beyond which a document is an outlier.
 CUTOFF = 40.0
+#: Parts of a group where there are too many groups for a broadcast.
+SALTS = 16
 #: Relative error of the distance quantile that selects the nearest part.
 QUANTILE_ACCURACY = 2000
 
@@ -114,18 +116,28 @@ def _start(vectors: DataFrame, x: list[str]) -> DataFrame:
     )
 
 
-def covariance_estimates(vectors: DataFrame, x: list[str], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """(g1, g2, mean_*, l_*): the minimum-covariance-determinant estimate of each group.
+def _with_estimate(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """Rows beside the estimate of their group, however large a group is.
 
-    A group is joined to its estimate by value; Spark sends the estimates to
-    the tasks only while they are small, and splits hot groups otherwise.
+    Estimates of up to ``BROADCAST_ROWS`` groups (a few hundred bytes each) are
+    sent to all tasks. Beyond that each estimate is listed once for each of
+    ``SALTS`` parts, and a group's rows are dealt over the parts.
     """
+    if groups <= BROADCAST_ROWS:
+        return vectors.join(F.broadcast(estimates), ["g1", "g2"], "left")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = vectors.withColumn("_lf_salt", F.pmod(F.xxhash64(*vectors.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(estimates.withColumn("_lf_salt", parts), ["g1", "g2", "_lf_salt"], "left").drop("_lf_salt")
+
+
+def covariance_estimates(vectors: DataFrame, x: list[str], groups: int, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+    """(g1, g2, mean_*, l_*): the minimum-covariance-determinant estimate of each of ``groups`` groups."""
     now = _factored(_start(vectors, x), x)
     for step in range(steps):
         now = stage_table(now, f"estimate{step}")
-        far = vectors.join(now, ["g1", "g2"]).select("g1", "g2", *x, _distance(x).alias("d2"))
+        far = _with_estimate(vectors, now, groups).select("g1", "g2", *x, _distance(x).alias("d2"))
         limit = far.groupBy("g1", "g2").agg(F.percentile_approx("d2", F.lit(support), F.lit(QUANTILE_ACCURACY)).alias("limit"))
-        now = _factored(far.join(limit, ["g1", "g2"]).filter("d2 <= limit").groupBy("g1", "g2").agg(*_moments(x)), x)
+        now = _factored(_with_estimate(far, limit, groups).filter("d2 <= limit").groupBy("g1", "g2").agg(*_moments(x)), x)
     return now
 
 
@@ -143,10 +155,12 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", languag
     x = list(vector())
     rows = base_statistics(docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(language), F.lit("")).alias("g1"), F.coalesce(col(source).cast("string"), F.lit("")).alias("g2"), col(text).alias("text")), "text").drop("text")
     rows = stage_table(rows.withColumn("base_failed", base_failed()).withColumns(vector()), "statistics")
-    small = rows.filter("not base_failed").groupBy("g1", "g2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group).select("g1", "g2", F.lit(True).alias("own"))
-    rows = stage_table(rows.join(small, ["g1", "g2"], "left").withColumn("g2", F.when(F.col("own"), F.concat(F.lit("="), "g2")).otherwise("")).drop("own"), "grouped")
-    found = stage_table(covariance_estimates(rows.filter("not base_failed").select("g1", "g2", *x), x, support, steps), "estimate")
-    judged = rows.join(found, ["g1", "g2"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(x)))
+    sizes = stage_table(rows.filter("not base_failed").groupBy("g1", "g2").agg(F.count("*").alias("n")), "sizes")
+    groups = sizes.count()
+    own = sizes.filter(F.col("n") >= min_group).select("g1", "g2", F.lit(True).alias("own"))
+    rows = stage_table(_with_estimate(rows, own, groups).withColumn("g2", F.when(F.col("own"), F.concat(F.lit("="), "g2")).otherwise("")).drop("own"), "grouped")
+    found = stage_table(covariance_estimates(rows.filter("not base_failed").select("g1", "g2", *x), x, groups, support, steps), "estimate")
+    judged = _with_estimate(rows, found, groups).withColumn("distance", F.when(~F.col("base_failed"), _distance(x)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
 
 
