@@ -32,8 +32,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 24, 8, 0.9999
 #: Classes of one side of a verification block.
 BLOCK = 256
-#: Rows of candidate keys that are sent to all tasks at most (about 60 bytes each).
-BROADCAST_KEYS = 200_000
+#: Rows of candidates that are sent to all tasks at most (about 450 bytes each).
+BROADCAST_KEYS = 50_000
 #: Text classes with more rows than both this and a 10,000th of all rows are joined back by broadcast.
 HOT_ROWS, HOT_SHARE = 500, 10_000
 
