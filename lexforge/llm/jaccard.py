@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.tokenize import WordCache
-from lexforge.runtime import checked_broadcast, col, join_back, stage_table
+from lexforge.runtime import checked_broadcast, col, fresh, join_back, stage_table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, longest prefix, and the share of pairs at the threshold that must meet.
@@ -38,7 +38,6 @@ BROADCAST_KEYS = 50_000
 HOT_ROWS, HOT_SHARE = 500, 10_000
 
 _WORD = re.compile(r"\w+")
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int = MAX_DEPTH, recall: float = RECALL) -> int:
@@ -216,21 +215,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node connected with each node of ``edges`` (a, b).
 
     Alternates large stars and small stars; the number of rounds grows with the
-    logarithm of the longest path. Only minima are aggregated; hot nodes are split by the
-    adaptive skew join.
+    logarithm of the longest path. Only minima and counts are aggregated.
     """
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
     edges = stage_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    now = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        # The centre of a star has as many rows as neighbours: such nodes are few, and go by broadcast.
+        large = join_back(both.filter("b > a"), least, "a", "n", max(HOT_ROWS, now[0] // HOT_SHARE)).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m", "a")
-        new = stage_table(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        # Done when every node hangs on a root, and no root hangs on another node.
-        if new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        edges = new
+        edges = stage_table(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        # Done when a round changes nothing: every node then hangs on a root that hangs on none.
+        before, now = now, mark(edges)
+        if before == now:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = MAX_DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -278,6 +281,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that ``similar`` keeps, with all their columns."""
-    gone = stage_table(similar(docs, doc_id, text, **settings).filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha")).distinct(), "gone")
+    key, sha, own = fresh(docs, "id"), fresh(docs, "sha"), fresh(docs, "own")
+    gone = stage_table(similar(docs, doc_id, text, **settings).filter("not kept").select(F.col("doc_id").alias(key), F.col("sha").alias(sha)).distinct(), "gone")
     near = checked_broadcast(gone, gone.count(), BROADCAST_KEYS)
-    return docs.join(near, (_sha(text) == F.col("_gone_sha")) & col(doc_id).eqNullSafe(F.col("_gone_id")), "left_anti")
+    return docs.withColumn(own, _sha(text)).join(near, (F.col(own) == F.col(sha)) & col(doc_id).eqNullSafe(F.col(key)), "left_anti").drop(own)
