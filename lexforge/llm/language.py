@@ -133,8 +133,9 @@ def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text"
     explains the text better than every known language does. A document is kept
     if it has a trigram with a letter, is not "und", and its posterior is 0.5 or
     more. Null text counts as empty, a null declaration or address as no
-    evidence; rows without an address share one host. Every row is judged on
-    its own, repeated ones too. An empty table gives no rows. Columns already
+    evidence; rows without an address share one host. Without any labelled row
+    no language is known, and nothing is kept. Every row is judged on its own,
+    repeated ones too. An empty table gives no rows. Columns already
     named language, confidence or kept are replaced. Texts are read twice
     (counts for the priors, then the verdict) so that they are never shuffled or
     stored while the hosts fit a broadcast.

@@ -113,17 +113,17 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: i
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``scan`` in ``text`` replaced by ``mark``; overlapping spans become one. No row goes; null texts stay null."""
-    key, bad, sha = fresh(docs, "id"), fresh(docs, "spans"), fresh(docs, "sha")
+    key, bad, sha, own = fresh(docs, "id"), fresh(docs, "spans"), fresh(docs, "sha"), fresh(docs, "own")
     hits = scan(docs, doc_id, text, scope).filter(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("digest").alias(sha), F.col("spans").alias(bad)).dropDuplicates([key, sha])
-    rows = docs.withColumn(sha, F.sha2(F.coalesce(col(text), F.lit("")), 256))
-    met = rows.join(hits.withColumnRenamed(sha, sha + "2"), F.col(key).eqNullSafe(col(doc_id)) & (F.col(sha) == F.col(sha + "2")), "left")
+    rows = docs.withColumn(own, F.sha2(F.coalesce(col(text), F.lit("")), 256))
+    met = rows.join(hits, F.col(key).eqNullSafe(col(doc_id)) & (F.col(sha) == F.col(own)), "left")
 
     def step(s, x):
         gap = F.when(x["start"] > s["at"], F.concat(s["out"], F.substring(col(text), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.when((s["at"] == 0) & (x["start"] == 0) & (s["out"] == ""), F.lit(mark)).otherwise(s["out"]))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), gap.alias("out"))
 
     folded = F.aggregate(bad, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(col(text), s["at"] + 1, F.length(col(text)))))
-    return met.withColumn(text, F.when(F.col(bad).isNull(), col(text)).otherwise(folded)).drop(key, bad, sha, sha + "2")
+    return met.withColumn(text, F.when(F.col(bad).isNull(), col(text)).otherwise(folded)).drop(key, bad, sha, own)
 
 
 def _sql_spans(name: str, pattern: str, kind: int, keep: str) -> str:

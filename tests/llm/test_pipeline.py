@@ -44,3 +44,26 @@ def test_run_equals_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "secret_scans", "best_fit_packing"]
     assert secrets.KINDS[:3] == ["assign", "access", "hex"] and jaccard.WORDS == 5 and P.PATTERN
+
+
+def test_stages_with_nulls_repeats_and_nothing(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, kept string, _gone_id string, spans string, digest string, host string"
+    rows = [
+        (1, "the same words here again and again", "en", "s", 35, "x", "x", "x", "x", "x", "x"),
+        (1, "the same words here again and again", "en", "s", 35, "x", "x", "x", "x", "x", "x"),
+        (2, None, None, None, None, None, None, None, None, None, None),
+        (None, "words of their own with a token=abcdefgh12 inside", None, None, None, None, None, None, None, None, None),
+        (3, "", "en", "s", 0, None, None, None, None, None, None),
+        (4, "\n\n\n", "de", "", 3, None, None, None, None, None, None),
+        (5, "x" * 300_000, "en", "s", 300_000, None, None, None, None, None, None),
+        *((10 + i, f"some plain english words and the number {i}", "en", "s", 40, None, None, None, None, None, None) for i in range(8)),
+    ]
+    whole = spark.createDataFrame(rows, schema)
+    for docs in (whole, whole.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            got = out.collect()
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(got, docs.schema)
+    assert got == []
