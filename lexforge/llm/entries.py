@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import exact, html, jaccard, language, lines, pack, pii, quality, secrets, tokenize
-from lexforge.runtime import table
+from lexforge.runtime import texts
 
 #: Key of the pseudonyms. A deployment passes its own to ``pii.pseudonymize``.
 PII_KEY = b"lexforge example key"
@@ -16,46 +16,46 @@ END_OF_TEXT = 2
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return tokenize.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_TEXT)
+    return pack.pack(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_OF_TEXT)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "source", "text")
     return lines.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymize(texts(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup(table(spark, sf_dir, "documents"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return exact.dedup(texts(spark, sf_dir), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(texts(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return language.identify(docs).select("doc_id", "language", "confidence", "kept")
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(texts(spark, sf_dir))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(texts(spark, sf_dir, "pages"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "kept")
+    return jaccard.similar(texts(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
