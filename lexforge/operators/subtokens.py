@@ -147,39 +147,53 @@ def split_name(name: str, context: dict[str, float]) -> list[str]:
             out += _tail(p, known) if tail else _core(p, known)
 
 
+def _documents(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, rows) of each document that has names: its definitions, then its names, in order."""
+    rows = names.select(doc, F.lit(1).alias("kind"), F.col(order).alias("at"), "name", "modules").unionByName(definitions.select(doc, F.lit(0).alias("kind"), F.col(order).alias("at"), "name", F.array().cast("array<string>").alias("modules")))
+    return rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("kind", "at", "name", "modules"))).alias("rows")).filter(F.exists("rows", lambda r: r["kind"] == 1))
+
+
+def _read(batch: pa.RecordBatch):
+    """(document, its names, its definitions, its modules) of each row; fields are converted in one go."""
+    lists = batch.column(1)
+    fields = lists.flatten()
+    kinds, names, modules = (fields.field(f).to_pylist() for f in ("kind", "name", "modules"))
+    at = 0
+    for doc, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+        first = next(i for i in range(at, at + n) if kinds[i] == 1)
+        yield doc, names[first : at + n], names[at:first], list(dict.fromkeys(m for ms in modules[first : at + n] for m in ms))
+        at += n
+
+
 def document_contexts(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
     """(doc, context map) of each document that has names: ``names`` (doc, name, modules array, order), ``definitions`` (doc, name, order)."""
-    rows = names.select(doc, F.lit(1).alias("kind"), "name", "modules", F.col(order).alias("at")).unionByName(definitions.select(doc, F.lit(0).alias("kind"), "name", F.array().cast("array<string>").alias("modules"), F.col(order).alias("at")))
-    per_doc = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("kind", "at", "name", "modules"))).alias("rows")).filter(F.exists("rows", lambda r: r["kind"] == 1))
 
     def run(batches):
         for b in batches:
-            maps = []
-            for rows in b.column(1).to_pylist():
-                named = [r for r in rows if r["kind"] == 1]
-                c = build_context([r["name"] for r in named], [r["name"] for r in rows if r["kind"] == 0], [m for r in named for m in r["modules"]])
-                maps.append(list(c.items()))
+            maps = [list(build_context(ns, ds, ms).items()) for _, ns, ds, ms in _read(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.map_(pa.string(), pa.float64()))], names=[doc, "context"])
 
-    return per_doc.mapInArrow(run, f"`{doc}` {names.schema[doc].dataType.simpleString()}, context map<string,double>")
+    return _documents(names, definitions, doc, order).mapInArrow(run, f"`{doc}` {names.schema[doc].dataType.simpleString()}, context map<string,double>")
 
 
-def _split_names(name: pd.Series, context: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None else split_name(n, dict(c or {})) for n, c in zip(name, context, strict=True)], dtype=object)
+def split_documents(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, n, name, pieces): all names split under their document's context, which never leaves the worker."""
 
+    def run(batches):
+        for b in batches:
+            for key, ns, ds, ms in _read(b):
+                context = build_context(ns, ds, ms)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(ns), b.column(0).type), pa.array(range(len(ns)), pa.int64()), pa.array(ns, pa.string()), pa.array([split_name(n, context) for n in ns], pa.list_(pa.string()))],
+                    names=[doc, "n", "name", "pieces"],
+                )
 
-def split_in_context(name: Column, context: Column) -> Column:
-    return F.pandas_udf(_split_names, "array<string>")(name, context)
+    return _documents(names, definitions, doc, order).mapInArrow(run, f"`{doc}` {names.schema[doc].dataType.simpleString()}, n bigint, name string, pieces array<string>")
 
 
-def _split_lists(names: pd.Series, context: pd.Series) -> pd.Series:
-    out = []
-    for ns, c in zip(names, context, strict=True):
-        weights = dict(c or {})
-        out.append(None if ns is None else [split_name(n, weights) for n in ns])
-    return pd.Series(out, dtype=object)
+def _split_names(name: pd.Series, context: pd.Series) -> pd.Series:
+    return pd.Series([None if n is None else split_name(n, dict(c or {})) for n, c in zip(name, context, strict=True)], dtype=object)
 
 
-def split_all(names: Column, context: Column) -> Column:
-    """``split_in_context`` of all names in an array."""
-    return F.pandas_udf(_split_lists, "array<array<string>>")(names, context)
+def split_in_context(name: Column, context: Column) -> Column:
+    return F.pandas_udf(_split_names, "array<string>")(name, context)

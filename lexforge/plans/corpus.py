@@ -9,7 +9,7 @@ from lexforge.functions import text as X
 from lexforge.operators import ordering as O
 from lexforge.operators import vocabulary as V
 from lexforge.plans.catalog import query
-from lexforge.runtime import table
+from lexforge.runtime import table, texts
 
 BLANK = r"[\x20\t\n\r\f\x0b]+"
 TOKENS = "list_filter(string_split_regex(text, '[\\x20\\t\\n\\r\\f\\x0b]+'), lambda t: t <> '')"
@@ -17,7 +17,7 @@ SPECIALS = ["<unk>", "<blank>"]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir)
 
 
 def tokens(text="text"):
@@ -148,10 +148,11 @@ i AS (SELECT source, token FROM t WHERE regexp_matches(token, '^[A-Za-z]+$')),
 p AS (SELECT source, unnest(regexp_extract_all(token, '[A-Z][a-z]*|[a-z]+')) AS piece FROM i)
 SELECT source, lower(piece) AS piece, round(sum(CASE WHEN length(piece) = 2 THEN 0.2 ELSE 1.0 END::DOUBLE), 4) AS weight FROM p WHERE length(piece) > 1 GROUP BY source, lower(piece)""")
 def identifier_context_weights(spark, sf_dir):
-    """Weights of the pieces of plain names in each project."""
+    """Weights of the pieces of plain names in each project; names are counted first, so that each is split once."""
     names = docs(spark, sf_dir).select("source", F.explode(tokens()).alias("token")).filter(F.col("token").rlike("^[A-Za-z]+$"))
-    rows = names.select("source", F.explode(X.split_identifier("token")).alias("piece"))
-    w = F.when(F.length("piece") == 2, 0.2).otherwise(1.0)
+    counted = names.groupBy("source", "token").agg(F.count("*").alias("n"))
+    rows = counted.select("source", "n", F.explode(X.split_identifier("token")).alias("piece"))
+    w = F.when(F.length("piece") == 2, 0.2).otherwise(1.0) * F.col("n")
     return rows.filter(F.length("piece") > 1).groupBy("source", F.lower("piece").alias("piece")).agg(F.round(F.sum(w), 4).alias("weight"))
 
 

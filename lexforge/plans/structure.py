@@ -8,7 +8,7 @@ from lexforge.operators import chop, subtokens
 from lexforge.operators import decode as D
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
-from lexforge.runtime import table
+from lexforge.runtime import table, texts
 
 
 def part_trees(spark, sf_dir):
@@ -68,13 +68,11 @@ def random_prune_hash(spark, sf_dir):
 @query()
 def subtokenize_full(spark, sf_dir):
     """Sub-tokens of the plain words of each document under its own context."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name"))
+    d = texts(spark, sf_dir).select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name"))
     names = d.select("doc_id", "name", F.array("source").alias("modules"), F.xxhash64("name").alias("at"))
     definitions = d.filter(F.length("name") > 6).select("doc_id", "name", F.xxhash64("name").alias("at"))
-    contexts = subtokens.document_contexts(names, definitions, "doc_id", "at")
-    # Split name by name beside its document's context, which is sent once for each document.
-    grouped = names.groupBy("doc_id").agg(F.sort_array(F.collect_list("name")).alias("names")).join(contexts, "doc_id")
-    return grouped.select("doc_id", F.posexplode(subtokens.split_all(F.col("names"), F.col("context"))).alias("n", "pieces")).select("doc_id", F.col("n").cast("long").alias("n"), F.array_join("pieces", "|").alias("pieces"))
+    out = subtokens.split_documents(names, definitions, "doc_id", "at")
+    return out.select("doc_id", "n", F.array_join("pieces", "|").alias("pieces"))
 
 
 @query()
