@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "op8_secret_scans": secrets.OP8_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "op8_secret_scans": secrets.OP8_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}

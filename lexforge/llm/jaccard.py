@@ -285,3 +285,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
     gone = stage_table(similar(docs, doc_id, text, **settings).filter("not kept").select(F.col("doc_id").alias(key), F.col("sha").alias(sha)).distinct(), "gone")
     near = checked_broadcast(gone, gone.count(), BROADCAST_KEYS)
     return docs.withColumn(own, _sha(text)).join(near, (F.col(own) == F.col(sha)) & col(doc_id).eqNullSafe(F.col(key)), "left_anti").drop(own)
+
+
+#: The same rows by all pairs that share a shingle; for tables with unique doc_ids.
+OP10_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+texts AS (SELECT w, min(doc_id) AS rep, count(*) AS n_copies FROM t WHERE len(w) > 0 GROUP BY w),
+sets AS (
+  SELECT rep, list_distinct(CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS s FROM texts
+),
+grams AS (SELECT rep, unnest(s) AS gram FROM sets),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets x ON a = x.rep JOIN sets y ON b = y.rep WHERE c >= {THRESHOLD}::DOUBLE * (len(x.s) + len(y.s) - c) - 1e-9),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+class AS (SELECT a AS rep, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT a AS rep, count(*) AS n_links FROM edges GROUP BY a),
+known AS (SELECT w, n_copies, coalesce(n_links, 0) AS n_links, least(rep, coalesce(least, rep)) AS class_id FROM texts LEFT JOIN class USING (rep) LEFT JOIN counts USING (rep))
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies, doc_id = coalesce(class_id, doc_id) AS kept FROM t LEFT JOIN known USING (w)
+"""
