@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators.ordering import with_position
-from lexforge.runtime import fresh, stage_table
+from lexforge.runtime import BROADCAST_ROWS, fresh, stage_table
 
 
 def first_match(left: DataFrame, right: DataFrame, on: str, order: list[Column]) -> DataFrame:
@@ -49,9 +49,10 @@ def longest_prefix(left: DataFrame, path: str, prefixes: DataFrame, prefix: str,
     """``left`` with the row of ``prefixes`` whose ``prefix`` begins ``path``: the longest, or the first by ``rank``.
 
     An equi join, not a theta join: each path is listed with its beginnings, as
-    many as there are different prefix lengths.
+    many as there are different prefix lengths (the driver gets those lengths,
+    no more than the longest prefix has characters).
     """
-    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().limit(1000).collect()]
+    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]
     start = fresh(left, "start")
     listed = left.withColumn(start, F.explode(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)))))
     met = listed.join(prefixes, F.col(start) == F.col(prefix))
@@ -79,10 +80,13 @@ def strict_full_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def as_of(left: DataFrame, at: str, steps: DataFrame, threshold: str, value: str) -> DataFrame:
-    """``left`` with ``value`` of the last threshold below ``at``. Both sides meet in one ordered scan of ranges of ``at``.
+    """``left`` with ``value`` of the last threshold below ``at``; null before the first.
 
-    ``steps`` is a schedule: its rows are counted and few; each range gets all of them.
+    ``steps`` is a schedule, sent to all tasks; one with more rows than may be
+    broadcast is an error.
     """
+    if steps.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a schedule has {BROADCAST_ROWS} steps at most")
     few = steps.agg(F.sort_array(F.collect_list(F.struct(F.col(threshold).alias("t"), F.col(value).alias("v")))).alias("_lf_s"))
     below = F.filter("_lf_s", lambda s: s["t"] < F.col(at))
     return left.crossJoin(F.broadcast(few)).withColumn(value, F.get(below, F.size(below) - 1)["v"]).drop("_lf_s")
@@ -112,7 +116,7 @@ def grid(choices: dict[str, list], spark) -> DataFrame:
 
 def last_prefix_entry(words: DataFrame, word: str, table: DataFrame, line: str, line_no: str) -> DataFrame:
     """``words`` with ``entry``: the second field (after ``|||``) of the last table line that begins with the word."""
-    lengths = [r[0] for r in words.select(F.length(word)).distinct().limit(1000).collect()]
+    lengths = [r[0] for r in words.select(F.length(word)).distinct().collect()]
     starts = table.withColumn("_lf_start", F.explode(F.array_distinct(F.array(*(F.when(F.length(line) >= n, F.substring(line, 1, n)) for n in lengths)))))
     last = starts.groupBy("_lf_start").agg(F.max_by(line, line_no).alias("_lf_line"))
     return words.join(last, F.col(word) == F.col("_lf_start"), "left").withColumn("entry", F.trim(F.get(F.split("_lf_line", r"\|\|\|", -1), F.lit(1)))).drop("_lf_start", "_lf_line")
