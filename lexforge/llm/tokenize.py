@@ -78,7 +78,7 @@ class BytePairEncoder:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= 1 << 20:
+            if len(self._fits) >= CACHE_WORDS:
                 self._fits.clear()
             known = self._fits[key] = self._stay_apart(left, right)
         return known
