@@ -49,12 +49,14 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexforge-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
