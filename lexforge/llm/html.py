@@ -28,7 +28,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 RAW = re.compile(r"</(script|style|textarea|title)\b[^>]*>", re.I)
 #: Words in class, id or role that mark a part around the article.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|header|masthead|footer|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?\w*|disqus|replies|reply|respond|complementary|contentinfo|search|login|pagination|pager|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|header|masthead|footer|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?(?:list|section|area|form|thread|box|body|item|wrapper|content|respond)s?|disqus|replies|reply|respond|complementary|contentinfo|search|login|pagination|pager|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 #: Elements that an opening tag closes when they are open beneath their nearest container.
@@ -123,8 +123,9 @@ def nodes(page: str) -> list[Node]:
         around = hidden or tag in NEVER or bool(names and tag not in ("html", "body", "main", "article") and AROUND.search(names))
         over = stack[-1] if stack else ("", "", False, False)
         # A heading group inside the article belongs to it.
-        if tag == "header" and not hidden and any(s[0] == "article" for s in stack):
-            around = False
+        if around and not hidden and any(s[0] in ("article", "main") for s in stack):
+            said = AROUND.search(names) if names else None
+            around = not (tag == "header" or tag not in NEVER and said and said[0].strip(" _-").lower() == "header")
         stack.append((tag, f"{tag}.{names}" if names else tag, over[2] or around, over[3] or tag == "a"))
     return out
 

@@ -27,6 +27,8 @@ TEXT = "Some long text, with commas and stops. More of it, here.\nShort.\nAnothe
         ("<article><ul><li>one, a.<li>two, b.</ul><table><tr><td>c1<td>c2</table>", "one, a.\ntwo, b.\nc1\nc2"),
         ("<p>x < y, and a > b. so</p>", "x < y, and a > b. so"),
         ("<nav>only menus</nav>", ""),
+        ("<article><header class='entry-header'><h1>Head</h1></header><div class='commentary'><p>One, two. three, four.</p></div><div class='comment-list'><p>No, no. no</p></div></article>", "Head\nOne, two. three, four."),
+        ("<body><div class='site-header'>Site</div><main><div class='article-header'><h1>Head</h1></div><p>One, two. three, four.</p></main></body>", "Head\nOne, two. three, four."),
     ],
 )
 def test_main_text(page, text):
