@@ -71,18 +71,25 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage: what follows survives the loss of any executor without
     computing ``df`` again. The files stay until ``release`` or the end of the
-    cluster's retention of its checkpoint folder.
+    application.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    root, fs = _stage_files(spark)
+    fs.deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all stage tables of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    root, fs = _stage_files(spark)
+    fs.delete(root, True)
+
+
+def _stage_files(spark: SparkSession):
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
