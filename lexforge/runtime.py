@@ -48,6 +48,24 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spread(table(spark, sf_dir, name))
 
 
+#: Rows and bytes of an Arrow batch of texts at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are no larger than the bounds above.
+
+    A batch of texts stands in the executor's memory several times, on both
+    sides; the default bounds suit rows of numbers.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -66,16 +84,23 @@ def stage_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexforge-{spark.sparkContext.applicationId}"
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a file of a stage table with a known bound.
+FILE_ROWS = 50_000
+
+
+def stage_table(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
+    ``rows``, a bound of the rows if one is known, spares a small table from
+    lying in a file for each shuffle partition.
+
     Cuts the lineage: what follows survives the loss of any executor without
     computing ``df`` again. The files stay until ``release`` or the end of the
     application.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     root, fs = _stage_files(spark)
     fs.deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)
