@@ -60,7 +60,7 @@ class DigestIndex:
         batch = uuid.uuid4().hex
         rows = stage_table(docs.select(col(doc_id).alias("doc_id"), F.unhex(F.sha2(normalized(col(text)), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
         total = rows.count()
-        groups = stage_table(rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("copies")), "groups")
+        groups = stage_table(rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("copies")), "groups", total)
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         # Dealt as the buckets are, so that each bucket gets one sorted file.
         new.select("digest", F.col("last.doc_id").alias("keep_id"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.name)
@@ -68,7 +68,7 @@ class DigestIndex:
         decided = groups.join(known.hint("merge"), "digest").select(
             "digest", "keep_id", (F.col("copies") + F.col("old").cast("long")).alias("group_size"), F.when(~F.col("old"), F.col("last.row")).alias("keep_row"), "copies"
         )
-        return _to_rows(rows, stage_table(decided, "decided"), max(HOT_ROWS, total // HOT_SHARE))
+        return _to_rows(rows, stage_table(decided, "decided", total), max(HOT_ROWS, total // HOT_SHARE))
 
 
 def _to_rows(rows: DataFrame, decided: DataFrame, hot: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import col, fresh
+from lexforge.runtime import bounded_batches, col, fresh
 
 #: Elements that are never part of an article, and those that have no end tag; fixed by HTML.
 NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input label iframe object svg canvas video audio dialog menu".split())
@@ -231,4 +231,4 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
             texts = [main_text(v.as_py()) for v in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return pages.select(*map(col, kept), col(html_column).cast("string").alias(raw)).mapInArrow(run, schema)
+    return bounded_batches(pages.select(*map(col, kept), col(html_column).cast("string").alias(raw))).mapInArrow(run, schema)

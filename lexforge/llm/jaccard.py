@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.tokenize import WordCache
-from lexforge.runtime import checked_broadcast, col, fresh, join_back, stage_table
+from lexforge.runtime import bounded_batches, checked_broadcast, col, fresh, join_back, stage_table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, longest prefix, and the share of pairs at the threshold that must meet.
@@ -37,6 +37,9 @@ BROADCAST_KEYS = 50_000
 #: Text classes with more rows than both this and a 10,000th of all rows are joined back by broadcast.
 HOT_ROWS, HOT_SHARE = 500, 10_000
 
+#: Hashed words held by a task.
+SHINGLE_WORDS = 1 << 17
+
 _WORD = re.compile(r"\w+")
 
 
@@ -63,7 +66,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self._hash = WordCache(lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")).__getitem__
+        self._hash = WordCache(lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"), SHINGLE_WORDS).__getitem__
         self._weights = _mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -111,18 +114,18 @@ def _signed(docs: DataFrame, doc_id: str, text: str, words: int, trees: int, dep
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sha", "digest", "keys"])
 
     rows = docs.select(col(doc_id).alias("doc_id"), _sha(text).alias("sha"), F.coalesce(col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, sha binary, digest binary, keys array<bigint>")
+    return bounded_batches(rows).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, sha binary, digest binary, keys array<bigint>")
 
 
 def _sha(text: str):
     return F.unhex(F.sha2(F.coalesce(col(text), F.lit("")), 256))
 
 
-def _members(exploded: DataFrame, block: int) -> DataFrame:
+def _members(exploded: DataFrame, block: int, texts: int) -> DataFrame:
     """(key, tree, lo, hi, block, node): each class once for every verification block that it takes part in."""
     nodes = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("tree").alias("tree"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).filter("n > 1")
     # Of nodes with the same classes below them, that of the first tree; pairs in it meet there first.
-    kept = stage_table(nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("m")).select("m.tree", "m.key", "n"), "nodes")
+    kept = stage_table(nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("m")).select("m.tree", "m.key", "n"), "nodes", texts)
     rows = exploded.select("key", "node").join(kept, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "tree", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
@@ -211,7 +214,7 @@ def _verify(words: int, threshold: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, label): the smallest node connected with each node of ``edges`` (a, b).
 
     Alternates large stars and small stars; the number of rounds grows with the
@@ -220,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    edges = stage_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = stage_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", nodes)
     now = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -229,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_back(both.filter("b > a"), least, "a", "n", max(HOT_ROWS, now[0] // HOT_SHARE)).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m", "a")
-        edges = stage_table(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = stage_table(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges", now[0])
         # Done when a round changes nothing: every node then hangs on a root that hangs on none.
         before, now = now, mark(edges)
         if before == now:
@@ -254,24 +257,24 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     rows = stage_table(_signed(docs, doc_id, text, words, trees, depth), "signed")
     total = rows.count()
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sha")).alias("first"), F.count("*").alias("n_copies"), F.first("keys").alias("keys"))
-    reps = stage_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = stage_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes", total)
     exploded = reps.select("node", F.posexplode("keys").alias("tree", "key"))
-    members = stage_table(_members(exploded, block), "members")
+    members = stage_table(_members(exploded, block, total), "members", trees * total)
 
-    wanted = stage_table(members.select("node").distinct().join(reps, "node").select("node", "keys", F.col("first.doc_id").alias("id"), F.col("first.sha").alias("sha")), "wanted")
+    wanted = stage_table(members.select("node").distinct().join(reps, "node").select("node", "keys", F.col("first.doc_id").alias("id"), F.col("first.sha").alias("sha")), "wanted", total)
     texts = docs.select(col(doc_id).alias("id2"), _sha(text).alias("sha2"), F.col(f"`{text}`").alias("text"))
     near = checked_broadcast(wanted, wanted.count(), BROADCAST_KEYS)
     found = texts.join(near, (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2"))).select("node", "keys", "text").dropDuplicates(["node"])
     blocks = members.join(found, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    verified = stage_table(blocks.select("key", "lo", "hi", "tree", "block", "node", "keys", "text").mapInArrow(_verify(words, threshold), "node bigint, links bigint, root bigint"), "verified")
+    verified = stage_table(bounded_batches(blocks.select("key", "lo", "hi", "tree", "block", "node", "keys", "text")).mapInArrow(_verify(words, threshold), "node bigint, links bigint, root bigint"), "verified")
 
-    labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), total)
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = reps.select("node", "digest", "first", "n_copies").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = stage_table(known.drop("node"), "labelled")
+    known = stage_table(known.drop("node"), "labelled", total)
     heads = known.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("texts"))
     hot = max(HOT_ROWS, total // HOT_SHARE)
-    settled = stage_table(join_back(known, heads, "label", "texts", hot).select("digest", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "settled")
+    settled = stage_table(join_back(known, heads, "label", "texts", hot).select("digest", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "settled", total)
     joined = join_back(rows.filter("digest is not null").select("doc_id", "sha", "digest"), settled, "digest", "n_copies", hot)
     own = F.struct("doc_id", "sha")
     linked = joined.select("doc_id", "sha", F.col("head.doc_id").alias("class_id"), "n_links", "n_copies", own.eqNullSafe(F.col("head")).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import checked_broadcast, col, fresh, stage_table
+from lexforge.runtime import bounded_batches, checked_broadcast, col, fresh, stage_table
 
 #: Labelled rows of each language that the text model is fitted on, about; chosen by a hash of the row.
 SAMPLE_ROWS = 2_000
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample_rows
             at = np.nonzero(s)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "place", "n"])
 
-    rows = drawn.select(col(declared).alias("lang"), col(text).alias("text")).mapInArrow(count, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    rows = bounded_batches(drawn.select(col(declared).alias("lang"), col(text).alias("text"))).mapInArrow(count, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     counts = np.zeros((len(languages), PLACES))
     which = {k: i for i, k in enumerate(languages)}
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(best, pa.int32())], names=["host", "best"])
 
     picked = docs.select(col(text).cast("string").alias("text"), col(declared).cast("string").alias("said"), key.alias("host"))
-    counts = picked.mapInArrow(first, "host string, best int").filter("best >= 0").groupBy("host", "best").agg(F.count("*").alias("n"))
+    counts = bounded_batches(picked).mapInArrow(first, "host string, best int").filter("best >= 0").groupBy("host", "best").agg(F.count("*").alias("n"))
     priors, hosts = _host_priors(counts, n)
 
     made = {"language", "confidence", "kept"}

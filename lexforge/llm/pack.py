@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.tokenize import PreTokenizer, WordCache
-from lexforge.runtime import BROADCAST_ROWS, checked_broadcast, col, stage_table
+from lexforge.runtime import BROADCAST_ROWS, bounded_batches, checked_broadcast, col, stage_table
 
 CAPACITY = 1024
 #: A sequence with no more free places than this is final.
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, doc_id
         if held:
             yield flush()
 
-    pieces = stage_table(docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(run, schema), "pieces")
+    pieces = stage_table(bounded_batches(docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))).mapInArrow(run, schema), "pieces")
     moved = _merge_up(pieces, capacity, nearly_full, fan_in)
     n = moved.count()
     return (
@@ -181,7 +181,7 @@ def _merge_up(pieces: DataFrame, capacity: int, nearly_full: int, fan_in: int) -
     while top:
         top //= fan_in
         up = units.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("node").applyInArrow(_merge_node(capacity, nearly_full, fan_in), schema)
-        units = stage_table(up, "units")
+        units = stage_table(up, "units", 64 * (top + 1) * fan_in)
         final.append(units.filter(~F.col("open")))
         units = units.filter("open")
     for x in final:

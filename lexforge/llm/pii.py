@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import col
+from lexforge.runtime import bounded_batches, col
 
 ROUNDS = 8
 
@@ -248,4 +248,4 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             arrays = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=[*kept, "n_pii", "pii_spans"])
 
-    return docs.select(*map(col, kept)).mapInArrow(run, schema)
+    return bounded_batches(docs.select(*map(col, kept))).mapInArrow(run, schema)

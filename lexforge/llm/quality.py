@@ -134,7 +134,7 @@ def covariance_estimates(vectors: DataFrame, x: list[str], groups: int, support:
     """(g1, g2, mean_*, l_*): the minimum-covariance-determinant estimate of each of ``groups`` groups."""
     now = _factored(_start(vectors, x), x)
     for step in range(steps):
-        now = stage_table(now, f"estimate{step}")
+        now = stage_table(now, f"estimate{step}", groups)
         far = _with_estimate(vectors, now, groups).select("g1", "g2", *x, _distance(x).alias("d2"))
         limit = far.groupBy("g1", "g2").agg(F.percentile_approx("d2", F.lit(support), F.lit(QUANTILE_ACCURACY)).alias("limit"))
         now = _factored(_with_estimate(far, limit, groups).filter("d2 <= limit").groupBy("g1", "g2").agg(*_moments(x)), x)
@@ -159,7 +159,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", languag
     groups = sizes.count()
     own = sizes.filter(F.col("n") >= min_group).select("g1", "g2", F.lit(True).alias("own"))
     rows = stage_table(_with_estimate(rows, own, groups).withColumn("g2", F.when(F.col("own"), F.concat(F.lit("="), "g2")).otherwise("")).drop("own"), "grouped")
-    found = stage_table(covariance_estimates(rows.filter("not base_failed").select("g1", "g2", *x), x, groups, support, steps), "estimate")
+    found = stage_table(covariance_estimates(rows.filter("not base_failed").select("g1", "g2", *x), x, groups, support, steps), "estimate", groups)
     judged = _with_estimate(rows, found, groups).withColumn("distance", F.when(~F.col("base_failed"), _distance(x)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
 

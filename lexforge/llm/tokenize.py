@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lexforge.runtime import col
+from lexforge.runtime import bounded_batches, col
 
 #: Pre-tokens held in a worker's cache; a full cache is emptied.
 CACHE_WORDS = 1 << 18
@@ -263,4 +263,4 @@ def _by_row(docs: DataFrame, source: str, made: dict[str, str], f, ranks_path: s
             arrays = [batch.column(batch.schema.get_field_index(k)) for k in kept]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(o, t) for o, t in zip(outs, types, strict=True))], names=[*kept, *made])
 
-    return docs.select(*map(col, cols)).mapInArrow(run, StructType([*fields, *made_schema.fields]))
+    return bounded_batches(docs.select(*map(col, cols))).mapInArrow(run, StructType([*fields, *made_schema.fields]))
