@@ -198,8 +198,9 @@ def cumulative_average(spark, sf_dir):
 WITH t AS (SELECT doc_id, string_split(left(text, 200), ' ') AS t FROM documents)
 SELECT doc_id, len(t) > 1 AND len(list_filter(t, lambda x: x <> 'the')) > len(list_distinct(list_filter(t, lambda x: x <> 'the'))) AS blocked FROM t""")
 def ngram_repeat_block(spark, sf_dir):
-    """Whether a token other than an ignored one comes twice."""
-    return table(spark, sf_dir, "documents").select("doc_id", K.repeats_ngram(F.split(F.substring("text", 1, 200), " ", -1), 1, ["the"]).alias("blocked"))
+    """Whether a token of the whole text, other than an ignored one, comes twice."""
+    blocked = K.let(F.split("text", " ", -1), lambda tokens: K.repeats_ngram(tokens, 1, ["the"]))
+    return table(spark, sf_dir, "documents").select("doc_id", blocked.alias("blocked"))
 
 
 @query("""
