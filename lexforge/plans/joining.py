@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import joins as J
 from lexforge.plans.catalog import query
-from lexforge.runtime import table
+from lexforge.runtime import checked_broadcast, stage_table, table
 
 TERMS = r"[\x20\t\n\r\f\x0b]+"
 
@@ -52,7 +52,8 @@ def _points_and_spans(spark, sf_dir):
     lines = d.select("doc_id", F.split("text", "\n", -1).alias("ls"))
     ends = F.aggregate("ls", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
     spans = lines.select("doc_id", "ls", ends.alias("at")).select("doc_id", F.posexplode("ls").alias("span_no", "line"), "at").select("doc_id", "span_no", F.get("at", F.col("span_no")).alias("span_begin"), F.get("at", F.col("span_no") + 1).alias("span_end"), (~F.contains("line", F.lit(" "))).alias("one_token"))
-    points = d.select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(399))).alias("k")).filter("k * 50 + 1 <= n").select("doc_id", (F.col("k") * 50).alias("begin"), (F.col("k") * 50 + 1).alias("end"))
+    last = F.floor((F.length("text") - 1) / 50).cast("int")
+    points = d.filter(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("doc_id", (F.col("k") * 50).alias("begin"), (F.col("k") * 50 + 1).alias("end"))
     return points, spans
 
 
@@ -166,10 +167,19 @@ WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(left(text, 400), '[a-z
 b AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(left(text, 400), '[a-z]+')) AS w FROM benchmark WHERE item_id = 0) GROUP BY w)
 SELECT c.doc_id, sum(least(c.n, b.n))::BIGINT AS shared FROM c JOIN b USING (w) GROUP BY c.doc_id""")
 def multiset_intersection(spark, sf_dir):
-    """Size of the bag intersection of each document's head with one benchmark item."""
-    words = lambda df, *by: df.select(*by, F.explode(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy(*by, "w").agg(F.count("*").alias("n"))
-    item = words(table(spark, sf_dir, "benchmark").filter("item_id = 0")).withColumnRenamed("n", "m")
-    return words(table(spark, sf_dir, "documents"), "doc_id").join(F.broadcast(item), "w").groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("shared"))
+    """Size of the bag intersection of each document with each benchmark item that it shares a word with.
+
+    Whole texts of all rows. The items of a word are listed beside it, and the
+    documents are dealt by doc_id once, so that both counts stay in their tasks.
+    """
+    words = lambda df: df.select(df.columns[0], F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    counts = words(table(spark, sf_dir, "benchmark").select("item_id", "text")).groupBy("item_id", "w").agg(F.count("*").alias("m"))
+    items = stage_table(counts.groupBy("w").agg(F.collect_list(F.struct("item_id", "m")).alias("items")), "items")
+    known = checked_broadcast(items, items.count())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    said = words(docs).join(known.select("w"), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    met = said.join(known, "w").select("doc_id", "n", F.explode("items").alias("item"))
+    return met.groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.sum(F.least("n", "item.m")).alias("shared"))
 
 
 @query("SELECT DISTINCT source || '/' || lang AS data_index FROM documents")

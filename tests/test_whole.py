@@ -1,5 +1,7 @@
 """Queries over whole tables and whole texts, each against a loop over small tables."""
 
+import re
+
 
 def write(df, sf_dir, name):
     df.write.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,3 +17,30 @@ def test_ngram_repeat_block_reads_whole_texts(spark, tmp_path):
     for i, text in enumerate(texts):
         tokens = [t for t in text.split(" ") if t != "the"]
         assert got[i] == (len(tokens) > len(set(tokens))), text[-20:]
+
+
+def test_multiset_intersection_takes_whole_texts_and_all_items(spark, tmp_path):
+    from collections import Counter
+
+    from lexforge.plans import joining
+
+    far = "Z" * 50 + " x" * 300
+    texts = ["a b b c", f"{far} b b a", "Q 7", "", f"d {far} d d", f"{'long' * 120} e"]
+    items = [(0, "a b"), (1, "b b b d d"), (2, f"{far} e"), (3, "none")]
+    write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, "documents")
+    write(spark.createDataFrame(items, "item_id long, text string"), tmp_path, "benchmark")
+    got = {(r.doc_id, r.item_id): r.shared for r in joining.multiset_intersection(spark, str(tmp_path)).collect()}
+    bag = lambda t: Counter(re.findall("[a-z]+", t))
+    want = {(i, k): sum((bag(t) & bag(x)).values()) for i, t in enumerate(texts) for k, x in items}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_interval_token_join_makes_places_to_the_end(spark, tmp_path):
+    from lexforge.plans import joining
+
+    texts = ["", "a", "x" * 50, "x" * 51, "\n".join(f"line {i} of a long text" for i in range(1500))]
+    write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, "documents")
+    got = {(r.doc_id, r.begin): r.span_no for r in joining.interval_token_join(spark, str(tmp_path)).collect()}
+    assert len(texts[-1]) > 25_000
+    # A place lies in the line that ends with the next line end.
+    assert got == {(i, b): t.count("\n", 0, b) for i, t in enumerate(texts) for b in range(0, len(t), 50)}
