@@ -10,7 +10,7 @@ from lexforge.operators import decode as D
 from lexforge.operators import ordering as O
 from lexforge.operators import reports as R
 from lexforge.plans.catalog import query
-from lexforge.runtime import table
+from lexforge.runtime import stage_table, table
 from lexforge.streaming import stateful
 
 
@@ -119,11 +119,13 @@ def greedy_tokens(spark, sf_dir):
 
 @query()
 def hypothesis_back_trace(spark, sf_dir):
-    """Hypotheses read back along their pointers; tests hold it against a loop."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    """Hypotheses of all rows read back along their pointers from each example's last step; tests hold it against a loop."""
+    lines = table(spark, sf_dir, "lineitem")
     slots = lines.groupBy((F.col("l_orderkey") % 50).alias("example"), F.col("l_linenumber").alias("step"), (F.col("l_partkey") % 4).alias("slot")).agg(F.min(F.col("l_suppkey") % 4).alias("back"), F.min(F.col("l_quantity").cast("int")).alias("token"))
-    heads = slots.filter("step = 3").select("example", "step", "slot")
-    return D.back_trace(slots, heads, 3).select("example", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+    slots = stage_table(slots, "slots")
+    ends = slots.groupBy("example").agg(F.max("step").alias("step"))
+    heads = slots.join(ends, ["example", "step"]).select("example", "step", "slot")
+    return D.back_trace(slots, heads, slots.agg(F.max("step")).first()[0] or 0).select("example", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
 
 
 @query("""
