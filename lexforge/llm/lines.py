@@ -1,8 +1,9 @@
 """Line dedup by how often a line occurs on a site, relative to the site's pages.
 
-Lines travel as 16-byte digests. The pages of a (host, line) are counted with
-map-side partial sums, so that a hot host or line costs one short row for each
-task. A host's boilerplate lines can be no more than its lines per page divided
+Lines travel as 16-byte digests. A page is a distinct text of its host: its
+copies are merged on the map side, too, before its lines are counted. The pages
+of a (host, line) are counted with map-side partial sums, so that a hot host,
+page or line costs one short row for each task. A host's boilerplate lines can be no more than its lines per page divided
 by the ratio; they come back to the documents as one array for each host.
 """
 
@@ -31,11 +32,13 @@ def _digest(line):
 
 def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, digests) of the lines to drop, one row for each host that has any."""
-    key = F.coalesce(col(host).cast("string"), F.lit(""))
-    pages = docs.groupBy(key.alias("host")).agg(F.count("*").alias("pages"))
+    key, page = F.coalesce(col(host).cast("string"), F.lit("")), F.unhex(F.md5(col(text).cast("string")))
+    # Copies of one text are one page, of which only the digests of the lines are shuffled.
+    pages = docs.select(key.alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    texts = docs.select(key.alias("host"), page.alias("page"), F.array_distinct(F.transform(_lines(col(text)), _digest)).alias("digests"))
+    once = texts.groupBy("host", "page").agg(F.first("digests").alias("digests"))
     # A page counts once for a line, however often it repeats it.
-    once = docs.select(key.alias("host"), F.explode(F.array_distinct(F.transform(_lines(col(text)), _digest))).alias("digest"))
-    seen = once.filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
+    seen = once.select("host", F.explode("digests").alias("digest")).filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
     return seen.join(pages, "host").filter(F.col("on") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("digest").alias("digests"))
 
 
@@ -44,10 +47,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
     All occurrences of a line go when the pages of the host that contain it are
     more than ``max_ratio`` of the host's pages, and ``min_pages`` at least.
+    Pages are distinct texts: whole copies of a text count as one page, so that
+    they do not make its own lines boilerplate.
     Lines compare without surrounding blanks; blank lines stay. A null host is a
     host of its own (as an empty one is), a null text has no line and stays
-    null, an empty text is one blank line. Repeated rows count as pages of
-    their own. Columns already named n_lines or n_dropped are replaced.
+    null, an empty text is one blank line. Columns already named n_lines or
+    n_dropped are replaced.
     """
     found = stage_table(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     key, bad = fresh(docs, "host"), fresh(docs, "digests")

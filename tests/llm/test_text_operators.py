@@ -234,3 +234,33 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh1 b 😀 password: 'hunter2hunter2' c"), (2, None), (3, "clean"), (1, "other")], "doc_id long, text string")
     got = sorted((r.doc_id, str(r.text)) for r in secrets.redact(df).collect())
     assert got == [(1, "a [SECRET] b 😀 [SECRET]' c"), (1, "other"), (2, "None"), (3, "clean")]
+
+
+# --- line dedup: copies of a page ---------------------------------------------------
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    article = "\n".join(f"sentence {k} of the article" for k in range(4))
+    copies = [(i, "a", f"menu\n{article}") for i in range(30)]
+    others = [(100 + i, "a", f"menu\nown {i}") for i in range(9)]
+    df = spark.createDataFrame(copies + others, "doc_id long, source string, text string").repartition(7)
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(df).collect()}
+    assert all(got[i] == article for i, *_ in copies)
+    assert all(got[100 + i] == f"own {i}" for i in range(9))
+
+
+def test_copies_do_not_dilute_a_share(spark):
+    rows = [(i, "a", "same text") for i in range(200)] + [(1000 + i, "a", f"menu\nown {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(df, max_ratio=0.5).collect()}
+    assert got[0] == "same text" and got[1003] == "own 3"
+
+
+def test_pipeline_keeps_one_of_large_copy_groups(spark):
+    import corpus_pipeline as p
+
+    article = "\n".join(f"number {k} of the many sentences that this clean article has in it" for k in range(20))
+    rows = [(i, article, "en", "a", len(article)) for i in range(40)] + [(100 + i, f"one more text about topic {i} and things {i * i}", "en", "a", 40) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.drop_near_copies(spark, p.drop_boilerplate(spark, df, ""), "").collect()
+    assert [r.text for r in kept if r.doc_id < 100] == [article]
