@@ -5,8 +5,9 @@ length of its texts and their punctuation are summed and divided by its nodes:
 prose paths have long, punctuated nodes, menus short ones without. The ratios
 are smoothed over the page's node order, the text and punctuation ratios are
 fused into one score, and paths above the page's threshold are content. The
-container that holds the content paths then decides about the short nodes
-inside it (headlines, one-word paragraphs) and outside it.
+container that holds most of the content then decides about the short nodes
+inside it (headlines, one-word paragraphs) and outside it; blocks on other
+content paths stay, unless the page declares its article.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
+#: Words before a mark that say what a wrapper has beside the article, not that it is around it.
+BESIDE = re.compile(r"(?:^|[\s_-])(?:has|with|no|without)[_-]+[\w-]*", re.I)
+
 #: Standard deviation of the smoothing over nodes, and the share of the mean score that content paths reach.
 SMOOTHING, THRESHOLD = 1.0, 0.5
 #: Share of the content's characters that the container holds, and share of linked characters from which a path in it is a list of links.
@@ -45,10 +49,10 @@ COVER, LINKED = 0.8, 0.5
 
 
 class Node:
-    __slots__ = ("block", "linked", "outside", "path", "text")
+    __slots__ = ("block", "linked", "marks", "outside", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, block: int, outside: bool, linked: bool):
-        self.path, self.text, self.block, self.outside, self.linked = path, text, block, outside, linked
+    def __init__(self, path: tuple[str, ...], text: str, block: int, outside: bool, linked: bool, marks: tuple[int, ...] = ()):
+        self.path, self.text, self.block, self.outside, self.linked, self.marks = path, text, block, outside, linked, marks
 
 
 def _attributes(said: str) -> tuple[str, bool]:
@@ -65,13 +69,14 @@ def _attributes(said: str) -> tuple[str, bool]:
 def nodes(page: str) -> list[Node]:
     """Text nodes in page order; tags that are left open or closed twice are put up with."""
     out: list[Node] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, its step in the path, outside the article, within a link
-    block, at, end = 0, 0, len(page)
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, its step in the path, outside the article, within a link, the elements around it that only their names mark
+    declared: list[tuple[int, ...]] = []  # marked elements around each article or main element
+    block, at, end, marked = 0, 0, len(page), 0
 
     def text(raw: str) -> None:
         if raw:
-            top = stack[-1] if stack else ("", "", False, False)
-            out.append(Node(tuple(s[1] for s in stack), html.unescape(raw), block, top[2], top[3]))
+            top = stack[-1] if stack else ("", "", False, False, ())
+            out.append(Node(tuple(s[1] for s in stack), html.unescape(raw), block, top[2], top[3], top[4]))
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -120,16 +125,42 @@ def nodes(page: str) -> list[Node]:
             continue
         names, hidden = _attributes(m[3]) if m[3] else ("", False)
         # A page's or an article's own wrapper is not around the article, whatever it is called.
-        around = hidden or tag in NEVER or bool(names and tag not in ("html", "body", "main", "article") and AROUND.search(names))
-        over = stack[-1] if stack else ("", "", False, False)
+        names_said = BESIDE.sub(" ", names)
+        around = hidden or tag in NEVER or bool(names and tag not in ("html", "body", "main", "article") and AROUND.search(names_said))
+        over = stack[-1] if stack else ("", "", False, False, ())
         # A heading group inside the article belongs to it.
         if around and not hidden and any(s[0] in ("article", "main") for s in stack):
-            said = AROUND.search(names) if names else None
+            said = AROUND.search(names_said) if names else None
             around = not (tag == "header" or tag not in NEVER and said and said[0].strip(" _-").lower() == "header")
-        stack.append((tag, f"{tag}.{names}" if names else tag, over[2] or around, over[3] or tag == "a"))
+        marks = over[4]
+        if around and not hidden and tag not in NEVER:
+            around, marked, marks = False, marked + 1, (*marks, marked)
+        if tag in ("article", "main") and not over[2] and not around:
+            declared.append(marks)
+        stack.append((tag, f"{tag}.{names}" if names else tag, over[2] or around, over[3] or tag == "a", marks))
+    _leave_out(out, declared)
     return out
 
 
+def _leave_out(found: list[Node], declared: list[tuple[int, ...]]) -> None:
+    """Put nodes under elements with marking names outside, unless the element encloses the article.
+
+    It does if it holds every declared article and the greater part of the
+    page's text, or, where none is declared, ``COVER`` of that text.
+    """
+    under: dict[int, int] = {}
+    total = 0
+    for x in found:
+        if not x.outside:
+            n = len(x.text.strip())
+            total += n
+            for k in x.marks:
+                under[k] = under.get(k, 0) + n
+    wraps = {k for k, n in under.items() if (all(k in d for d in declared) and 2 * n > total if declared else n >= COVER * total)}
+    for x in found:
+        x.outside = x.outside or not wraps.issuperset(x.marks)
+
+
 def _smoothed(values: list[float]) -> list[float]:
     reach = int(3 * SMOOTHING)
     kernel = [math.exp(-(d * d) / (2 * SMOOTHING**2)) for d in range(-reach, reach + 1)]
@@ -201,8 +232,12 @@ def main_text(page: str | None) -> str:
         if any(_headline(x.path, top, bare) for x in block):
             return True
         if not bare:
-            return any(x.path[: len(top)] == top for x in block)
-        # Without a container a block goes by the greater part of it, so that what is set off inside a paragraph stays.
+            if any(x.path[: len(top)] == top for x in block):
+                return True
+            # Content beside the container stays, unless an element is declared as the article.
+            if any(step.split(".")[0] in ("article", "main") for step in top):
+                return False
+        # Outside a container a block goes by the greater part of it, so that what is set off inside a paragraph stays.
         return 2 * sum(len(x.text.strip()) for x in block if x.path in content) > sum(len(x.text.strip()) for x in block)
 
     lines = [" ".join("".join(x.text for x in block).split()) for _, block in sorted(blocks.items()) if wanted(block)]

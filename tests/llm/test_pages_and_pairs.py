@@ -138,3 +138,30 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in entries.op10_ngram_jaccard(spark, sf_dir).collect()}
     assert got == brute(rows)
+
+
+PROSE = [f"This is sentence {k}, which is long enough, and has marks; it counts as prose." for k in range(20)]
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_content_beside_the_container_stays():
+    page = f'<html><body><div class="content"><div class="lead">{paragraphs(PROSE[:3])}</div><div class="text">{paragraphs(PROSE[3:])}</div></div><div class="x"><a href="/">Home</a></div></body></html>'
+    assert html.main_text(page).split("\n") == PROSE
+    listed = "".join(f"<li>{x}</li>" for x in PROSE[3:])
+    page = f'<html><body><div class="text">{paragraphs(PROSE[:3])}<ul>{listed}</ul></div><p><a href="/">Home</a></p></body></html>'
+    assert html.main_text(page).split("\n") == PROSE
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar", "page no-sidebar", "layout sidebar", "with_right-sidebar"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_a_name_on_the_wrapper_does_not_empty_the_page(name, tag):
+    page = f'<html><body><div class="{name}"><{tag} class="text">{paragraphs(PROSE)}</{tag}><div class="sidebar"><p>Some words, beside it.</p></div></div></body></html>'
+    assert html.main_text(page).split("\n") == PROSE
+
+
+def test_comments_as_articles_stay_outside():
+    page = f'<html><body><article>{paragraphs(PROSE[:5])}</article><div class="comments"><article>{paragraphs(PROSE[5:])}</article></div></body></html>'
+    assert html.main_text(page).split("\n") == PROSE[:5]
