@@ -4,8 +4,8 @@ Numbers and dates that pass their own validation are permuted inside their
 format by a keyed Feistel network: a card number turns into another valid card
 number, a date into another date, an address into another address. The
 permutation depends on the key and the kind alone, so equal values (however
-they are spaced) get equal pseudonyms in every document and every run, and no
-table of values is kept or shuffled.
+they are spaced, and dates in whatever order) get equal pseudonyms in every
+document and every run, and no table of values is kept or shuffled.
 """
 
 from __future__ import annotations
@@ -125,11 +125,15 @@ def _ssn(f: Feistel, m: re.Match) -> str | None:
 
 
 def _phone(f: Feistel, m: re.Match) -> str | None:
-    head = _HEAD.match(m[0])[0].rstrip("(")
-    digits = re.sub(r"\D", "", m[0][len(head) :])
-    if not 6 <= len(digits) or len(re.sub(r"\D", "", head)) + len(digits) > 15:
+    # The country code and a trunk zero in brackets stay; what is left is the same digits in every notation.
+    shape = _TRUNK.sub(lambda x: "\0" * len(x[0]), m[0]) if m[0][0] == "+" else m[0]
+    digits = re.sub(r"\D", "", shape)
+    country = _COUNTRY.match(digits)[0] if m[0][0] == "+" else ""
+    number = digits[len(country) :]
+    if len(digits) > 15 or len(number) < 6 and len(digits) < 8 or not number:
         return None
-    return head + _refill(m[0][len(head) :], f.spell(digits, DIGITS, "phone"))
+    new = _refill(shape, country + f.spell(number, DIGITS, "phone"))
+    return "".join(a if b == "\0" else b for a, b in zip(m[0], new, strict=True))
 
 
 def _ip(f: Feistel, m: re.Match) -> str | None:
@@ -150,10 +154,10 @@ def _date(f: Feistel, m: re.Match) -> str | None:
             continue
         if not FIRST_DAY <= old <= LAST_DAY:
             return None
-        # Only days that the same order of parts reads back as themselves.
-        swaps = k == 1
-        ok = (lambda n: dt.date.fromordinal(n + FIRST_DAY).day > 12) if swaps else None
-        new = dt.date.fromordinal(f.permute(old - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date-swapped" if swaps else "date", ok) + FIRST_DAY)
+        # Days above 12 among themselves in every notation: month-first dates with others would be read back as day-first ones.
+        swaps, late = k == 1, day > 12
+        ok = lambda n: (dt.date.fromordinal(n + FIRST_DAY).day > 12) == late  # noqa: E731, B023
+        new = dt.date.fromordinal(f.permute(old - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", ok) + FIRST_DAY)
         sep = re.sub(r"\d", "", m[0])[0]
         if len(orders) == 1:
             return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
@@ -182,7 +186,9 @@ _NUMBERS = re.compile(
     r")"
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_HEAD = re.compile(r"\+\d{1,3}[ .(-]|\+|")
+#: Country codes of telephone numbers (ITU-T E.164): none is the beginning of another, and those not listed have three digits.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
+_TRUNK = re.compile(r"(?<=[0-9 .-])\(0\)")
 _DIGIT = re.compile(r"[0-9]")
 _KINDS = {"iban": _iban, "card": _card, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone}
 

@@ -264,3 +264,39 @@ def test_pipeline_keeps_one_of_large_copy_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = p.drop_near_copies(spark, p.drop_boilerplate(spark, df, ""), "").collect()
     assert [r.text for r in kept if r.doc_id < 100] == [article]
+
+
+# --- personal data: notations -------------------------------------------------------
+
+
+def test_dates_stay_linked_in_all_notations():
+    seen = set()
+    for day in range(1, 29):
+        year, month, d = P.replace(f"2020-04-{day:02d}")[0].split("-")
+        assert P.replace(f"{day:02d}.04.2020")[0] == f"{d}.{month}.{year}"
+        if day > 12:
+            assert P.replace(f"04/{day}/2020")[0] == f"{month}/{d}/{year}"
+        assert (int(d) > 12) == (day > 12)
+        seen.add((year, month, d))
+    assert len(seen) == 28
+
+
+@pytest.mark.parametrize(
+    "spellings",
+    [
+        ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1-415-555-2671", "+1.415.555.2671"],
+        ["+49301234567", "+49 30 1234567", "+49 (0)30 1234567", "+49-30-1234567"],
+        ["+353871234567", "+353 87 1234567", "+353 87 123 4567"],
+    ],
+)
+def test_telephone_numbers_stay_linked_in_all_notations(spellings):
+    made = [P.replace(x)[0] for x in spellings]
+    assert len({re.sub(r"\D", "", x.replace("(0)", "")) for x in made}) == 1
+    for old, new in zip(spellings, made, strict=True):
+        assert old != new and re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new)
+        assert ("(0)" in old) == ("(0)" in new)
+    assert "415 555 2671" not in made[1]
+
+
+def test_national_numbers_are_linked_to_international_ones():
+    assert P.replace("+1 415 555 2671")[0] == "+1 " + P.replace("415 555 2671")[0]
