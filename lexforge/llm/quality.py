@@ -13,6 +13,7 @@ All of it is built-in expressions. Only the statistics read the texts.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,34 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Share of a group that the estimate is made from, number of concentration steps, and least rows of a group that gets an estimate of its own.
 SUPPORT, STEPS, MIN_GROUP = 0.75, 8, 40
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """The chi-square distribution for an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def chi_square_quantile(p: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < p else (low, middle)
+    return high
+
+
+def consistency(support: float, degrees: int) -> float:
+    """What the covariance of a normal sample's nearest ``support`` is multiplied by to estimate that of the whole."""
+    return support / chi_square(chi_square_quantile(support, degrees), degrees + 2) if support < 1 else 1.0
+
+
+#: Share of normal documents that are kept, and the squared distance beyond which a document is an outlier: the quantile for the four statistics.
+KEPT = 0.9999
+CUTOFF = chi_square_quantile(KEPT, 4)
+#: Least deviations that reject a document from a group where the statistic is constant, on the scale of ``vector``:
+#: words 1.3 times as long, symbols at 5 %, repeated lines at 3 % and repeated words at 20 % of the words.
+EXTREMES = {"word_length": math.log(1.3), "symbols": math.log1p(50 * 0.05), "dup_lines": math.log1p(50 * 0.03), "repeats": math.log1p(20 * 0.2)}
 #: Least standard deviation of each statistic, so that a constant one leaves the determinant above zero.
-FLOORS = {"word_length": 0.05, "symbols": 0.35, "dup_lines": 0.25, "repeats": 0.5}
-#: Squared distance beyond which a document is an outlier.
-CUTOFF = 40.0
+FLOORS = {a: d / math.sqrt(CUTOFF) for a, d in EXTREMES.items()}
 #: Parts of a group where there are too many groups for a broadcast.
 SALTS = 16
 #: Relative error of the distance quantile that selects the nearest part.
@@ -96,12 +121,12 @@ def _distance(x: list[str]) -> Column:
     return reduce(lambda s, v: s + v * v, solved, F.lit(0.0))
 
 
-def _factored(estimate: DataFrame, x: list[str]) -> DataFrame:
-    """Group rows with the Cholesky factor of their floored covariance."""
+def _factored(estimate: DataFrame, x: list[str], scale: float = 1.0) -> DataFrame:
+    """Group rows with the Cholesky factor of their covariance, multiplied by ``scale`` and floored."""
     out = estimate
     for i, a in enumerate(x):
         for j, b in enumerate(x[: i + 1]):
-            cov = F.coalesce(F.col(f"cov_{a}_{b}"), F.lit(0.0)) + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))
+            cov = scale * F.coalesce(F.col(f"cov_{a}_{b}"), F.lit(0.0)) + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))
             rest = reduce(lambda s, k: s - F.col(f"l_{a}_{x[k]}") * F.col(f"l_{b}_{x[k]}"), range(j), cov)
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
     return out.select("g1", "g2", *(f"mean_{a}" for a in x), *(f"l_{a}_{b}" for i, a in enumerate(x) for b in x[: i + 1]))
@@ -137,7 +162,7 @@ def covariance_estimates(vectors: DataFrame, x: list[str], groups: int, support:
         now = stage_table(now, f"estimate{step}", groups)
         far = _with_estimate(vectors, now, groups).select("g1", "g2", *x, _distance(x).alias("d2"))
         limit = far.groupBy("g1", "g2").agg(F.percentile_approx("d2", F.lit(support), F.lit(QUANTILE_ACCURACY)).alias("limit"))
-        now = _factored(_with_estimate(far, limit, groups).filter("d2 <= limit").groupBy("g1", "g2").agg(*_moments(x)), x)
+        now = _factored(_with_estimate(far, limit, groups).filter("d2 <= limit").groupBy("g1", "g2").agg(*_moments(x)), x, consistency(support, len(x)))
     return now
 
 

@@ -300,3 +300,30 @@ def test_telephone_numbers_stay_linked_in_all_notations(spellings):
 
 def test_national_numbers_are_linked_to_international_ones():
     assert P.replace("+1 415 555 2671")[0] == "+1 " + P.replace("415 555 2671")[0]
+
+
+# --- quality: the cut-off -----------------------------------------------------------
+
+
+def test_chi_square():
+    assert quality.chi_square_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-4)
+    assert quality.chi_square_quantile(0.9999, 4) == pytest.approx(quality.CUTOFF) == pytest.approx(23.5127, abs=1e-4)
+    assert quality.consistency(0.75, 4) == pytest.approx(1.4864, abs=1e-4) and quality.consistency(1, 4) == 1
+
+
+def test_each_statistic_alone_rejects_from_a_clean_group(spark):
+    words = lambda i, n=100: [f"w{(i * 1009 + k) % 90000 + 10000}" for k in range(n)]
+    good = [(i, " ".join(words(i, 90 + i % 20)), "en", "s") for i in range(120)]
+    w = words(500)
+    odd = {
+        "word_length": " ".join(x * 3 for x in w),
+        "symbols": " ".join(x + "#" if k % 10 == 0 else x for k, x in enumerate(w)),
+        "dup_lines": "\n".join(" ".join(w[k * 15 : k * 15 + 15]) + "\nmenu" for k in range(6)),
+        "repeats": " ".join(w[:80] + w[20:40]),
+        "half": " ".join(w[:76] + w[10:34]),
+    }
+    df = spark.createDataFrame(good + [(1000 + k, t, "en", "s") for k, t in enumerate(odd.values())], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert all(got[i].kept for i, *_ in good)
+    for k, name in enumerate(odd):
+        assert not got[1000 + k].base_failed and not got[1000 + k].kept, (name, got[1000 + k])
