@@ -1,10 +1,12 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash trees of one fixed depth with exact verification.
 
 Rows whose word sequences are equal are one text class; the join runs on the
-classes. Each class has a signature in every tree of the forest. Sorted by its
-signature, a tree is a prefix trie; the classes below one node are candidates.
-Starting from the longest prefix, the prefix that must match is shortened until
-pairs at the threshold meet in some tree with the target recall.
+classes. Each class has one key in every tree, a hash of as many minima as the
+trees are deep; classes with an equal key are candidates. The depth is fixed
+before the data are seen: the largest at which pairs at the threshold meet in
+some tree with the target recall. It stands for the LSH forest's descent from
+longer prefixes: a join of all pairs above a threshold ends at that depth in any
+case, and what meets at a longer prefix meets there, too.
 
 A node below which the same classes meet as in an earlier tree adds no pair and
 is left out. The rest is verified where it meets, in blocks of bounded size, on
