@@ -1,13 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a path of tags from the root. For each path of a page the
-length of its texts and their punctuation are summed and divided by its nodes:
-prose paths have long, punctuated nodes, menus short ones without. The ratios
-are smoothed over the page's node order, the text and punctuation ratios are
-fused into one score, and paths above the page's threshold are content. The
-container that holds most of the content then decides about the short nodes
-inside it (headlines, one-word paragraphs) and outside it; blocks on other
-content paths stay, unless the page declares its article.
+Every text node has a path of tags (with their class names) from the root. For
+each path of a page the length of its texts and their punctuation are summed and
+divided by its nodes: prose paths have long, punctuated nodes, menus short ones
+without. Text and punctuation ratios are fused into one score, smoothed over the
+page's node order, and weighed by what the tags and names on the path say. Paths
+above the page's threshold are content. The container that holds most of the
+content then takes in the short nodes inside it (headlines, one-word
+paragraphs), but not the parts whose names mark them and whose scores stay below
+the threshold, nor lists of links; blocks on other content paths stay, unless
+the page declares its article.
+
+Paths are integers of a trie that is built in one pass over the page, and sums
+go up the trie once, so the time is linear in the page, however deep or broken
+its markup is.
 """
 
 from __future__ import annotations
@@ -15,7 +21,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -26,33 +34,82 @@ from lexforge.runtime import bounded_batches, col, fresh
 NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input label iframe object svg canvas video audio dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-RAW = re.compile(r"</(script|style|textarea|title)\b[^>]*>", re.I)
-#: Words in class, id or role that mark a part around the article.
-AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|header|masthead|footer|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-?(?:list|section|area|form|thread|box|body|item|wrapper|content|respond)s?|disqus|replies|reply|respond|complementary|contentinfo|search|login|pagination|pager|toolbar|widget)(?:$|[\s_-])",
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
+INLINE = frozenset("p b i em strong span a u pre font h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl div section table tbody tr".split())
+DECLARED = ("article", "main")
+#: Words in class, id or role that mark a part around the article; words that say nothing about it; words that turn a header into the article's own.
+MARKING = re.compile(
+    r"ads?|advert\w*|banners?|promo\w*|sponsor\w*|nav\w*|menus?|breadcrumbs?|sidebars?|header|masthead|footer|cookies?\w*|consent|gdpr|notices?|notifications?|alerts?|popup|modal|newsletter|signup|subscribe|share|sharing|social|related|recommend\w*|teasers?|comments?|disqus|replies|reply|respond|complementary|contentinfo|search|login|pagination|pager|toolbar|widgets?",
     re.I,
 )
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button card cards column container content entry footer form global group header image images inner item items left link links list main name outer page panel post posts right section site story text thread title top unit wrap wrapper".split()
+)
+HEADS = frozenset(("article", "entry", "post", "story"))
+#: Words before a mark that say what a wrapper has beside the article, not that it is around it.
+BESIDE = re.compile(r"(?:^|[\s_-])(?:has|with|no|without)[_-]+[\w-]*", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that an opening tag closes when they are open beneath their nearest container.
-CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEEPS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+KEEPS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+OPENING = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-#: Words before a mark that say what a wrapper has beside the article, not that it is around it.
-BESIDE = re.compile(r"(?:^|[\s_-])(?:has|with|no|without)[_-]+[\w-]*", re.I)
-
-#: Standard deviation of the smoothing over nodes, and the share of the mean score that content paths reach.
-SMOOTHING, THRESHOLD = 1.0, 0.5
-#: Share of the content's characters that the container holds, and share of linked characters from which a path in it is a list of links.
-COVER, LINKED = 0.8, 0.5
-
-
-class Node:
-    __slots__ = ("block", "linked", "marks", "outside", "path", "text")
-
-    def __init__(self, path: tuple[str, ...], text: str, block: int, outside: bool, linked: bool, marks: tuple[int, ...] = ()):
-        self.path, self.text, self.block, self.outside, self.linked, self.marks = path, text, block, outside, linked, marks
+#: Standard deviation of the smoothing over nodes, share of the mean score that content paths reach, and their least score.
+SMOOTHING, THRESHOLD, FLOOR = 1.0, 0.5, 0.5
+#: Weights of a path: under a declared article, under names that only mark, and under names that mark among other words.
+ARTICLE, MARKED, MIXED = 3.0, 0.01, 0.6
+#: Share of the content's characters that the container holds, share of linked characters from which a path is no prose, and the links and their share that make a list of links.
+COVER, LINKED, LINKS, LINK_SHARE = 0.8, 0.5, 3, 0.9
+
+
+class Paths:
+    """The tag paths of one page as a trie; a path's number is larger than its parent's."""
+
+    def __init__(self):
+        self._known: dict[tuple[int, str], int] = {}
+        self.parent, self.tag, self.outside, self.linked, self.declared, self.mark = [0], [""], [False], [False], [False], [0.0]
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+    def step(self, at: int, tag: str, names: str, hidden: bool) -> int:
+        key = (at, f"{tag}.{names}!" if hidden else f"{tag}.{names}")
+        path = self._known.get(key)
+        if path is None:
+            path = self._known[key] = len(self.parent)
+            inside = self.declared[at]
+            # A heading group inside the article belongs to it.
+            never = hidden or tag in NEVER and not (tag == "header" and inside)
+            self.parent.append(at)
+            self.tag.append(tag)
+            self.outside.append(self.outside[at] or never)
+            self.linked.append(self.linked[at] or tag == "a")
+            self.declared.append(inside or tag in DECLARED)
+            self.mark.append(0.0 if tag in ("html", "body", *DECLARED) else marking(names, inside))
+        return path
+
+    def sums(self, own: list) -> list:
+        """Of each path, the sum over all paths that begin with it."""
+        out = list(own)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+
+def marking(names: str, inside: bool) -> float:
+    """The weight of an element's names if they mark it as a part around the article, else 0."""
+    found = 0.0
+    for name in BESIDE.sub(" ", names).split() if names else ():
+        words = [w.lower() for w in WORD.findall(name)]
+        marks = {w for w in words if MARKING.fullmatch(w)}
+        if not marks or marks == {"header"} and (inside or HEADS.intersection(words)):
+            continue
+        found = MARKED if all(w in marks or w in NEUTRAL for w in words) else max(found, MIXED) if found != MARKED else found
+    return found
 
 
 def _attributes(said: str) -> tuple[str, bool]:
@@ -66,188 +123,281 @@ def _attributes(said: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
-def nodes(page: str) -> list[Node]:
-    """Text nodes in page order; tags that are left open or closed twice are put up with."""
-    out: list[Node] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, its step in the path, outside the article, within a link, the elements around it that only their names mark
-    declared: list[tuple[int, ...]] = []  # marked elements around each article or main element
-    block, at, end, marked = 0, 0, len(page), 0
+class TagEnds:
+    """Where tags end: at the first > outside quotes; where a quote is never closed, at the first > of all.
 
-    def text(raw: str) -> None:
-        if raw:
-            top = stack[-1] if stack else ("", "", False, False, ())
-            out.append(Node(tuple(s[1] for s in stack), html.unescape(raw), block, top[2], top[3], top[4]))
+    What follows an opening quote is found once, so that all tags of a page are
+    read in linear time.
+    """
 
-    while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+    def __init__(self, page: str):
+        self._page, self._after, self._unclosed = page, {}, {}
+
+    def _close(self, at: int) -> int:
+        quote = self._page[at]
+        if at >= self._unclosed.get(quote, len(self._page)):
+            return -1
+        close = self._page.find(quote, at + 1)
+        if close < 0:
+            self._unclosed[quote] = at
+        return close
+
+    def end(self, start: int) -> int:
+        """The place of the > of a tag whose name ends at ``start``, or -1."""
+        at, passed = start, []
+        while True:
+            m = STOP.search(self._page, at)
+            if m is None or m[0] == ">":
+                found = m.start() if m else -1
+                break
+            if m.start() in self._after:
+                found = self._after[m.start()]
+                break
+            passed.append(m.start())
+            close = self._close(m.start())
+            if close < 0:
+                found = -1
+                break
+            at = close + 1
+        self._after.update(dict.fromkeys(passed, found))
+        return found if found >= 0 else self._page.find(">", start)
+
+
+class _Open:
+    """The open elements: by their order, and where each tag and each block is open."""
+
+    def __init__(self, paths: Paths):
+        self._paths, self._tags, self._at, self._by_tag, self._blocks = paths, [], [], defaultdict(list), []
+
+    @property
+    def path(self) -> int:
+        return self._at[-1] if self._at else 0
+
+    def last(self, tags) -> int:
+        return max((self._by_tag[t][-1] for t in tags if self._by_tag.get(t)), default=-1)
+
+    def last_block(self) -> int:
+        return self._blocks[-1] if self._blocks else -1
+
+    def push(self, tag: str, names: str, hidden: bool) -> None:
+        self._at.append(self._paths.step(self.path, tag, names, hidden))
+        self._by_tag[tag].append(len(self._tags))
+        if tag in BLOCKS:
+            self._blocks.append(len(self._tags))
+        self._tags.append(tag)
+
+    def cut(self, to: int) -> None:
+        while len(self._tags) > to:
+            tag = self._tags.pop()
+            self._at.pop()
+            self._by_tag[tag].pop()
+            if tag in BLOCKS:
+                self._blocks.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.last((tag,))
+        # An inline end tag does not reach out of its block.
+        if at >= 0 and (tag in BLOCKS or at > self.last_block()):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """End what an opening tag ends."""
+        if tag == "body":
+            while self._tags and self._tags[-1] != "html":
+                self.cut(len(self._tags) - 1)
+        elif tag in BLOCKS and tag != "html":
+            # A paragraph, and what is open in it, ends where a block begins.
+            at = self.last(("p",))
+            if at >= 0 and at == self.last_block():
+                self.cut(at)
+        if tag in CLOSES:
+            at = self.last(CLOSES[tag])
+            while at > self.last(KEEPS[tag]):
+                self.cut(at)
+                at = self.last(CLOSES[tag]) if tag == "tr" else -1
+
+
+def nodes(page: str) -> tuple[Paths, list[tuple[int, int, str]]]:
+    """The paths of a page and its text nodes (path, block, text) in page order; broken markup is put up with."""
+    paths, out = Paths(), []
+    stack, ends, last = _Open(paths), TagEnds(page), page.rfind(">")
+    block, begun, at, end = 0, 0, 0, len(page)
+
+    def text(upto: int) -> None:
+        if upto > begun:
+            out.append((stack.path, block, html.unescape(page[begun:upto])))
+
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", at):
+            text(at)
+            close = page.find("-->", at + 4)
+            begun = at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            text(at)
+            begun = at = page.find(">", at) + 1
             continue
-        tag = m[2].lower()
+        m = OPENING.match(page, at)
+        if not m:
+            at += 1
+            continue
+        text(at)
+        close = ends.end(m.end())
+        said, tag = page[m.end() : close], m[2].lower()
+        begun = at = close + 1
         if tag == "br":
-            text(" ")
+            out.append((stack.path, block, " "))
             continue
         if tag in BLOCKS:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i][0] in BLOCKS:
-                    break  # an inline end tag does not reach out of its block
+            stack.close(tag)
             continue
-        if tag in BLOCKS and tag not in ("html", "body"):
-            # A paragraph, and what is open in it, ends where a block begins.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-            if stack[i][0] in CLOSES[tag]:
-                del stack[i:]
-                break
-            if stack[i][0] in KEEPS[tag]:
-                break
-        if tag == "body":
-            stack = [s for s in stack if s[0] == "html"]
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        stack.make_room(tag)
+        if tag in VOID or said.endswith("/") and tag not in BLOCKS:
             continue
-        if tag in ("script", "style", "textarea", "title"):
-            close = next((c for c in RAW.finditer(page, at) if c[1].lower() == tag), None)
-            at = close.end() if close else end
+        if tag in RAW:
+            over = RAW[tag].search(page, at)
+            close = page.find(">", over.end()) if over else -1
+            begun = at = close + 1 if close >= 0 else end
             continue
-        names, hidden = _attributes(m[3]) if m[3] else ("", False)
-        # A page's or an article's own wrapper is not around the article, whatever it is called.
-        names_said = BESIDE.sub(" ", names)
-        around = hidden or tag in NEVER or bool(names and tag not in ("html", "body", "main", "article") and AROUND.search(names_said))
-        over = stack[-1] if stack else ("", "", False, False, ())
-        # A heading group inside the article belongs to it.
-        if around and not hidden and any(s[0] in ("article", "main") for s in stack):
-            said = AROUND.search(names_said) if names else None
-            around = not (tag == "header" or tag not in NEVER and said and said[0].strip(" _-").lower() == "header")
-        marks = over[4]
-        if around and not hidden and tag not in NEVER:
-            around, marked, marks = False, marked + 1, (*marks, marked)
-        if tag in ("article", "main") and not over[2] and not around:
-            declared.append(marks)
-        stack.append((tag, f"{tag}.{names}" if names else tag, over[2] or around, over[3] or tag == "a", marks))
-    _leave_out(out, declared)
-    return out
-
-
-def _leave_out(found: list[Node], declared: list[tuple[int, ...]]) -> None:
-    """Put nodes under elements with marking names outside, unless the element encloses the article.
-
-    It does if it holds every declared article and the greater part of the
-    page's text, or, where none is declared, ``COVER`` of that text.
-    """
-    under: dict[int, int] = {}
-    total = 0
-    for x in found:
-        if not x.outside:
-            n = len(x.text.strip())
-            total += n
-            for k in x.marks:
-                under[k] = under.get(k, 0) + n
-    wraps = {k for k, n in under.items() if (all(k in d for d in declared) and 2 * n > total if declared else n >= COVER * total)}
-    for x in found:
-        x.outside = x.outside or not wraps.issuperset(x.marks)
+        stack.push(tag, *(_attributes(said) if said else ("", False)))
+    text(end)
+    return paths, out
 
 
 def _smoothed(values: list[float]) -> list[float]:
     reach = int(3 * SMOOTHING)
-    kernel = [math.exp(-(d * d) / (2 * SMOOTHING**2)) for d in range(-reach, reach + 1)]
-    out = []
-    for i in range(len(values)):
-        total = weight = 0.0
-        for d, k in zip(range(-reach, reach + 1), kernel, strict=True):
-            if 0 <= i + d < len(values):
-                total += k * values[i + d]
-                weight += k
-        out.append(total / weight)
-    return out
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * SMOOTHING**2))
+    centre = slice(reach, reach + len(values))
+    return (np.convolve(values, kernel)[centre] / np.convolve(np.ones(len(values)), kernel)[centre]).tolist()
+
+
+def path_scores(paths: Paths, inside: list[tuple[int, int, str]]) -> dict[int, float]:
+    """Fused and smoothed text and punctuation ratios of each path, before weights."""
+    sums: dict[int, list[float]] = {}
+    for path, _, text in inside:
+        s = sums.setdefault(path, [0, 0, 0])
+        if not paths.linked[path]:
+            s[0] += len(text.strip())
+            s[1] += len(PUNCTUATION.findall(text))
+        s[2] += 1
+    # One mark more than there is, so that unpunctuated prose counts by its length.
+    fused = {p: math.sqrt(chars / n * (1 + marks / n)) for p, (chars, marks, n) in sums.items()}
+    totals = dict.fromkeys(fused, 0.0)
+    for (path, *_), v in zip(inside, _smoothed([fused[x[0]] for x in inside]), strict=True):
+        totals[path] += v
+    return {p: math.sqrt(fused[p] * t / sums[p][2]) for p, t in totals.items()}
 
 
-def path_scores(inside: list[Node]) -> dict[tuple[str, ...], float]:
-    """Smoothed and fused ratios of each path."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for x in inside:
-        s = sums.setdefault(x.path, [0, 0, 0])
-        s[0] += 0 if x.linked else len(x.text.strip())
-        s[1] += 0 if x.linked else len(PUNCTUATION.findall(x.text))
-        s[2] += 1
-    fused = {p: math.sqrt((chars / n) * (marks / n)) for p, (chars, marks, n) in sums.items()}
-    totals: dict[tuple[str, ...], list[float]] = {}
-    for x, v in zip(inside, _smoothed([fused[x.path] for x in inside]), strict=True):
-        t = totals.setdefault(x.path, [0.0, 0])
-        t[0] += v
-        t[1] += 1
-    return {p: math.sqrt(fused[p] * t / n) for p, (t, n) in totals.items()}
-
-
-def _container(chars: dict[tuple[str, ...], int]) -> tuple[str, ...]:
-    """The deepest path prefix that still covers most of the content's characters, above the paragraphs themselves."""
-    total, under = sum(chars.values()), {}
-    for path, n in chars.items():
-        for k in range(len(path) + 1):
-            under[path[:k]] = under.get(path[:k], 0) + n
-    best: tuple[str, ...] = ()
-    for prefix, n in under.items():
-        if n >= COVER * total and len(prefix) > len(best) and (not prefix or prefix[-1].split(".")[0] not in ("p", "b", "i", "em", "strong", "span", "a", "u", "pre", "font")):
-            best = prefix
+def path_weights(paths: Paths, chars: list[int]) -> tuple[list[float], list[bool]]:
+    """What the tags and names on each path say of it, and whether its last step's names mark it.
+
+    The names of an element that encloses the article do not count. It does if
+    it holds every declared article and the greater part of the page's text, or,
+    where none is declared, ``COVER`` of that text.
+    """
+    under, n = paths.sums(chars), len(paths)
+    articles = paths.sums([int(paths.tag[k] in DECLARED and not paths.outside[k] and not paths.mark[k]) for k in range(n)])
+    out, marked = [1.0] * n, [False] * n
+    for k in range(1, n):
+        p = paths.parent[k]
+        wraps = articles[k] == articles[0] and 2 * under[k] > under[0] if articles[0] else under[k] >= COVER * under[0]
+        marked[k] = paths.mark[k] > 0 and not wraps
+        out[k] = out[p] * (paths.mark[k] if marked[k] else 1.0) * (ARTICLE if paths.declared[k] and not paths.declared[p] else 1.0)
+    return out, marked
+
+
+def _container(paths: Paths, chars: list[int]) -> int:
+    """The deepest path that still covers most of the content's characters, above the paragraphs themselves."""
+    under, depth, best = paths.sums(chars), [0] * len(paths), 0
+    for k in range(1, len(paths)):
+        depth[k] = depth[paths.parent[k]] + 1
+        if under[k] >= COVER * under[0] and depth[k] > depth[best] and paths.tag[k] not in INLINE:
+            best = k
     # An element that is declared as the article holds all of it, lists and tables, too.
-    declared = [i for i, step in enumerate(best) if step.split(".")[0] in ("article", "main")]
-    return best[: declared[-1] + 1] if declared else best
+    top = best
+    while top and paths.tag[top] not in DECLARED:
+        top = paths.parent[top]
+    return top or best
+
+
+def _left_out(paths: Paths, marked: list[bool], score: list[float], chars: list[int], linked: list[int], nodes_: list[int], least: float) -> list[bool]:
+    """Paths under names that mark and with scores under ``least``, and lists of nothing but links."""
+    total, all_, links, count = paths.sums([s * c for s, c in zip(score, chars, strict=True)]), paths.sums(chars), paths.sums(linked), paths.sums(nodes_)
+    out = [False] * len(paths)
+    for k in range(1, len(paths)):
+        poor = total[k] < least * all_[k]
+        menu = paths.tag[k] in LISTS and count[k] >= LINKS and links[k] >= LINK_SHARE * all_[k]
+        out[k] = out[paths.parent[k]] or poor and (marked[k] or menu)
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line ends; empty if there is none."""
-    found = nodes(page or "")
-    inside = [x for x in found if not x.outside and x.text.strip()]
+    paths, found = nodes(page or "")
+    found = [x for x in found if not paths.outside[x[0]]]
+    inside = [x for x in found if x[2].strip()]
     if not inside:
         return ""
-    scores = path_scores(inside)
-    chars: dict[tuple[str, ...], int] = {}
-    linked: dict[tuple[str, ...], int] = {}
-    for x in inside:
-        chars[x.path] = chars.get(x.path, 0) + len(x.text.strip())
-        linked[x.path] = linked.get(x.path, 0) + (len(x.text.strip()) if x.linked else 0)
-    mean = sum(scores[p] * n for p, n in chars.items()) / sum(chars.values())
-    content = {p for p in scores if scores[p] >= THRESHOLD * mean and linked[p] < LINKED * chars[p]} or set(chars)
-    top = _container({p: chars[p] for p in content})
-    bare = not top or top[-1].split(".")[0] in ("html", "body")
-    blocks: dict[int, list[Node]] = {}
-    for x in found:
-        if not x.outside:
-            blocks.setdefault(x.block, []).append(x)
-
-    def wanted(block: list[Node]) -> bool:
-        if any(_headline(x.path, top, bare) for x in block):
+    n = len(paths)
+    chars, linked, count = [0] * n, [0] * n, [0] * n
+    for path, _, text in inside:
+        size = len(text.strip())
+        chars[path] += size
+        linked[path] += size if paths.linked[path] else 0
+        count[path] += 1 if paths.linked[path] else 0
+    weight, marked = path_weights(paths, chars)
+    score = [0.0] * n
+    for path, s in path_scores(paths, inside).items():
+        score[path] = s * weight[path]
+    sure = [c * w for c, w in zip(chars, weight, strict=True)]
+    least = max(THRESHOLD * sum(s * c for s, c in zip(score, sure, strict=True)) / max(sum(sure), 1e-9), FLOOR)
+    content = {p for p, *_ in inside if score[p] >= least and linked[p] < LINKED * chars[p]}
+    if not content and not (content := {p for p, *_ in inside if weight[p] >= 1}):
+        return ""
+    top = _container(paths, [c if p in content else 0 for p, c in enumerate(chars)])
+    bare = paths.tag[top] in ("", "html", "body")
+    dropped = _left_out(paths, marked, score, chars, linked, count, least)
+    holds = _below(paths, top)
+    above, k = {top}, top
+    while k:
+        k = paths.parent[k]
+        above.add(k)
+    blocks: dict[int, list[tuple[int, str]]] = {}
+    for path, block, text in found:
+        if path in content or not dropped[path]:
+            blocks.setdefault(block, []).append((path, text))
+
+    def headline(path: int) -> bool:
+        """Whether a node outside the content paths heads the content: a title beside or above the container."""
+        return paths.tag[path] == "h1" and paths.parent[path] in above or bare and re.fullmatch("h[1-6]", paths.tag[path]) is not None
+
+    def wanted(block: list[tuple[int, str]]) -> bool:
+        if any(headline(p) for p, _ in block):
             return True
         if not bare:
-            if any(x.path[: len(top)] == top for x in block):
+            if any(holds[p] for p, _ in block):
                 return True
             # Content beside the container stays, unless an element is declared as the article.
-            if any(step.split(".")[0] in ("article", "main") for step in top):
+            if paths.declared[top]:
                 return False
         # Outside a container a block goes by the greater part of it, so that what is set off inside a paragraph stays.
-        return 2 * sum(len(x.text.strip()) for x in block if x.path in content) > sum(len(x.text.strip()) for x in block)
+        return 2 * sum(len(t.strip()) for p, t in block if p in content) > sum(len(t.strip()) for _, t in block)
 
-    lines = [" ".join("".join(x.text for x in block).split()) for _, block in sorted(blocks.items()) if wanted(block)]
+    lines = [" ".join("".join(t for _, t in block).split()) for _, block in sorted(blocks.items()) if wanted(block)]
     return "\n".join(x for x in lines if x)
 
 
-def _headline(path: tuple[str, ...], top: tuple[str, ...], bare: bool) -> bool:
-    """Whether a node outside the content paths heads the content: a title beside or above the container."""
-    tag = path[-1].split(".")[0] if path else ""
-    return tag == "h1" and path[:-1] == top[: len(path) - 1] or bare and re.fullmatch("h[1-6]", tag) is not None
+def _below(paths: Paths, top: int) -> list[bool]:
+    out = [False] * len(paths)
+    out[top] = True
+    for k in range(top + 1, len(paths)):
+        out[k] = out[paths.parent[k]]
+    return out
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

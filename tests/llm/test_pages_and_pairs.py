@@ -165,3 +165,56 @@ def test_a_name_on_the_wrapper_does_not_empty_the_page(name, tag):
 def test_comments_as_articles_stay_outside():
     page = f'<html><body><article>{paragraphs(PROSE[:5])}</article><div class="comments"><article>{paragraphs(PROSE[5:])}</article></div></body></html>'
     assert html.main_text(page).split("\n") == PROSE[:5]
+
+
+SPLIT = "".join(f"<p>{x}</p>" for x in PROSE[:6])
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<section class='related-work'><h2>Related work</h2><p>{x}</p></section>", True),
+        ("<div id='notice-of-intent'><p>{x}</p></div>", True),
+        ("<div class='notification'><p>{x}</p></div>", False),
+        ("<div class='teaser'><h3>{x}</h3></div>", False),
+        ("<div class='cookieBanner'><p>{x}</p></div>", False),
+        ("<div class='post-comments'><p>{x}</p></div>", False),
+        ("<ul><li><a href=1>One thing</a><li><a href=2>Other thing</a><li><a href=3>Third thing</a></ul>", False),
+        ("<ul><li>One thing<li>Other thing</ul>", True),
+        ("<div hidden><p>{x}</p></div>", False),
+        ("<aside><p>{x}</p></aside>", False),
+    ],
+)
+@pytest.mark.parametrize("wrapper", ["article", "main", "div class=story"])
+def test_scores_decide_about_parts_of_the_article(wrapper, part, kept):
+    said = part.format(x=PROSE[9])
+    page = f"<html><body><div class='top-menu'><a href=/>Home</a></div><{wrapper}><h1>Head</h1>{SPLIT}{said}</{wrapper.split()[0]}></body></html>"
+    blocks = [b for b in re.sub("<[^>]*>", "\n", said).split("\n") if b]
+    assert html.main_text(page).split("\n") == ["Head", *PROSE[:6], *(blocks if kept else [])]
+
+
+def test_tiny_articles_beside_prose_that_is_marked():
+    for body in ("x", "two words"):
+        page = f"<body><nav><a href=a>Menu</a></nav><div class='ad'>{' '.join(PROSE[:3])}</div><article><h1>{body}</h1><p>{body}</p></article><footer>No, no.</footer></body>"
+        assert html.main_text(page) == f"{body}\n{body}"
+    assert html.main_text(f"<body><div class='ad'>{PROSE[0]}</div><article></article></body>") == ""
+
+
+@pytest.mark.parametrize("unit", ["<b>x, y. ", "<font>x, y. ", "<a ", "<a '\"", "<!x", "<i><div></b>", "<p><i></div></i>", "<div class='ad'>x", "<script></script", "</i>", "<li>a", "&amp;,"])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    def seconds(size):
+        began = time.process_time()
+        html.main_text(unit * (size // len(unit)))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 20 * max(seconds(125_000), 0.05)
+    assert seconds(1_000_000) < 15
+
+
+def test_long_pages(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {k}, which says: words.</p>" for k in range(40_000)) + "</article>"
+    got = html.extract(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
+    assert got[0].text.count("\n") == 39_999 and got[1].text == ""
