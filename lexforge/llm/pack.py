@@ -15,6 +15,8 @@ No piece is lost by that, and a node's memory is bounded by capacity x fan-in.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -31,7 +33,8 @@ CAPACITY = 1024
 NEARLY_FULL = 8
 #: Nodes that meet in one node of the next level.
 FAN_IN = 8
-#: Pieces that a partition packs at once.
+#: Pieces that a partition packs at once, so that its memory is bounded. What a window leaves underfull goes up the
+#: tree like that of a partition; sequences that are only nearly full stay so, at most NEARLY_FULL / CAPACITY of the room.
 WINDOW = 200_000
 
 
@@ -80,14 +83,26 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 class TokenBytes:
     """Ids of whole texts by a ``tokenizers`` file, as little-endian 32-bit words.
 
-    The file's byte-level pre-tokenizer splits by ``pattern``; splitting first
-    lets a word be looked up, and only new words go through the model.
+    As the library does, texts are first split at the file's added tokens, which
+    stand for themselves; the file's byte-level pre-tokenizer then splits by
+    ``pattern``. Splitting here lets a word be looked up, and only new words go
+    through the model. A file with a normalizer, another pre-tokenizer or
+    added tokens that take in their surroundings is refused.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        before, added = said["pre_tokenizer"] or {}, said["added_tokens"]
+        if said["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"not a plain byte-level tokenizer: {path}")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"added tokens that look at their surroundings: {path}")
+        self._added = {t["content"]: t["id"].to_bytes(4, "little") for t in added if t["content"]}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
         model = Tokenizer.from_file(path).model
         letters = sorted(ByteLevel.alphabet())
         plain = [c for c in letters if ord(c) < 256]
@@ -102,6 +117,11 @@ class TokenBytes:
         self._find, self._ids = PreTokenizer(pattern).findall, WordCache(ids).__getitem__
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return b"".join([self._added[x] if x in self._added else self._plain(x) for x in self._split(text)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         return b"".join(map(self._ids, self._find(text)))
 
 

@@ -36,7 +36,6 @@ def test_stages_against_brute_force(spark, sf_dir):
             assert "[SECRET]" in texts[r.doc_id] and not brute_base(texts[r.doc_id])
     before, after = seen["best_fit_packing"]
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     check_packing(after, {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 2] for r in before})
 
 

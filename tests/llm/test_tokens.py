@@ -112,9 +112,7 @@ def check_packing(rows, ids, capacity=1024):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_query_packs_everything(spark, sf_dir, tokenizer):
@@ -140,3 +138,27 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(None, "a", 1), (7, "b", 2), (7, "b", 2)], "doc_id long, text string, bin long")
     rows = pack.pack(df, JSON, P.PATTERN, 2).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["7", "7", "None"]
+
+
+@given(text=st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "word", "'s", "é", "12", "<|"]), max_size=12).map("".join)))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_the_librarys(tokenizer, text):
+    blob = pack.token_bytes(JSON, P.PATTERN)(text)
+    assert [int.from_bytes(blob[k : k + 4], "little") for k in range(0, len(blob), 4)] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_texts(spark, tokenizer):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>" * 3000), (3, "a<|endoftext|>"), (4, None), (5, "x" * 200_000), (6, "long words " * 100_000)]
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    assert ids[1] == [31373, 220, 50256, 995, 2]
+    check_packing(pack.pack(spark.createDataFrame(rows, "doc_id long, text string"), JSON, P.PATTERN, 2).collect(), ids)
+
+
+def test_unknown_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(JSON, encoding="utf-8") as f:
+        said = json.load(f)
+    (tmp_path / "t.json").write_text(json.dumps(said | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    with pytest.raises(ValueError, match="byte-level"):
+        pack.TokenBytes(str(tmp_path / "t.json"), P.PATTERN)
