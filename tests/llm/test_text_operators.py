@@ -121,18 +121,81 @@ def test_exact(spark):
 
 
 def test_index_persists(spark, tmp_path):
-    place = str(tmp_path / "index")
-    first = exact.DigestIndex(spark, "lf_one", 4, place)
-    assert all(r.kept for r in first.absorb(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).collect())
-    first.drop()
-    second = exact.DigestIndex(spark, "lf_two", 4, place)
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in second.absorb(spark.createDataFrame([(8, "A"), (9, "c"), (7, "c")], "doc_id long, text string")).collect()}
+    place = f"file://{tmp_path}/index"
+    first = exact.DigestIndex(spark, place, 4)
+    assert all(r.kept for r in first.absorb(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), "one").collect())
+    first.close()
+    second = exact.DigestIndex(spark, place, 4)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in second.absorb(spark.createDataFrame([(8, "A"), (9, "c"), (7, "c")], "doc_id long, text string"), "two").collect()}
     assert got == {8: (1, 2, False), 9: (9, 2, True), 7: (9, 2, False)}
     assert second.read().count() == 3
-    other = second.read().withColumnRenamed("keep_id", "k").drop("batch").hint("merge")
-    plan = second.read().join(other, "digest")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
-    second.drop()
+    second.close()
+
+
+def test_segments_are_read_in_their_buckets_and_order(spark, tmp_path):
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    for k in range(2):
+        index.absorb(spark.range(k * 50, k * 50 + 60).selectExpr("id AS doc_id", "concat('t', id) AS text"), f"b{k}").collect()
+    one, two = index.segments()
+    with exact._ordered_scans(spark):
+        plan = index._open(one).hint("merge").join(index._open(two), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.compact()
+    assert len(index.segments()) == 1 and index.read().count() == 110 and index.read().select("digest").distinct().count() == 110
+    index.close()
+
+
+@pytest.mark.parametrize("when", ["before the append", "within the append", "after the append", "after a merge"])
+def test_a_batch_that_died_can_be_done_again(spark, tmp_path, when, monkeypatch):
+    place = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(1, "old"), (2, "x"), (3, "x"), (4, "y")], "doc_id long, text string")
+    exact.DigestIndex(spark, place, 3).absorb(docs.filter("doc_id = 1"), "first").count()
+    dying = exact.DigestIndex(spark, place, 3)
+    write = exact.DigestIndex._write
+
+    def dies(self, rows, name):
+        if when == "within the append":
+            write(self, rows, name)
+            path, fs = self._path(f"{name}/_SUCCESS")
+            fs.delete(path, False)
+        if when != "before the append" and when != "within the append":
+            write(self, rows, name)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(exact.DigestIndex, "_write", dies)
+    with pytest.raises(KeyboardInterrupt):
+        dying.absorb(docs, "second")
+    monkeypatch.undo()
+    if when == "after a merge":
+        exact.DigestIndex(spark, place, 3).compact()
+    again = exact.DigestIndex(spark, place, 3)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in again.absorb(docs, "second").collect()}
+    assert got == {1: (1, 2, False), 2: (3, 2, False), 3: (3, 2, True), 4: (4, 1, True)}
+    assert {r.doc_id: r.kept for r in again.absorb(docs, "third").collect()} == dict.fromkeys((1, 2, 3, 4), False)
+
+
+def test_many_batches_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "MAX_SEGMENTS", 2)
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    for k in range(4):
+        got = {r.doc_id: r.kept for r in index.absorb(spark.createDataFrame([(k, "same"), (10 + k, f"own {k}")], "doc_id long, text string"), f"b{k}").collect()}
+        assert got == {k: k == 0, 10 + k: True}
+    assert len(index.segments()) <= 2
+    index.close()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_do_not_change_the_result(spark, batches):
+    rows = [(i * 7919 % 101, f"Text {i % 23}") for i in range(101)] + [(None, "text 1"), (None, None), (5, "text 5"), (5, "TEXT 5"), (300, "long " * 100_000)]
+    got = exact.dedup(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3, batches=batches).collect()
+    by_hash = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in brute_exact(rows).items()}
+    assert len(got) == len(rows) and all((r.keep_id, r.group_size) == by_hash[r.text_sha256] for r in got)
+    assert sum(r.kept for r in got) == len(by_hash) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_ids_that_are_no_numbers(spark):
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact.dedup(spark.createDataFrame([("a", "x"), ("b", "X")], "doc_id string, text string"), buckets=2).collect()}
+    assert got == {"a": ("b", False), "b": ("b", True)}
 
 
 def test_hot_digest(spark):
