@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.llm import html, jaccard
 
@@ -114,16 +115,41 @@ def test_against_all_pairs(spark):
     assert kept == sorted({c for c, *_ in brute(rows).values()})
 
 
+def test_large_groups_of_near_copies_cost_rows_in_proportion(spark, monkeypatch):
+    n, counted, stage = 20_000, {}, jaccard.stage_table
+
+    def watched(df, label, rows=None):
+        out = stage(df, label, rows)
+        counted[label] = counted.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage_table", watched)
+    words = F.array(*(F.lit(f"w{k}") for k in range(120)))
+    text = F.array_join(F.transform(words, lambda w, k: F.when(k == F.col("id") % 110 + 5, F.concat(F.lit("own"), F.col("id"))).otherwise(w)), " ")
+    df = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = jaccard.similar(df)
+    assert got.filter(f"class_id = 0 AND n_links = {n - 1} AND n_copies = 1").count() == n
+    assert counted["members"] + counted["balls"] + counted["verified"] <= 2 * n
+
+
+def test_loose_groups_against_all_pairs(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(i, near_copies(rng, words, rng.randrange(5))) for i in range(300)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert got == brute(rows)
+
+
 def test_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     assert [(r.n_copies, r.n_links) for r in jaccard.similar(df).collect()] == [(3, 0)] * 3
     assert jaccard.similar(df.limit(0)).count() == 0
 
 
-def test_depth_reaches_the_recall():
-    d = jaccard.forest_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < jaccard.RECALL
+def test_prefixes_shorten_to_the_recall():
+    lengths = jaccard.depths()
+    assert lengths == list(range(jaccard.MAX_DEPTH, lengths[-1] - 1, -1))
+    assert 1 - jaccard.missed(0.8, lengths[-1], jaccard.TREES) >= jaccard.RECALL > 1 - jaccard.missed(0.8, lengths[-1] + 1, jaccard.TREES)
 
 
 def test_components_of_a_long_path(spark):
