@@ -3,8 +3,12 @@
 Lines travel as 16-byte digests. A page is a distinct text of its host: its
 copies are merged on the map side, too, before its lines are counted. The pages
 of a (host, line) are counted with map-side partial sums, so that a hot host,
-page or line costs one short row for each task. A host's boilerplate lines can be no more than its lines per page divided
-by the ratio; they come back to the documents as one array for each host.
+page or line costs one short row for each task.
+
+Where all boilerplate lines together are few, they go to the texts by broadcast,
+one array for each host. Beyond that bound the lines of each text meet the list
+as short (row, digest) rows, of which hot lines go by broadcast, and what was
+found is dealt to the texts by row, so that no host gathers its texts.
 """
 
 from __future__ import annotations
@@ -12,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.runtime import BROADCAST_ROWS, checked_broadcast, col, fresh, stage_table
+from lexforge.runtime import BROADCAST_ROWS, col, fresh, join_back, stage_table
 
 #: A line on more than this share of a host's pages is boilerplate,
 MAX_RATIO = 0.02
 #: if it is on so many pages at least.
 MIN_PAGES = 5
+#: Lines on more pages than both this and a HOT_SHARE-th of all rows meet their rows by broadcast.
+HOT_PAGES, HOT_SHARE = 500, 10_000
 
 
 def _lines(text):
@@ -27,26 +33,27 @@ def _lines(text):
 def _digest(line):
     """Of a line without surrounding blanks; null for a blank line."""
     bare = F.trim(F.regexp_replace(line, "[\\t\\r]", " "))
-    return F.when(bare != "", F.unhex(F.md5(bare)))
+    return F.when(bare != "", F.md5(bare))
 
 
 def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, digests) of the lines to drop, one row for each host that has any."""
+    """(host, digest, on) of the lines to drop, and on how many pages they are."""
     key, page = F.coalesce(col(host).cast("string"), F.lit("")), F.unhex(F.md5(col(text).cast("string")))
     # Copies of one text are one page, of which only the digests of the lines are shuffled.
-    pages = docs.select(key.alias("host"), page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    texts = docs.select(key.alias("host"), page.alias("page"), F.array_distinct(F.transform(_lines(col(text)), _digest)).alias("digests"))
-    once = texts.groupBy("host", "page").agg(F.first("digests").alias("digests"))
+    pages = docs.select(key.alias("host"), page.alias("page")).filter("page is not null").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    digests = F.array_distinct(F.transform(_lines(col(text)), lambda x: F.unhex(_digest(x))))
+    once = docs.select(key.alias("host"), page.alias("page"), digests.alias("digests")).groupBy("host", "page").agg(F.first("digests").alias("digests"))
     # A page counts once for a line, however often it repeats it.
     seen = once.select("host", F.explode("digests").alias("digest")).filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
-    return seen.join(pages, "host").filter(F.col("on") > max_ratio * F.col("pages")).groupBy("host").agg(F.collect_set("digest").alias("digests"))
+    return seen.join(pages, "host").filter(F.col("on") > max_ratio * F.col("pages")).select("host", "digest", "on")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_dropped (long).
 
     All occurrences of a line go when the pages of the host that contain it are
-    more than ``max_ratio`` of the host's pages, and ``min_pages`` at least.
+    more than ``max_ratio`` of the host's pages, and ``min_pages`` at least; a
+    line on exactly ``max_ratio`` of them stays.
     Pages are distinct texts: whole copies of a text count as one page, so that
     they do not make its own lines boilerplate.
     Lines compare without surrounding blanks; blank lines stay. A null host is a
@@ -54,25 +61,49 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     null, an empty text is one blank line. Columns already named n_lines or
     n_dropped are replaced.
     """
+    bad = fresh(docs, "bad")
     found = stage_table(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    key, bad = fresh(docs, "host"), fresh(docs, "digests")
-    small = checked_broadcast(found.select(F.col("host").alias(key), F.col("digests").alias(bad)), found.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0])
-    kept = fresh(docs, "kept")
-    rows = docs.withColumn(key, F.coalesce(col(host).cast("string"), F.lit(""))).join(small, key, "left")
+    key = F.coalesce(col(host).cast("string"), F.lit(""))
+    rows = _by_host(docs, key, found, bad) if found.count() <= broadcast_lines else _by_row(docs, key, text, found, bad)
+    parts, kept = fresh(docs, "parts"), fresh(docs, "kept")
+    lines_ = _lines(col(text))
+    rows = rows.withColumn(parts, F.when(F.size(bad) > 0, F.arrays_zip(lines_.alias("line"), F.transform(lines_, _digest).alias("digest"))))
+    # Of a host's list only what the text has is compared with each line.
+    own = F.array_intersect(F.transform(parts, lambda x: x["digest"]), bad)
+    stays = F.transform(F.filter(parts, lambda x: x["digest"].isNull() | ~F.array_contains(F.col(bad), x["digest"])), lambda x: x["line"])
     return (
-        rows.withColumn(kept, F.when(col(bad).isNull(), _lines(col(text))).otherwise(F.filter(_lines(col(text)), lambda x: ~F.coalesce(F.array_contains(col(bad), _digest(x)), F.lit(False)))))
-        .withColumn("n_lines", F.when(col(text).isNull(), 0).otherwise(F.size(_lines(col(text)))).cast("long"))
+        rows.withColumn(bad, own)
+        .withColumn(kept, F.when(F.size(bad) > 0, stays).otherwise(lines_))
+        .withColumn("n_lines", F.when(col(text).isNull(), 0).otherwise(F.size(lines_)).cast("long"))
         .withColumn("n_dropped", F.when(col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
         .withColumn(text, F.when(col(text).isNotNull(), F.concat_ws("\n", kept)))
-        .drop(key, bad, kept)
+        .drop(bad, parts, kept)
     )
 
 
+def _by_host(docs: DataFrame, key, found: DataFrame, bad: str) -> DataFrame:
+    """``docs`` with the digests of their host's boilerplate, by broadcast."""
+    host = fresh(docs, "host")
+    lists = found.groupBy(F.col("host").alias(host)).agg(F.collect_list(F.lower(F.hex("digest"))).alias(bad))
+    return docs.withColumn(host, key).join(F.broadcast(lists), host, "left").drop(host)
+
+
+def _by_row(docs: DataFrame, key, text: str, found: DataFrame, bad: str) -> DataFrame:
+    """``docs`` with the digests of their own boilerplate, however many lines all hosts have."""
+    row, line = fresh(docs, "row"), F.concat(F.encode("host", "UTF-8"), F.lit(b"\0"), "digest")
+    whole = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    each = whole.select(F.col(row).alias("row"), key.alias("host"), F.explode(F.array_distinct(F.transform(_lines(col(text)), lambda x: F.unhex(_digest(x))))).alias("digest")).filter("digest is not null")
+    met = join_back(each.select("row", "digest", line.alias("line")), found.select(line.alias("line"), "on"), "line", "on", max(HOT_PAGES, whole.count() // HOT_SHARE))
+    lists = met.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.lower(F.hex("digest"))).alias(bad))
+    return whole.join(lists, row, "left").drop(row)
+
+
+#: The same rows; copies of a text are one page.
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-pages AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+pages AS (SELECT host, count(DISTINCT text) AS pages FROM d GROUP BY host),
 once AS (
-  SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(replace(replace(x, chr(9), ' '), chr(13), ' '))), lambda x: x <> ''))) AS line FROM d
+  SELECT DISTINCT host, text, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(replace(replace(x, chr(9), ' '), chr(13), ' '))), lambda x: x <> ''))) AS line FROM d
 ),
 bad AS (
   SELECT host, line FROM (SELECT host, line, count(*) AS n FROM once GROUP BY host, line) JOIN pages USING (host)

@@ -23,14 +23,23 @@ def test_queries_equal_their_sql(spark, sf_dir, con, name):
 
 def brute_lines(rows, ratio, least):
     pages, seen = Counter(), Counter()
-    for _, host, text in rows:
-        pages[host or ""] += 1
+    for host, text in {(host or "", text) for _, host, text in rows}:
+        pages[host] += text is not None
         for x in {y.strip(" ") for y in (text or "").replace("\t", " ").replace("\r", " ").split("\n")} - {""}:
-            seen[host or "", x] += 1
+            seen[host, x] += 1
     bad = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if (h or "", x.replace("\t", " ").replace("\r", " ").strip(" ")) not in bad)) for i, h, t in rows]
 
 
+@pytest.mark.parametrize("bound", [0, 100])
+def test_both_ways_back_to_the_texts(spark, bound):
+    rows = [(i, "a" if i % 3 else None, f"menu\nown {i}\n\n  menu \tx\nfoot {i % 4}") for i in range(60)] + [(100, "b", "menu\n" * 20_000), (101, None, None), (102, "a", "long " * 100_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, source string, text string, line string")
+    got = lines.drop_boilerplate(df, broadcast_lines=bound)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(brute_lines(rows, 0.02, 5), key=repr)
+
+
 def test_line_dedup(spark):
     rows = [(i, "a", f"menu\nown {i}\n\n  menu \tx") for i in range(6)] + [(10, None, "menu"), (11, "a", None), (12, "a", ""), (0, "a", "menu\nown 0")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, source string, text string, N_LINES string")
@@ -299,6 +308,30 @@ def test_redact(spark):
     assert got == [(1, "a [SECRET] b 😀 [SECRET]' c"), (1, "other"), (2, "None"), (3, "clean")]
 
 
+def test_many_hits_in_one_text(spark):
+    import time
+
+    def text(n):
+        return " ".join(f"😀 token=abcdefgh{k} login: bob{k} AKIAABCDEFGHIJKLM{k} wJalrXUtnFEMIK7MDENGbPxRf{k}" for k in range(n))
+
+    seconds = []
+    for n in (200, 4000, 16_000):
+        began = time.monotonic()
+        r = secrets.report(spark.createDataFrame([(1, text(n))], "doc_id long, text string")).first()
+        assert r.n_assign == n and r.n_access == n and r.base_sha256 == hashlib.sha256(brute_base(text(n)).encode()).hexdigest()
+        assert r.spans.count("ident:") == n
+        seconds.append(time.monotonic() - began)
+    assert seconds[2] < 5 * seconds[1] + 5
+    whole = secrets.redact(spark.createDataFrame([(1, text(4000))], "doc_id long, text string")).first().text
+    assert whole == " ".join(["😀 [SECRET] [SECRET] [SECRET] [SECRET]"] * 4000)
+
+
+def test_redact_only_moves_suspects(spark):
+    df = spark.createDataFrame([(k, f"clean text {k} https://a.example/{k}") for k in range(50)] + [(99, "token=abcdefgh1")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert got == {k: f"clean text {k} https://a.example/{k}" for k in range(50)} | {99: "[SECRET]"}
+
+
 # --- line dedup: copies of a page ---------------------------------------------------
 
 
