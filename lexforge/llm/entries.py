@@ -42,6 +42,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(texts(spark, sf_dir))
 
 
+def quality_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    found = quality.base_statistics(texts(spark, sf_dir).select("doc_id", "text")).withColumn("base_failed", quality.base_failed())
+    return found.drop("text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return language.identify(docs).select("doc_id", "language", "confidence", "kept")
@@ -62,9 +68,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_byte_bpe, op2_best_fit_packing, op3_line_dedup, op4_pii, op5_exact_dedup, op6_quality_rules, op7_language_id, op8_secret_scans, op9_html_extraction, op10_ngram_jaccard)
+        for f in (op1_byte_bpe, op2_best_fit_packing, op3_line_dedup, op4_pii, op5_exact_dedup, op6_quality_rules, quality_base_statistics, op7_language_id, op8_secret_scans, op9_html_extraction, op10_ngram_jaccard)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "op8_secret_scans": secrets.OP8_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "quality_base_statistics": quality.OP6_BASE_SQL, "op8_secret_scans": secrets.OP8_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}

@@ -2,7 +2,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.llm import entries, exact, language, lines, pii, quality, secrets
 from tests import oracle
@@ -232,6 +234,55 @@ def test_statistics(spark, sf_dir):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_statistics(r.text)
 
 
+def plain_estimate(v, salts, x):
+    """The minimum-covariance-determinant estimate of one group, step by step."""
+    n, k = v.shape
+    floors = np.diag([quality.FLOORS[a] ** 2 for a in x])
+    order = lambda a, p: np.sort(a)[max(int(np.ceil(p * n)) - 1, 0)]
+    starts = [(np.array([order(v[:, i], 0.5) for i in range(k)]), np.diag([((order(v[:, i], 0.75) - order(v[:, i], 0.25)) / 1.349) ** 2 for i in range(k)]) + floors)]
+    for part in range(quality.PARTS):
+        some = v[salts % quality.PARTS == part]
+        if len(some):
+            starts.append((some.mean(axis=0), np.cov(some.T, bias=True) + floors))
+
+    def step(mean, cov):
+        d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+        near = v[d2 <= order(d2, quality.SUPPORT)]
+        return near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(quality.SUPPORT, k) + floors
+
+    for _ in range(quality.FIRST_STEPS):
+        starts = [step(*s) for s in starts]
+    best = min(starts, key=lambda s: np.linalg.det(s[1]))
+    for _ in range(quality.STEPS):
+        best = step(*best)
+    return best
+
+
+def test_estimates_against_numpy(spark):
+    rng, x = np.random.default_rng(3), list(quality.vector())
+    made = []
+    for g, n in (("a", 300), ("b", 41)):
+        v = rng.multivariate_normal([1.7, 0.2, 0.1, 0.3], np.diag([0.01, 0.04, 0.02, 0.05]) + 0.005, size=n)
+        v[: n // 6] += [0.5, 3, 2, 1]
+        made.append((g, v, rng.integers(0, quality.SALTS, n)))
+    rows = [(g, "s", int(s), *map(float, r)) for g, v, salts in made for r, s in zip(v, salts, strict=True)]
+    df = spark.createDataFrame(rows, ["g1", "g2", "salt", *x]).withColumn("salt", F.col("salt").cast("int")).repartition(3)
+    got = {r.g1: r for r in quality.covariance_estimates(df, x, 2).collect()}
+    for g, v, salts in made:
+        mean, cov = plain_estimate(v, salts, x)
+        assert [got[g][f"mean_{a}"] for a in x] == pytest.approx(list(mean), rel=1e-6)
+        assert [got[g][f"cov_{a}_{b}"] for i, a in enumerate(x) for b in x[: i + 1]] == pytest.approx([cov[i, j] for i in range(4) for j in range(i + 1)], rel=1e-6, abs=1e-9)
+        assert np.abs(mean - [1.7, 0.2, 0.1, 0.3]).max() < 0.1
+
+
+def test_small_groups_lean_on_their_language(spark):
+    words = lambda i, n: " ".join(f"w{(i * 1009 + k) % 90000 + 10000}" for k in range(n))
+    big = [(i, words(i, 90 + i % 20), "en", "big") for i in range(150)]
+    small = [(500, words(500, 100), "en", "small"), (501, " ".join(w + "##" for w in words(501, 100).split()), "en", "small"), (502, words(502, 99), "en", None)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(big + small, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[500] and not got[501] and got[502] and all(got[i] for i in range(150))
+
+
 def test_outliers(spark):
     good = [(i, " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(80 + i % 40)), "en", "s") for i in range(120)]
     junk = [(1000 + i, " ".join(f"word{i * 100 + k}###" for k in range(90)), "en", "s") for i in range(6)]
