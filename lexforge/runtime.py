@@ -56,7 +56,9 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches are no larger than the bounds above.
 
     A batch of texts stands in the executor's memory several times, on both
-    sides; the default bounds suit rows of numbers.
+    sides; the default bounds suit rows of numbers. The session reads its bounds
+    when a plan runs, so that they stay: looser ones of the caller's are lowered
+    for good, tighter ones are kept.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
@@ -133,6 +135,19 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, copies: str, hot: in
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key, how), allowMissingColumns=True)
 
 
+def salted_join(rows: DataFrame, few: DataFrame, key: str, copies: str, salt: Column, part: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``: one row for each ``key``, with its number of rows in ``copies``, which both sides have.
+
+    The rows of a key are dealt by ``salt`` over as many places as they fill
+    with ``part`` rows each, so that a hot key is no hot task; nothing is
+    broadcast. The salt must not change when a row is computed again.
+    """
+    place = fresh(few, "salt")
+    parts = F.floor(F.col(copies) / part).cast("int")
+    spread_ = few.withColumn(place, F.explode(F.sequence(F.lit(0), parts))).drop(copies)
+    return rows.withColumn(place, F.pmod(salt, parts + 1).cast("int")).join(spread_, [key, place], how).drop(place)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     name, n = f"_lf_{stem}", 0
