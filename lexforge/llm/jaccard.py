@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.tokenize import WordCache
-from lexforge.runtime import bounded_batches, checked_broadcast, col, fresh, join_back, stage_table
+from lexforge.runtime import bounded_batches, checked_broadcast, col, fresh, join_back, salted_join, stage_table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, longest prefix, and the share of pairs at the threshold that meet at the shortest prefixes.
@@ -174,13 +174,6 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, words: int
     return sets if sets.count() == count else sets.dropDuplicates(["node"])
 
 
-def _salted(rows: DataFrame, few: DataFrame, key: str, n: str) -> DataFrame:
-    """``rows`` joined with ``few`` (one row for each ``key``, and ``n``, its number of rows), at most ``HOT_ROWS`` in one place on average."""
-    parts = F.floor(F.col(n) / HOT_ROWS).cast("int")
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts)))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.floor(F.col(n) / HOT_ROWS) + 1).cast("int")).join(copies.drop(n), [key, "_salt"]).drop("_salt")
-
-
 def _balls(reps: DataFrame, sets: DataFrame, trees: int, threshold: float, rows: int) -> DataFrame:
     """(node, ball, rho, most): classes that belong together, how far each is from their centre, and how far two may be.
 
@@ -219,7 +212,7 @@ def _balls(reps: DataFrame, sets: DataFrame, trees: int, threshold: float, rows:
                 most.append((1 - threshold) * len(y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rho, pa.float64()), pa.array(most, pa.float64())], names=["node", "ball", "rho", "most"])
 
-    pairs = _salted(members.join(sets, "node"), centres, "ball", "n").select("node", "ball", "set", "centre")
+    pairs = salted_join(members.join(sets, "node"), centres, "ball", "n", F.xxhash64("node"), HOT_ROWS).select("node", "ball", "set", "centre")
     placed = stage_table(bounded_batches(pairs).mapInArrow(run, "node bigint, ball bigint, rho double, most double").filter(F.col("rho") <= F.col("most") + _EPS), "placed", rows)
     hubs = placed.groupBy("ball").agg(F.min(F.struct("rho", "node")).alias("hub"), F.count("*").alias("n"))
     near = F.col("rho") + F.col("hub.rho") <= F.col("most") + _EPS
@@ -239,7 +232,7 @@ def _sure_links(balls: DataFrame, rows: int) -> DataFrame:
     sizes = steps.select("ball", "n")
     near = F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + F.when(x["rho"] + F.col("rho") <= F.col("most") + _EPS, x["n"]).otherwise(0))
     itself = (2 * F.col("rho") <= F.col("most") + _EPS).cast("long")
-    return _salted(join_back(balls, sizes, "ball", "n", max(HOT_ROWS, rows // HOT_SHARE)), steps, "ball", "n").select("node", (near - itself).alias("links")).filter("links > 0")
+    return salted_join(join_back(balls, sizes, "ball", "n", max(HOT_ROWS, rows // HOT_SHARE)), steps, "ball", "n", F.xxhash64("node"), HOT_ROWS).select("node", (near - itself).alias("links")).filter("links > 0")
 
 
 def _members(below: DataFrame, first: bool, block: int, rows: int) -> DataFrame:
