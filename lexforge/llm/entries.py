@@ -50,7 +50,7 @@ def quality_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return language.identify(docs).select("doc_id", "language", "confidence", "kept")
+    return language.identify(docs, columns=["doc_id"])
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

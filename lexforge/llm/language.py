@@ -4,8 +4,11 @@ Four sources of evidence add up as log odds: the likelihood of the text under a
 byte-trigram model of each language, the language that the markup declares, the
 suffix of the address, and a prior of the host. Host priors are smoothed in a
 hierarchy (host, parent domain, whole corpus) from counts over all documents,
-made by grouped aggregation with map-side sums. A uniform model stands for any
-other language.
+made by grouped aggregation with map-side sums; a document is judged by the
+counts of all others. A uniform model stands for any other language.
+
+Texts are read once: what remains of each is its score under each language, and
+the fusion is built-in expressions on these short vectors.
 """
 
 from __future__ import annotations
@@ -19,12 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import bounded_batches, checked_broadcast, col, fresh, stage_table
+from lexforge.runtime import BROADCAST_ROWS, bounded_batches, col, fresh, salted_join, stage_table
 
 #: Labelled rows of each language that the text model is fitted on, about; chosen by a hash of the row.
 SAMPLE_ROWS = 2_000
-#: Labels with fewer rows are not languages of their own.
-MIN_ROWS = 5
 #: Trigrams are hashed into so many places.
 PLACES = 1 << 16
 #: Overlapping trigrams repeat each other; their log likelihoods count by this factor.
@@ -33,6 +34,8 @@ TEXT_WEIGHT = 1 / 3
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.8
 #: Documents' worth of the level above that each level of the prior is mixed with.
 PRIOR_WEIGHT = 10.0
+#: Rows of a host in one place where there are too many hosts for a broadcast.
+HOST_ROWS = 1_000
 #: Prior of any other language, and least posterior of a document that stays.
 OTHER_PRIOR, MIN_CONFIDENCE = 1e-3, 0.5
 #: Address suffixes that speak for a language.
@@ -74,15 +77,17 @@ class TextModel:
 def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """The text model from a bounded sample of rows with a declared language.
 
-    What comes to the driver is one number for each language and place, however
-    many rows there are.
+    Every label is a language, by its first part in lower case ("de" of
+    "de-AT"). What comes to the driver is one number for each language and
+    place, however many rows there are.
     """
-    labelled = docs.filter(col(declared).isNotNull() & col(text).isNotNull() & (col(declared) != ""))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(col(declared)).count().orderBy(F.desc("count"), col(declared)).limit(256).collect() if r[1] >= MIN_ROWS}
+    label = primary(col(declared).cast("string"))
+    labelled = docs.select(label.alias("lang"), col(text).cast("string").alias("text")).filter("lang <> '' AND text IS NOT NULL")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return TextModel([], np.zeros((0, PLACES)))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))))
-    drawn = labelled.filter(F.pmod(F.xxhash64(col(text)), F.lit(1_000_003)) < F.get(F.map_values(F.map_filter(share, lambda k, _: k == col(declared))), F.lit(0)) * 1_000_003)
+    drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
 
     def count(batches: Iterable[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}
@@ -96,7 +101,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample_rows
             at = np.nonzero(s)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "place", "n"])
 
-    rows = bounded_batches(drawn.select(col(declared).alias("lang"), col(text).alias("text"))).mapInArrow(count, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    rows = bounded_batches(drawn).mapInArrow(count, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     counts = np.zeros((len(languages), PLACES))
     which = {k: i for i, k in enumerate(languages)}
@@ -110,7 +115,13 @@ def host_of(address: Column) -> Column:
 
 
 def parent_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*(?:\.[^.]*)?)$", 1)
+    """The registered domain: two labels, or three beneath a country's general ones (co.uk and the like)."""
+    return F.regexp_extract(host, r"((?:[^.]+\.)?(?:(?:ac|co|com|edu|go|gob|gouv|gov|ne|net|or|org)\.[a-z]{2}|[^.]*))$", 1)
+
+
+def primary(declared: Column) -> Column:
+    """The language of a tag such as de-AT, in lower case; empty for null."""
+    return F.lower(F.coalesce(F.regexp_extract(F.trim(declared), "^([^-_]*)", 1), F.lit("")))
 
 
 def _trust(languages: list[str], said: str | None, trust: float) -> np.ndarray:
@@ -122,80 +133,88 @@ def _trust(languages: list[str], said: str | None, trust: float) -> np.ndarray:
     return out
 
 
-def _said(declared: str | None) -> str | None:
-    return declared.lower().replace("_", "-").split("-")[0] if declared else None
+def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text", declared: str = "lang", address: str = "source", suffixes: dict[str, str] = SUFFIXES, columns: list[str] | None = None, broadcast_hosts: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` (or its ``columns``) with language, confidence (double) and kept (boolean).
 
-
-def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text", declared: str = "lang", address: str = "source", suffixes: dict[str, str] = SUFFIXES) -> DataFrame:
-    """``docs`` with language, confidence (double) and kept (boolean).
-
-    language is the one of the highest posterior, "und" if a uniform model
+    language is the one of the highest posterior (of equal ones the first by
+    name), "und" if a uniform model
     explains the text better than every known language does. A document is kept
     if it has a trigram with a letter, is not "und", and its posterior is 0.5 or
     more. Null text counts as empty, a null declaration or address as no
     evidence; rows without an address share one host. Without any labelled row
-    no language is known, and nothing is kept. Every row is judged on its own,
-    repeated ones too. An empty table gives no rows. Columns already
-    named language, confidence or kept are replaced. Texts are read twice
-    (counts for the priors, then the verdict) so that they are never shuffled or
-    stored while the hosts fit a broadcast.
+    no language is known, and nothing is kept. Repeated rows are judged each,
+    and count for one another's hosts. An empty table gives no rows. Columns
+    already named language, confidence or kept are replaced.
     """
     model = model or fit(docs, text, declared)
     langs, n = model.languages, len(model.languages)
     key = host_of(col(address).cast("string")) if address in docs.columns else F.lit("")
-    key = F.coalesce(key, F.lit(""))
-
-    def likely(value: str | None, said: str | None, host: str) -> tuple[np.ndarray, int]:
-        e, grams_seen = model.evidence(value or "")
-        return e + _trust(langs, _said(said), DECLARED_TRUST) + _trust(langs, suffixes.get(host.rpartition(".")[2]) if "." in host else None, SUFFIX_TRUST), grams_seen
-
-    def first(batches):
-        for batch in batches:
-            best = []
-            for value, said, host in zip(*batch.columns, strict=True):
-                e, seen = likely(value.as_py(), said.as_py(), host.as_py())
-                best.append(int(e.argmax()) if seen and n else -1)
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(best, pa.int32())], names=["host", "best"])
-
-    picked = docs.select(col(text).cast("string").alias("text"), col(declared).cast("string").alias("said"), key.alias("host"))
-    counts = bounded_batches(picked).mapInArrow(first, "host string, best int").filter("best >= 0").groupBy("host", "best").agg(F.count("*").alias("n"))
-    priors, hosts = _host_priors(counts, n)
-
     made = {"language", "confidence", "kept"}
-    kept = [c for c in docs.columns if c.lower() not in made]
-    host, prior = fresh(docs, "host"), fresh(docs, "prior")
-    text_at, said_at = kept.index(text), kept.index(declared)
-    schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("language string, confidence double, kept boolean").fields])
-    flat = [math.log(1 / n)] * n if n else []
+    kept = [c for c in columns or docs.columns if c.lower() not in made]
+    host, parent, scores, vote, seen = (fresh(docs, x) for x in ("host", "parent", "scores", "vote", "seen"))
+    value, said = fresh(docs, "value"), fresh(docs, "said")
+    fields = StructType.fromDDL(f"`{host}` string, `{scores}` array<double>, `{seen}` boolean").fields
+    schema = StructType([*(docs.schema[c] for c in kept), *fields])
 
-    def fuse(batches):
+    def score(batches):
         for batch in batches:
-            languages, confidences, stays = [], [], []
-            for value, said, h, p in zip(batch.column(text_at), batch.column(said_at), batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
-                e, seen = likely(value.as_py(), said.as_py(), h.as_py())
-                score = np.append(e + np.array(p.as_py() or flat) + math.log(1 - OTHER_PRIOR), math.log(OTHER_PRIOR))
-                post = np.exp(score - score.max())
-                post /= post.sum()
-                best = int(post.argmax())
-                languages.append(langs[best] if best < n else "und")
-                confidences.append(float(post[best]))
-                stays.append(seen > 0 and best < n and post[best] >= MIN_CONFIDENCE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(languages, pa.string()), pa.array(confidences, pa.float64()), pa.array(stays, pa.bool_())], names=[*kept, *made_in_order])
-
-    made_in_order = ["language", "confidence", "kept"]
-    small = checked_broadcast(priors.select(F.col("host").alias(host), F.col("prior").alias(prior)), hosts)
-    return docs.select(*map(col, kept)).withColumn(host, key).join(small, host, "left").select(*map(col, kept), host, prior).mapInArrow(fuse, schema)
-
-
-def _host_priors(counts: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(host, prior: array of log priors) of each host, and how many hosts there are."""
-    counts = stage_table(counts.withColumn("parent", parent_of(F.col("host"))), "hosts")
-    vector = F.array(*(F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)).cast("double") for k in range(n))) if n else F.array().cast("array<double>")
-    mix = lambda own, above: F.transform(F.zip_with(own, above, lambda a, b: a + PRIOR_WEIGHT * b), lambda v: v / (F.aggregate(own, F.lit(0.0), lambda s, x: s + x) + PRIOR_WEIGHT))
-    whole = counts.agg(vector.alias("v")).first()[0] or []
-    total = sum(whole)
-    base = F.array(*(F.lit((x + 1) / (total + n)) for x in whole)) if whole else F.array().cast("array<double>")
-    parents = counts.groupBy("parent").agg(vector.alias("own")).select("parent", mix(F.col("own"), base).alias("above"))
-    hosts = counts.groupBy("host", "parent").agg(vector.alias("own")).join(parents, "parent").select("host", mix(F.col("own"), F.col("above")).alias("p"))
-    out = stage_table(hosts.select("host", F.transform("p", lambda x: F.log(x)).alias("prior")), "priors")
-    return out, out.count()
+            at, out, letters = len(kept), [], []
+            for v, d, h in zip(batch.column(at), batch.column(at + 1), batch.column(at + 2), strict=True):
+                e, grams_seen = model.evidence(v.as_py() or "")
+                h = h.as_py()
+                e = e + _trust(langs, d.as_py(), DECLARED_TRUST) + _trust(langs, suffixes.get(h.rpartition(".")[2]) if "." in h else None, SUFFIX_TRUST)
+                out.append(e)
+                letters.append(grams_seen > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], batch.column(at + 2), pa.array(out, pa.list_(pa.float64())), pa.array(letters, pa.bool_())], names=[*kept, host, scores, seen])
+
+    picked = docs.select(*map(col, kept), col(text).cast("string").alias(value), primary(col(declared).cast("string")).alias(said), F.coalesce(key, F.lit("")).alias(host))
+    rows = stage_table(bounded_batches(picked).mapInArrow(score, schema), "scores")
+    # The document's own vote, by all evidence but the host's.
+    rows = rows.withColumn(vote, F.when(col(seen) & (F.size(scores) > 0), F.array_position(scores, F.array_max(scores)) - 1))
+    hosts, whole = _host_counts(rows.select(col(host).alias("host"), col(vote).alias("vote")), n)
+    counts = hosts.count()
+    renamed = hosts.select(F.col("host").alias(host), *(F.col(x).alias(fresh(docs, x)) for x in ("own", "above", "copies")))
+    own, above, copies = (fresh(docs, x) for x in ("own", "above", "copies"))
+    if counts <= broadcast_hosts:
+        met = rows.join(F.broadcast(renamed), host, "left")
+    else:
+        met = _by_salt(rows, renamed, host, copies)
+    # What all others say of the host, its domain and the corpus.
+    others = lambda c: F.transform(c, lambda v, i: v - F.when(i == F.col(vote), 1.0).otherwise(0.0))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    corpus = F.array(*(F.lit(float(v)) for v in whole)) if n else F.array().cast("array<double>")
+    base = F.transform(others(corpus), lambda v: (v + 1) / (total(others(corpus)) + n))
+    mixed = lambda c, up: F.zip_with(c, up, lambda v, u: (v + PRIOR_WEIGHT * u) / (total(c) + PRIOR_WEIGHT))
+    prior, posterior = fresh(docs, "prior"), fresh(docs, "posterior")
+    met = met.withColumn(prior, base).withColumn(prior, mixed(others(F.col(above)), F.col(prior))).withColumn(prior, mixed(others(F.col(own)), F.col(prior)))
+    met = met.withColumn(posterior, F.zip_with(scores, prior, lambda e, p: e + F.log(p) + math.log(1 - OTHER_PRIOR)))
+    best, other = F.array_max(posterior), F.lit(math.log(OTHER_PRIOR))
+    known = F.coalesce(best >= other, F.lit(False))
+    top = F.when(known, best).otherwise(other)
+    confidence = 1 / (F.exp(other - top) + F.aggregate(posterior, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+    names = F.array(*map(F.lit, langs)).cast("array<string>")
+    language = F.when(known, F.get(names, (F.array_position(posterior, best) - 1).cast("int"))).otherwise("und")
+    found = met.withColumns({"language": language, "confidence": confidence})
+    return found.withColumn("kept", F.col(seen) & (F.col("language") != "und") & (F.col("confidence") >= MIN_CONFIDENCE)).select(*map(col, kept), "language", "confidence", "kept")
+
+
+def _by_salt(rows: DataFrame, hosts: DataFrame, host: str, copies: str) -> DataFrame:
+    """Rows beside the counts of their host; hosts with many rows are dealt over many places.
+
+    How many rows a host has goes to its rows by broadcast where it is hot;
+    all others have few.
+    """
+    hot = hosts.filter(F.col(copies) > HOST_ROWS * 100).select(host, copies)
+    sized = rows.join(F.broadcast(hot), host, "left").withColumn(copies, F.coalesce(copies, F.lit(0)))
+    few = hosts.withColumn(copies, F.when(F.col(copies) > HOST_ROWS * 100, F.col(copies)).otherwise(0))
+    return salted_join(sized, few, host, copies, F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith(("map", "variant")))), HOST_ROWS).drop(copies)
+
+
+def _host_counts(votes: DataFrame, n: int) -> tuple[DataFrame, list[int]]:
+    """(host, own, above: votes of the host and of its domain for each language, copies: rows of the host), and the votes of the whole corpus."""
+    vector = F.array(*(F.sum(F.when(F.col("vote") == k, F.col("n")).otherwise(0)).cast("double") for k in range(n))) if n else F.array().cast("array<double>")
+    counts = stage_table(votes.groupBy("host", "vote").agg(F.count("*").alias("n")).withColumn("parent", parent_of(F.col("host"))), "hosts")
+    whole = counts.agg(vector.alias("v")).first()[0] or [0] * n
+    parents = counts.groupBy("parent").agg(vector.alias("above"))
+    hosts = counts.groupBy("host", "parent").agg(vector.alias("own"), F.sum("n").alias("copies"))
+    return stage_table(hosts.join(parents, "parent").select("host", "own", "above", "copies"), "counts"), whole

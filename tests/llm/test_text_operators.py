@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -322,6 +324,66 @@ def test_language_edges(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def plain_fusion(rows, model):
+    """(language, posterior) of each row by the four kinds of evidence, one document after the other."""
+    langs = model.languages
+    n = len(langs)
+    hosts, facts = [], []
+    for _, text, said, address in rows:
+        host = (address or "").split("://")[-1].split("/")[0].lower()
+        labels = host.split(".")
+        parent = ".".join(labels[-3:] if len(labels) > 2 and labels[-2] in ("co", "com", "ac") and len(labels[-1]) == 2 else labels[-2:])
+        e, seen = model.evidence(text or "")
+        e = np.array(e, float)
+        suffix = language.SUFFIXES.get(labels[-1]) if "." in host else None
+        for word, trust in ((said.lower().split("-")[0] if said else None, language.DECLARED_TRUST), (suffix, language.SUFFIX_TRUST)):
+            if word in langs and n > 1:
+                e += [math.log(trust if x == word else (1 - trust) / (n - 1)) for x in langs]
+        hosts.append((host, parent))
+        facts.append((e, int(e.argmax()) if seen else None, seen))
+    out = []
+    for k, (e, _, seen) in enumerate(facts):
+        count = lambda same: np.array([sum(j != k and facts[j][1] == x and same(j) for j in range(len(rows))) for x in range(n)], float)  # noqa: E731, B023
+        base = (count(lambda j: True) + 1) / (count(lambda j: True).sum() + n)
+        w = language.PRIOR_WEIGHT
+        for level in (1, 0):
+            own = count(lambda j: hosts[j][level] == hosts[k][level])  # noqa: B023
+            base = (own + w * base) / (own.sum() + w)
+        score = np.append(e + np.log(base) + math.log(1 - language.OTHER_PRIOR), math.log(language.OTHER_PRIOR))
+        post = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        best = int(post.argmax())
+        out.append(([*langs, "und"][best], float(post[best]), seen > 0 and best < n and post[best] >= 0.5))
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_language_fusion_against_plain_code(spark, bound):
+    said = {"en": "the cat and the dog are here", "de": "der Hund und die Katze sind hier", "fr": "le chien et le chat sont ici"}
+    train = [(i, t, g, None) for i, (g, t) in enumerate([*said.items()] * 6)]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string, source string"))
+    assert model.languages == ["de", "en", "fr"]
+    urls = ["https://news.site.de/a", "http://blog.example.co.uk/x?y", "http://other.example.co.uk", "plain", None, "https://a.b.fr/", "https://c.b.fr", "x.com"]
+    words = ["", "a", "der", "the", "le", "hier the", "1234", "漢字", *said.values()]
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *words]), rng.choice([None, "", "de-AT", "EN", "fr", "xx"]), rng.choice(urls)) for i in range(150)] + [(200, "der Hund " * 50_000, None, None)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, source string, Kept string").repartition(4)
+    got = {r.doc_id: (r.language, r.confidence, r.kept) for r in language.identify(df, model, broadcast_hosts=bound).collect()}
+    for r, want in zip(rows, plain_fusion(rows, model), strict=True):
+        assert got[r[0]][::2] == want[::2] and got[r[0]][1] == pytest.approx(want[1], rel=1e-6), r
+    # Each kind of evidence alone can decide.
+    schema = "doc_id long, text string, lang string, source string"
+    alone = [(1, "the cat and the dog are here", None, None), (2, "ok", "fr", None), (3, "ok", None, "x.de")]
+    hosted = [*((10 + k, said["fr"], None, "host") for k in range(40)), (4, "ok", None, "host")]
+    found = [{r.doc_id: r.language for r in language.identify(spark.createDataFrame(d, schema), model).collect()} for d in (alone, hosted)]
+    assert [found[0][k] for k in (1, 2, 3)] == ["en", "fr", "de"] and found[1][4] == "fr"
+
+
+def test_rare_labels_are_languages(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}" * 30, f"l{k}", None) for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert len(model.languages) == 300
+
+
 # --- secrets ----------------------------------------------------------------------
 
 
