@@ -36,21 +36,34 @@ class Feistel:
         said = f"{kind}:{turn}:{half}:{size}".encode()
         return int.from_bytes(hashlib.blake2b(said, key=self._key, digest_size=32).digest(), "big") % size
 
+    def _there(self, x: int, a: int, b: int, kind: str) -> int:
+        left, right = divmod(x, b)
+        for turn in range(0, ROUNDS, 2):
+            left = (left + self._mix(kind, turn, right, a)) % a
+            right = (right + self._mix(kind, turn + 1, left, b)) % b
+        return left * b + right
+
+    def _back(self, y: int, a: int, b: int, kind: str) -> int:
+        left, right = divmod(y, b)
+        for turn in range(ROUNDS - 2, -1, -2):
+            right = (right - self._mix(kind, turn + 1, left, b)) % b
+            left = (left - self._mix(kind, turn, right, a)) % a
+        return left * b + right
+
     def permute(self, x: int, size: int, kind: str, valid: Callable[[int], bool] | None = None) -> int:
-        """Another place of ``x`` in range(size), among the valid ones.
+        """Another place than ``x`` in range(size), among the valid ones; ``x`` only if it is the only one.
 
-        Works on a rectangle that covers the domain, and walks on while it is
-        outside: the walk stays in one cycle, so the result is a permutation.
+        The network orders a rectangle that covers the domain; from ``x`` the
+        next place in that order is taken, and the next while it is outside.
+        All places form one cycle, so the result is a permutation that leaves
+        nothing in its place.
         """
         a = math.isqrt(max(size - 1, 0)) + 1
         b = max(-(-size // a), 1)
-        y = x
+        at = self._there(x, a, b, kind)
         while True:
-            left, right = divmod(y, b)
-            for turn in range(0, ROUNDS, 2):
-                left = (left + self._mix(kind, turn, right, a)) % a
-                right = (right + self._mix(kind, turn + 1, left, b)) % b
-            y = left * b + right
+            at = (at + 1) % (a * b)
+            y = self._back(at, a, b, kind)
             if y < size and (valid is None or valid(y)):
                 return y
 
@@ -159,9 +172,12 @@ def _date(f: Feistel, m: re.Match) -> str | None:
         ok = lambda n: (dt.date.fromordinal(n + FIRST_DAY).day > 12) == late  # noqa: E731, B023
         new = dt.date.fromordinal(f.permute(old - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", ok) + FIRST_DAY)
         sep = re.sub(r"\d", "", m[0])[0]
+        # Where one digit stood for a day or month, none is padded.
+        width = 1 if re.search(r"(?<!\d)\d(?!\d)", m[0]) else 2
+        day_, month_ = f"{new.day:0{width}d}", f"{new.month:0{width}d}"
         if len(orders) == 1:
-            return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-        return f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}" if swaps else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+            return sep.join((f"{new.year:04d}", month_, day_))
+        return sep.join((month_, day_, f"{new.year:04d}") if swaps else (day_, month_, f"{new.year:04d}"))
     return None
 
 
@@ -199,19 +215,19 @@ class Pseudonymizer:
 
     def spans(self, text: str) -> list[tuple[str, int, int, str]]:
         """(kind, start, end, pseudonym) of what is found, by start."""
-        out = []
-        if "@" in text:
-            out += [("email", m.start(), m.end(), _email(self._f, m)) for m in _EMAIL.finditer(text)]
-        taken = [(s, e) for _, s, e, _ in out]
+        emails = [("email", m.start(), m.end(), _email(self._f, m)) for m in _EMAIL.finditer(text)] if "@" in text else []
+        out, k = [], 0
         at = _DIGIT.search(text)
         m = _NUMBERS.search(text, max(at.start() - 6, 0)) if at else None
         while m:
             kind = next(k for k in _KINDS if m[k] is not None)
             new = _KINDS[kind](self._f, m)
-            if new is not None and not any(s < m.end() and m.start() < e for s, e in taken):
+            while k < len(emails) and emails[k][2] <= m.start():
+                k += 1
+            if new is not None and not (k < len(emails) and emails[k][1] < m.end()):
                 out.append((kind, m.start(), m.end(), new))
             m = _NUMBERS.search(text, m.start() + 1 if new is None else m.end())
-        return sorted(out, key=lambda x: x[1])
+        return sorted(out + emails, key=lambda x: x[1])
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         found, parts, at = self.spans(text), [], 0
