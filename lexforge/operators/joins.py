@@ -29,20 +29,26 @@ def lookup(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return joined.withColumn(hit, F.when(F.col(hit), True).otherwise(F.raise_error(F.concat(F.lit(f"no row for {on} "), F.col(on).cast("string"))).cast("boolean"))).filter(hit).drop(hit)
 
 
+def _numbered(df: DataFrame, row: str) -> DataFrame:
+    """``df`` with a row number that stays the same wherever it is read, so that equal rows stay apart."""
+    return stage_table(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def contained_in_first(points: DataFrame, spans: DataFrame, by: list[str], width: int = 1024) -> DataFrame:
     """Each row of ``points`` (begin, end) with the first span (span_begin, span_end, span_no) around it, or nulls.
 
     Spans with more than one token beat those with one, then the lower number wins.
     An interval join on bins: a span is listed in each bin it touches, a point only in
-    the bin where it begins, so a pair meets once.
+    the bin where it begins, so a pair meets once. Equal points each keep their row.
     """
+    row = fresh(points, "row")
     bins = F.explode(F.sequence(F.floor(F.col("span_begin") / width), F.floor(F.col("span_end") / width)))
     s = spans.withColumn("_lf_bin", bins)
-    p = points.withColumn("_lf_bin", F.floor(F.col("begin") / width)).withColumn("_lf_row", F.struct(*points.columns))
+    p = _numbered(points, row).withColumn("_lf_bin", F.floor(F.col("begin") / width)).withColumn("_lf_point", F.struct(*points.columns))
     cond = reduce(lambda a, b: a & b, [p[k].eqNullSafe(s[k]) for k in by]) & (p["_lf_bin"] == s["_lf_bin"]) & (s["span_begin"] <= p["begin"]) & (s["span_end"] >= p["end"])
-    met = p.join(s.drop(*[c for c in s.columns if c in points.columns and c not in by]), cond, "left").select("_lf_row", "span_no", "span_begin", "span_end", "one_token")
-    best = met.groupBy("_lf_row").agg(F.min(F.when(F.col("span_no").isNotNull(), F.struct("one_token", "span_no", "span_begin", "span_end"))).alias("b"))
-    return best.select("_lf_row.*", F.col("b.span_no").alias("span_no"), F.col("b.span_begin").alias("span_begin"), F.col("b.span_end").alias("span_end"))
+    met = p.join(s.drop(*[c for c in s.columns if c in points.columns and c not in by]), cond, "left").select(row, "_lf_point", "span_no", "span_begin", "span_end", "one_token")
+    best = met.groupBy(row).agg(F.first("_lf_point").alias("_lf_point"), F.min(F.when(F.col("span_no").isNotNull(), F.struct("one_token", "span_no", "span_begin", "span_end"))).alias("b"))
+    return best.select("_lf_point.*", F.col("b.span_no").alias("span_no"), F.col("b.span_begin").alias("span_begin"), F.col("b.span_end").alias("span_end"))
 
 
 def longest_prefix(left: DataFrame, path: str, prefixes: DataFrame, prefix: str, rank: Column | None = None) -> DataFrame:
@@ -50,15 +56,17 @@ def longest_prefix(left: DataFrame, path: str, prefixes: DataFrame, prefix: str,
 
     An equi join, not a theta join: each path is listed with its beginnings, as
     many as there are different prefix lengths (the driver gets those lengths,
-    no more than the longest prefix has characters).
+    no more than the longest prefix has characters). Equal rows of ``left`` each
+    stay; a row that no prefix begins goes.
     """
     lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]
-    start = fresh(left, "start")
-    listed = left.withColumn(start, F.explode(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)))))
+    start, row = fresh(left, "start"), fresh(left, "row")
+    rows = _numbered(left, row)
+    listed = rows.select(row, path, F.explode(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)))).alias(start))
     met = listed.join(prefixes, F.col(start) == F.col(prefix))
     order = rank if rank is not None else -F.length(prefix)
-    best = met.groupBy(*left.columns).agg(F.min_by(F.struct(*prefixes.columns), order).alias("_lf_best"))
-    return best.select(*left.columns, *(F.col(f"_lf_best.{c}").alias(c) for c in prefixes.columns))
+    best = met.groupBy(row).agg(F.min_by(F.struct(*prefixes.columns), order).alias("_lf_best"))
+    return rows.join(best, row).select(*left.columns, *(F.col(f"_lf_best.{c}").alias(c) for c in prefixes.columns))
 
 
 def zip_join(frames: list[DataFrame], orders: list[list[Column]], check: bool = True) -> DataFrame:
@@ -93,14 +101,14 @@ def as_of(left: DataFrame, at: str, steps: DataFrame, threshold: str, value: str
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """All (a, b, depth) with a path from a to b; depth is the shortest. One join for each step, on what is new only."""
-    known = stage_table((start if start is not None else edges).select("a", "b").distinct().withColumn("depth", F.lit(1).cast("long")), "closure")
-    new, depth = known, 1
+    """All (a, b, depth) with a path from a to b; depth is the shortest. One join for each step, on what is new only; each step's rows are written once."""
+    new, depth = stage_table((start if start is not None else edges).select("a", "b").distinct().withColumn("depth", F.lit(1).cast("long")), "closure"), 1
+    known = new
     while not new.isEmpty():
         depth += 1
         step = new.select(F.col("a").alias("x"), F.col("b").alias("mid")).join(edges.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         new = stage_table(step.join(known, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "closure")
-        known = stage_table(known.unionByName(new), "closure")
+        known = known.unionByName(new)
     return known
 
 

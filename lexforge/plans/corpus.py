@@ -261,9 +261,18 @@ def token_budget_running_max(spark, sf_dir):
     return O.running_budget(c, ["conv_id"], [F.col("turn")], "n").select("conv_id", "turn", "elements")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, len(list_filter(regexp_split_to_array(text, '[\\x20\\t\\n\\r\\f\\x0b]+'), lambda x: x <> ''))::BIGINT AS n FROM documents),
+h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, doc_id) AS pos FROM d WHERE n + 2 <= 4096),
+f(source, doc_id, n, pos, batch, held, longest) AS (
+  SELECT source, doc_id, n, pos, 0::BIGINT, 1::BIGINT, n + 2 FROM h WHERE pos = 1
+  UNION ALL
+  SELECT h.source, h.doc_id, h.n, h.pos, CASE WHEN full_ THEN batch + 1 ELSE batch END, CASE WHEN full_ THEN 1 ELSE held + 1 END, CASE WHEN full_ THEN h.n + 2 ELSE greatest(longest, h.n + 2) END
+  FROM (SELECT f.*, h.doc_id AS next_id, (held + 1) * greatest(longest, h.n + 2) > 4096 AS full_ FROM f JOIN h ON f.source = h.source AND h.pos = f.pos + 1) f JOIN h ON f.source = h.source AND h.pos = f.pos + 1
+)
+SELECT source, doc_id, n, batch FROM f""")
 def token_budget_batches(spark, sf_dir):
-    """Batches under a token budget: a fold, so without SQL; tests hold it against a loop."""
+    """Batches under a token budget."""
     d = docs(spark, sf_dir).select("source", "doc_id", F.size(tokens()).cast("long").alias("n"))
     return O.token_budget_batches(d, "source", ["n", "doc_id"], "n", 4096)
 
@@ -282,8 +291,14 @@ def hash_sample(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id, i, string_split(line, '￨') AS f FROM (SELECT doc_id, unnest(string_split(replace(text, ' ', '￨x '), chr(10))) AS line, 1 AS i FROM documents))
-SELECT doc_id, count(*) AS lines FROM t GROUP BY doc_id""")
+WITH l AS (SELECT doc_id, unnest(string_split(replace(text, ' ', '￨x '), chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(line, ' '), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS tokens FROM l)
+SELECT doc_id, count(*) AS lines, sum(len(tokens))::BIGINT AS tokens, sum(len(list_filter(tokens, lambda w: string_split(w, '￨')[2] = 'x')))::BIGINT AS marked,
+       sum(list_sum(list_transform(tokens, lambda w: length(string_split(w, '￨')[1]))))::BIGINT AS chars FROM t GROUP BY doc_id""")
 def feature_lines(spark, sf_dir):
+    """Words with a feature behind a delimiter: how many there are, how many have it, and the characters of the words alone."""
     marked = F.replace("text", F.lit(" "), F.lit("￨x "))
-    return docs(spark, sf_dir).select("doc_id", F.explode(F.split(marked, "\n", -1)).alias("line")).select("doc_id", X.feature_layer("line", 0).alias("f")).groupBy("doc_id").agg(F.count("*").alias("lines"))
+    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split(marked, "\n", -1)).alias("line"))
+    layers = lines.select("doc_id", X.feature_layer("line", 0).alias("word"), X.feature_layer("line", 1).alias("feature"))
+    chars = F.aggregate("word", F.lit(0), lambda s, w: s + F.length(w))
+    return layers.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.size("word")).alias("tokens"), F.sum(F.size(F.filter("feature", lambda x: x == "x"))).alias("marked"), F.sum(F.when(F.size("word") > 0, chars)).cast("long").alias("chars"))

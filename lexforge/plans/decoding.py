@@ -117,7 +117,14 @@ def greedy_tokens(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", D.choose_token(F.col("embedding"), 0.0, 0, F.lit("")).cast("int").alias("token"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT l_orderkey % 50 AS example, l_linenumber AS step, l_partkey % 4 AS slot, min(l_suppkey % 4) AS back, min(l_quantity::INT) AS token FROM lineitem GROUP BY 1, 2, 3),
+e AS (SELECT example, max(step) AS step FROM s GROUP BY 1),
+w(example, head, step, slot, said) AS (
+  SELECT example, slot, step, slot, '' FROM s JOIN e USING (example, step)
+  UNION ALL SELECT w.example, w.head, w.step - 1, s.back, s.token::VARCHAR || CASE WHEN said = '' THEN '' ELSE ' ' END || said FROM w JOIN s ON w.example = s.example AND w.step = s.step AND w.slot = s.slot
+)
+SELECT example, arg_min(said, step) AS tokens FROM w GROUP BY example, head""")
 def hypothesis_back_trace(spark, sf_dir):
     """Hypotheses of all rows read back along their pointers from each example's last step; tests hold it against a loop."""
     lines = table(spark, sf_dir, "lineitem")

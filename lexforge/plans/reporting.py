@@ -219,17 +219,36 @@ def running_region_flag(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)).alias("inside"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, ts::DATE AS day, round(avg(value), 3) AS ppl, avg((event_type = 'purchase')::INT::DOUBLE) AS acc FROM events GROUP BY 1, 2),
+h AS (SELECT user_id, date_diff('day', DATE '2024-01-01', day) AS step, ppl, acc, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM e),
+f(user_id, n, ppl, acc, worse, mixed, best_step, status) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 'inf'::DOUBLE, '-inf'::DOUBLE, 4, 4, NULL::BIGINT, 'improving' FROM h
+  UNION ALL
+  SELECT user_id, n, CASE WHEN up THEN p ELSE ppl END, CASE WHEN up THEN a ELSE acc END, worse, mixed, CASE WHEN up THEN step ELSE best_step END,
+         CASE WHEN worse <= 0 OR mixed <= 0 THEN 'stopped' WHEN up THEN 'improving' WHEN down THEN 'decreasing' ELSE 'stalled' END
+  FROM (SELECT f.user_id, h.n, f.ppl, f.acc, h.ppl AS p, h.acc AS a, h.step, f.best_step, h.ppl < f.ppl AND h.acc > f.acc AS up, h.ppl >= f.ppl AND h.acc <= f.acc AS down,
+               CASE WHEN h.ppl < f.ppl AND h.acc > f.acc THEN 4 WHEN h.ppl >= f.ppl AND h.acc <= f.acc THEN f.worse - 1 ELSE f.worse END AS worse,
+               CASE WHEN h.ppl < f.ppl AND h.acc > f.acc THEN 4 WHEN h.ppl >= f.ppl AND h.acc <= f.acc THEN f.mixed ELSE f.mixed - 1 END AS mixed
+        FROM f JOIN h ON f.user_id = h.user_id AND h.n = f.n + 1 WHERE f.status <> 'stopped')
+)
+SELECT user_id, arg_max(status, n) AS status, max_by(coalesce(best_step, -1), n) AS best_step FROM f GROUP BY user_id""")
 def patience_states(spark, sf_dir):
-    """When each user's series of figures would have stopped; a fold, so without SQL."""
+    """When each user's series of figures would have stopped, and its best day (-1: none)."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 3).alias("ppl"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("acc"))
     rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("step"), "ppl", "acc"))).alias("h"))
-    return rows.select("user_id", R.patience(F.col("h"), 4).alias("s")).select("user_id", "s.status", "s.best_step")
+    return rows.select("user_id", R.patience(F.col("h"), 4).alias("s")).select("user_id", "s.status", F.coalesce("s.best_step", F.lit(-1).cast("long")).alias("best_step"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, ts::DATE AS day, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events),
+f(user_id, day, n, average) AS (
+  SELECT user_id, day, n, value FROM e WHERE n = 1
+  UNION ALL SELECT f.user_id, f.day, e.n, k * average + (1 - k) * value FROM (SELECT *, least(0.9::DOUBLE, (1.0 + n) / (10.0 + n))::DOUBLE AS k FROM f) f JOIN e ON f.user_id = e.user_id AND f.day = e.day AND e.n = f.n + 1
+)
+SELECT user_id, day, round(arg_max(average, n), 6) AS average FROM f GROUP BY 1, 2""")
 def moving_average_fold(spark, sf_dir):
-    """An average that moves slower the longer it runs; a fold, so without SQL."""
+    """An average that moves slower the longer it runs."""
     g = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
     return g.select("user_id", "day", F.round(R.moving_average(F.transform("s", lambda x: x["value"]), 0.9), 6).alias("average"))
 

@@ -195,3 +195,14 @@ def test_choose_token(spark):
     assert one(spark, D.choose_token(z, 0.0, 0, F.lit("s"))) == 1
     draws = {r.x for r in spark.range(200).select(D.choose_token(z, 1.0, 2, F.col("id")).alias("x")).collect()}
     assert draws == {0, 1}
+
+
+def test_equal_left_rows_each_stay(spark):
+    from lexforge.operators import joins as J
+
+    points = spark.createDataFrame([(1, 3, 4), (1, 3, 4), (1, 90, 91)], "k int, begin int, end int")
+    spans = spark.createDataFrame([(1, 0, 10, 0, False), (1, 2, 9, 1, False)], "k int, span_begin int, span_end int, span_no int, one_token boolean")
+    assert sorted(r.span_no if r.span_no is not None else -1 for r in J.contained_in_first(points, spans, ["k"]).collect()) == [-1, 0, 0]
+    paths = spark.createDataFrame([("a/b",), ("a/b",), ("z",)], "path string")
+    prefixes = spark.createDataFrame([("a", "A"), ("a/", "B")], "prefix string, name string")
+    assert [(r.path, r.name) for r in J.longest_prefix(paths, "path", prefixes, "prefix").collect()] == [("a/b", "B")] * 2
