@@ -95,36 +95,47 @@ class ModelConfig:
         return asdict(self)
 
 
-def input_tokens(kind: str, row: dict, longest: int = INPUT_MAX) -> list[str] | None:
-    """One input of a row (statement, kernel, syntax, context): its tokens, split into sub-tokens and cut."""
-    column, name, parentheses = INPUTS[kind]
-    value = row[column]
-    if value is None:
-        return None
-    if name is None:
-        tokens = value
-    else:
-        tree = level(parse(value), name, seed=value)
-        tokens = [] if tree is None else dfs(tree, parentheses)
-    context = dict(row["context"] or {})
-    return [s for t in tokens for s in split_name(t, context)][:longest]
+def _tree_tokens(kind: str, tree, text: str) -> list[str]:
+    _, name, parentheses = INPUTS[kind]
+    changed = level(tree, name, seed=text)
+    return [] if changed is None else dfs(changed, parentheses)
+
+
+def _row_inputs(kinds: list[str], row: dict, longest: int) -> tuple[list[list[str] | None], str | None]:
+    """The tokens of each input type of a row, and what is wrong with it. Each tree is parsed once."""
+    context, trees, out, wrong = dict(row["context"] or {}), {}, [], None
+    for kind in kinds:
+        column, name, _ = INPUTS[kind]
+        value = row[column]
+        try:
+            if value is None or name is None:
+                tokens = value
+            else:
+                if column not in trees:
+                    trees[column] = parse(value)
+                tokens = _tree_tokens(kind, trees[column], value)
+        except ValueError as e:
+            tokens, wrong = None, wrong or f"{kind}: {e}"
+        out.append(None if tokens is None else [s for t in tokens for s in split_name(t, context)][:longest])
+    return out, wrong
 
 
 def project_inputs(rows: DataFrame, kinds: list[str], longest: int = INPUT_MAX) -> DataFrame:
-    """``rows`` with a column ``src.<kind>`` of tokens for each input type.
+    """``rows`` with a column ``src.<kind>`` of tokens for each input type, and ``input_error``.
 
-    One pass over the rows for all types. A null tree gives null; a tree that
-    does not parse or does not have the expected shape fails the job.
+    One pass over the rows for all types, cut to ``longest`` tokens each. A null
+    tree gives null; so does one that does not parse or does not have the
+    expected shape, and input_error then says which type failed first and why.
     """
     made = [f"src.{k}" for k in kinds]
-    schema = StructType([*rows.schema.fields, *(StructField(m, ArrayType(StringType())) for m in made)])
-    names = [*rows.columns, *made]
+    schema = StructType([*rows.schema.fields, *(StructField(m, ArrayType(StringType())) for m in made), StructField("input_error", StringType())])
+    names = [*rows.columns, *made, "input_error"]
 
     def run(batches):
         for b in batches:
-            table = b.select(["statement", "kernel", "syntax", "context"]).to_pylist()
-            new = [pa.array([input_tokens(k, r, longest) for r in table], pa.list_(pa.string())) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
+            found = [_row_inputs(kinds, r, longest) for r in b.select(["statement", "kernel", "syntax", "context"]).to_pylist()]
+            new = [pa.array([tokens[k] for tokens, _ in found], pa.list_(pa.string())) for k in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new, pa.array([wrong for _, wrong in found], pa.string())], names=names)
 
     return rows.mapInArrow(run, schema)
 

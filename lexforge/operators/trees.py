@@ -336,9 +336,17 @@ def backwards_of(text: Column) -> Column:
 
 def edges_of(nodes: Column) -> Column:
     """(parent, child, text) rows of a node array: the parent is the last earlier node that is one less deep."""
-    def parent(x, i):
-        before = F.slice(nodes, 1, i)
-        at = F.array_size(before) - F.array_position(F.transform(F.reverse(before), lambda y: y["depth"]), x["depth"] - 1)
-        return F.struct(F.when(x["depth"] > 1, at).cast("long").alias("parent"), i.cast("long").alias("child"), x["text"].alias("text"))
+    def run(s: pd.Series) -> pd.Series:
+        def one(tree):
+            if tree is None:
+                return None
+            last: dict[int, int] = {}
+            out = []
+            for i, x in enumerate(tree):
+                out.append({"parent": last.get(x["depth"] - 1), "child": i, "text": x["text"]})
+                last[x["depth"]] = i
+            return out
+
+        return s.map(one)
 
-    return F.transform(nodes, parent)
+    return F.pandas_udf(run, "array<struct<parent:bigint,child:bigint,text:string>>")(nodes)
