@@ -110,6 +110,17 @@ def feature_layer(line: Column | str, layer: int, delimiter: str = "￨", longes
     return F.transform(tokens, lambda t: F.get(F.split(t, delimiter, -1), F.lit(layer)))
 
 
+def text_field(line: Column | str, base: str, features: int, delimiter: str = "￨", longest: int | None = None) -> list[Column]:
+    """A text field's layers: the tokens as ``base``, and their features as ``base_feat_0`` and so on; a token without one has null."""
+    names = [base, *(f"{base}_feat_{k}" for k in range(features))]
+    return [feature_layer(line, k, delimiter, longest).alias(name) for k, name in enumerate(names)]
+
+
+def gap_violations(text: Column | str, token: str) -> Column:
+    """The texts before, between and after the matches of ``token`` that are no white space and no comment."""
+    return F.filter(F.split(_c(text), token, -1), lambda g: ~is_blank_or_comment(g))
+
+
 def surrounding_blanks(text: Column | str) -> tuple[Column, Column]:
     """Leading and trailing white space, to be put back after processing."""
     return F.regexp_extract(_c(text), r"^(\s*)", 1), F.regexp_extract(_c(text), r"\S(\s*)$", 1)

@@ -45,18 +45,22 @@ def is_identifier(name: str) -> bool:
     return bool(name) and name[0].isalpha() and all(c.isalnum() or c in "_'" for c in name)
 
 
-def _marked(parts: list[str]):
-    """(piece, may be a suffix) of the pieces that are not underscores; the caller reports back whether a core was taken."""
-    underscores, tail = 0, False
+def _labelled(parts: list[str]) -> list[tuple[str, bool | None]]:
+    """Each piece with whether it may be a suffix (null for underscores).
+
+    It may if a piece stands between it and the underscore before it, or if two
+    underscores and more came before and it does not begin with a small letter.
+    """
+    out: list[tuple[str, bool | None]] = []
+    underscores, follows = 0, False
     for p in parts:
         if p == "_":
-            underscores, tail = underscores + 1, False
-            yield p, None
-            continue
-        if underscores >= 2 and not p[0].islower():
-            tail = True
-        taken = yield p, tail
-        tail = tail or bool(taken)
+            underscores, follows = underscores + 1, False
+            out.append((p, None))
+        else:
+            out.append((p, follows or underscores >= 2 and not p[0].islower()))
+            follows = True
+    return out
 
 
 def build_context(names: list[str], definitions: list[str], modules: list[str]) -> dict[str, float]:
@@ -73,17 +77,9 @@ def build_context(names: list[str], definitions: list[str], modules: list[str])
         for p in pieces(d):
             add(p, DEFINED)
     for n in names:
-        steps = _marked(pieces(n))
-        reply = None
-        while True:
-            try:
-                p, tail = steps.send(reply)
-            except StopIteration:
-                break
-            reply = False
+        for p, tail in _labelled(pieces(n)):
             if tail is False:
                 add(p, NAMED)
-                reply = True
     # In order, so that a beginning that is visited later passes on what it got.
     for word in list(weights):
         w = weights[word]
@@ -134,17 +130,12 @@ def split_name(name: str, context: dict[str, float]) -> list[str]:
         return parts
     known = lambda w: context.get(w, 0.0)
     out: list[str] = []
-    steps, reply = _marked(parts), None
-    while True:
-        try:
-            p, tail = steps.send(reply)
-        except StopIteration:
-            return out
-        reply = True
+    for p, tail in _labelled(parts):
         if tail is None or len(p) == 1:
             out.append(p)
         else:
             out += _tail(p, known) if tail else _core(p, known)
+    return out
 
 
 def _documents(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:

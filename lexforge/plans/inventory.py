@@ -182,6 +182,18 @@ def project_roots(spark, sf_dir):
     return files.project_roots(paths, "path", roots, "source").select("doc_id", "root_dir")
 
 
+@query("""
+SELECT lang AS project, count(*) AS lines, false AS failed FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1 UNION ALL SELECT 'gone', 0, true""")
+def project_scan(spark, sf_dir):
+    """The lines of all files of several projects; one that can't be read does not stop the others."""
+    d, roots = table(spark, sf_dir, "documents"), {}
+    for lang in ("de", "fr"):
+        roots[lang] = _place(spark, f"project-{lang}")
+        sinks.write_lines(d.filter(F.col("lang") == lang), roots[lang], F.col("doc_id").cast("string"))
+    found = files.read_projects(spark, roots | {"gone": _place(spark, "gone")}, "part-*")
+    return found.groupBy("project").agg(F.coalesce(F.sum(F.size(F.split(F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), " +", -1))), F.lit(0)).alias("lines"), F.max(F.col("error").isNotNull()).alias("failed"))
+
+
 # --- orders -----------------------------------------------------------------------
 
 
@@ -203,6 +215,15 @@ def restore_order(spark, sf_dir):
     return O.with_position(table(spark, sf_dir, "events").select("event_id").orderBy(F.xxhash64("event_id")), [F.col("event_id")])
 
 
+@query("""
+SELECT p_partkey, p_name AS src, array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), ' ') AS src_feat_0, array_to_string(list_transform(string_split(p_name, ' '), lambda w: p_brand), ' ') AS src_feat_1 FROM part""")
+def text_field_layers(spark, sf_dir):
+    """Words with two features each, as three layers of a field."""
+    line = F.array_join(F.transform(F.split("p_name", " ", -1), lambda w: F.concat(w, F.lit("￨"), F.left(w, F.lit(1)), F.lit("￨"), F.col("p_brand"))), " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("line")).select("p_partkey", *X.text_field("line", "src", 2))
+    return rows.select("p_partkey", *(F.array_join(c, " ").alias(c) for c in rows.columns[1:]))
+
+
 # --- texts and figures --------------------------------------------------------------
 
 
@@ -263,3 +284,10 @@ def schedule_choice(spark, sf_dir):
 def token_kinds(spark, sf_dir):
     """Token kinds that count, and a single value as a list."""
     return table(spark, sf_dir, "events").select("event_id", (~F.col("event_type").isin(*X.IGNORED_KINDS)).alias("counts"), F.array("event_type").alias("listed"))
+
+
+@query("""
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[a-z]+'), lambda g: NOT regexp_full_match(g, '[ \\t\\n\\x0b\\f\\r]*')))::BIGINT AS violations FROM documents""")
+def spacing_violations(spark, sf_dir):
+    """Gaps between words that are more than white space."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.gap_violations("text", "[a-z]+")).cast("long").alias("violations"))

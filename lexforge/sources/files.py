@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,31 @@ def read_documents(spark: SparkSession, root: str, pattern: str = "*", parse: Ca
     return out.withColumn("parsed", parse(F.col("text"))) if parse else out
 
 
+def read_projects(spark: SparkSession, roots: dict[str, str], pattern: str = "*") -> DataFrame:
+    """(project, path, text, error) of the files of many projects; one whose folder can't be read is one row with an error."""
+    out = spark.createDataFrame([], "project string, path string, text string, error string")
+    for project, root in roots.items():
+        home = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+            found = read_documents(spark, root, pattern).select(F.lit(project).alias("project"), "path", "text", "error")
+        else:
+            found = spark.createDataFrame([(project, root, None, "no such folder")], out.schema)
+        out = out.unionByName(found)
+    return out
+
+
+def iterate_batches(rows: DataFrame, size: int) -> Iterator[list[Row]]:
+    """Lists of ``size`` rows, the last one shorter; the driver holds one partition and fetches the next beside it."""
+    batch: list[Row] = []
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        batch.append(row)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def read_lines(spark: SparkSession, path: str, shard_size: int = 0) -> DataFrame:
     """(pos, line, shard): lines in file order; shard is pos // shard_size, or 0 for all."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))

@@ -112,3 +112,11 @@ def test_sinks(spark, tmp_path):
     assert got == {"f": "lemmy x b a", "g": "same"}
     nodes = spark.createDataFrame([("(a b)",)], "t string").select(T.node_array(F.col("t")).alias("n"))
     assert nodes.select(sinks.graph_edges(F.col("n")).alias("g")).first().g[1] == 'n1 [label="a"]; n0 -> n1;'
+
+
+def test_rows_in_batches(spark):
+    from lexforge.sources import files
+
+    got = list(files.iterate_batches(spark.range(23).repartition(3), 5))
+    assert [len(b) for b in got] == [5, 5, 5, 5, 3] and sorted(r.id for b in got for r in b) == list(range(23))
+    assert list(files.iterate_batches(spark.range(0), 5)) == []
