@@ -12,7 +12,7 @@ from lexforge.operators import chop, inputs
 from lexforge.operators import ordering as O
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
-from lexforge.plans.structure import _TREES, part_trees
+from lexforge.plans.structure import _CUT_SQL, _TREES, part_trees
 from lexforge.runtime import stage_root, table
 from lexforge.sources import files, sinks
 
@@ -30,10 +30,7 @@ def tree_canonical(spark, sf_dir):
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(t, lambda x: x).alias("canonical"), F.size(T.tree_list(F.concat(t, F.lit(" (a)")))).cast("long").alias("trees"))
 
 
-_CUT = "array_to_string(list_transform(list_filter(list_zip(toks, range(1, len(toks) + 1)), lambda x: len(list_filter(toks[1:x[2]], lambda y: y = '(')) - len(list_filter(toks[1:x[2]], lambda y: y = ')')) + CASE x[1] WHEN '(' THEN 0 ELSE 1 END <= 10), lambda x: x[1]), ' ')"
-
-
-@query(_TREES + f"SELECT p_partkey, replace(replace(replace({_CUT}, '( ', '('), ' (', '('), ' )', ')') AS cut FROM k")
+@query(_TREES + f"SELECT p_partkey, {_CUT_SQL} AS cut FROM k")
 def tree_depth_cut(spark, sf_dir):
     """Trees without the nodes below depth 10."""
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(F.col("tree"), lambda t: chop.level(t, "depth-10")).alias("cut"))

@@ -51,9 +51,19 @@ def tree_chop_levels(spark, sf_dir):
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(F.col("tree"), lambda t: chop.level(t, "kernel")).alias("chopped"))
 
 
-@query()
+_CUT = "array_to_string(list_transform(list_filter(list_zip(toks, range(1, len(toks) + 1)), lambda x: len(list_filter(toks[1:x[2]], lambda y: y = '(')) - len(list_filter(toks[1:x[2]], lambda y: y = ')')) + CASE x[1] WHEN '(' THEN 0 ELSE 1 END <= 10), lambda x: x[1]), ' ')"
+#: The tokens of a tree no deeper than 10, printed.
+_CUT_SQL = f"replace(replace(replace({_CUT}, '( ', '('), ' (', '('), ' )', ')')"
+
+
+@query(_TREES + f"""
+, b AS (SELECT p_partkey, tree, toks, k, regexp_extract(tree, '\\(Id ([^)]*)\\)', 1) AS brand FROM k)
+SELECT p_partkey, replace(tree, ' (', '(') AS whole, repeat('(<GProd> x', k::BIGINT) || '(<GApp> c ' || brand || ')' || repeat(')', k::BIGINT) AS kernel,
+       repeat('(<GProd> x', k::BIGINT) || '(<GApp>(ConstRef c) ' || brand || ')' || repeat(')', k::BIGINT) AS kernel_x, '(<GApp> c ' || brand || ')' AS kernel_2,
+       repeat('(GProd x y', k::BIGINT) || '(GApp(GRef c) ' || brand || ')' || repeat(')', k::BIGINT) AS syntax,
+       repeat('(GProd x y', k::BIGINT) || '(GApp(GRef(ConstRef c)) ' || brand || ')' || repeat(')', k::BIGINT) AS syntax_x, {_CUT_SQL} AS depth_10 FROM b""")
 def tree_levels_all(spark, sf_dir):
-    """Every level of each tree; tests hold the rules against worked cases."""
+    """Every level of each tree; tests hold the rules against further worked cases."""
     t = F.col("tree")
     names = ["whole", "kernel", "kernel-x", "kernel-2", "syntax", "syntax-x", "depth-10"]
     return part_trees(spark, sf_dir).select("p_partkey", *(T.rewritten(t, lambda x, n=n: chop.level(x, n)).alias(n.replace("-", "_")) for n in names))
