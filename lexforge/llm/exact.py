@@ -66,11 +66,15 @@ class DigestIndex:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.location}/{name}".rstrip("/"))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, name: str = "") -> list[str]:
+        path, fs = self._path(name)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
     def segments(self) -> list[str]:
-        """Names of the complete segments, merged ones first."""
-        root, fs = self._path()
-        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted((n for n in names if fs.exists(self._path(f"{n}/_SUCCESS")[0])), key=lambda n: (not n.startswith("merged-"), n))
+        """Names of the complete segments that have rows, merged ones first."""
+        found = ((n, self._names(n)) for n in self._names())
+        complete = (n for n, inside in found if "_SUCCESS" in inside and any(x.endswith(".parquet") for x in inside))
+        return sorted(complete, key=lambda n: (not n.startswith("merged-"), n))
 
     def _open(self, name: str) -> DataFrame:
         if name not in self._tables:

@@ -34,8 +34,8 @@ TEXT_WEIGHT = 1 / 3
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.8
 #: Documents' worth of the level above that each level of the prior is mixed with.
 PRIOR_WEIGHT = 10.0
-#: Rows of a host in one place where there are too many hosts for a broadcast.
-HOST_ROWS = 1_000
+#: Rows in one place of a host with more than both HOT_ROWS and a HOT_SHARE-th of all rows, where there are too many hosts for a broadcast.
+HOST_ROWS, HOT_ROWS, HOT_SHARE = 1_000, 100_000, 10_000
 #: Prior of any other language, and least posterior of a document that stays.
 OTHER_PRIOR, MIN_CONFIDENCE = 1e-3, 0.5
 #: Address suffixes that speak for a language.
@@ -201,12 +201,13 @@ def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text"
 def _by_salt(rows: DataFrame, hosts: DataFrame, host: str, copies: str) -> DataFrame:
     """Rows beside the counts of their host; hosts with many rows are dealt over many places.
 
-    How many rows a host has goes to its rows by broadcast where it is hot;
-    all others have few.
+    How many rows a host has goes to its rows by broadcast where it is hot,
+    which ``HOT_SHARE`` hosts can be at most.
     """
-    hot = hosts.filter(F.col(copies) > HOST_ROWS * 100).select(host, copies)
+    least = max(HOT_ROWS, hosts.agg(F.sum(copies)).first()[0] // HOT_SHARE)
+    hot = hosts.filter(F.col(copies) > least).select(host, copies)
     sized = rows.join(F.broadcast(hot), host, "left").withColumn(copies, F.coalesce(copies, F.lit(0)))
-    few = hosts.withColumn(copies, F.when(F.col(copies) > HOST_ROWS * 100, F.col(copies)).otherwise(0))
+    few = hosts.withColumn(copies, F.when(F.col(copies) > least, F.col(copies)).otherwise(0))
     return salted_join(sized, few, host, copies, F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith(("map", "variant")))), HOST_ROWS).drop(copies)
 
 

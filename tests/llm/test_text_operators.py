@@ -284,6 +284,15 @@ def test_many_batches_are_merged(spark, tmp_path, monkeypatch):
     index.close()
 
 
+def test_batches_that_bring_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    for k, batch in enumerate(("one", "nothing", "again", "more")):
+        index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 3)
+        rows = docs.limit(0) if batch == "nothing" else docs
+        assert [r.kept for r in index.absorb(rows, batch).collect()] == ([] if batch == "nothing" else [k == 0] * 2)
+        index.close()
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_batches_do_not_change_the_result(spark, batches):
     rows = [(i * 7919 % 101, f"Text {i % 23}") for i in range(101)] + [(None, "text 1"), (None, None), (5, "text 5"), (5, "TEXT 5"), (300, "long " * 100_000)]
@@ -444,7 +453,9 @@ def plain_fusion(rows, model):
 
 
 @pytest.mark.parametrize("bound", [0, 1000])
-def test_language_fusion_against_plain_code(spark, bound):
+def test_language_fusion_against_plain_code(spark, bound, monkeypatch):
+    monkeypatch.setattr(language, "HOT_ROWS", 10)
+    monkeypatch.setattr(language, "HOST_ROWS", 4)
     said = {"en": "the cat and the dog are here", "de": "der Hund und die Katze sind hier", "fr": "le chien et le chat sont ici"}
     train = [(i, t, g, None) for i, (g, t) in enumerate([*said.items()] * 6)]
     model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string, source string"))
