@@ -68,6 +68,11 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: ``run`` finds them by place, as names with dots would not be resolved."""
+    return df.toDF(*(f"_{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
