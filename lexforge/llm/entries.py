@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import exact, html, jaccard, language, lines, pack, pii, quality, secrets, tokenize
+from lexforge.llm import centroids, exact, fim, html, jaccard, language, lines, pack, pii, quality, secrets, simhash, tokenize
 from lexforge.runtime import table, texts
 
 #: Key of the pseudonyms. A deployment passes its own to ``pii.pseudonymize``.
@@ -65,12 +65,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(texts(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(texts(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(texts(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_byte_bpe, op2_best_fit_packing, op3_line_dedup, op4_pii, op5_exact_dedup, op6_quality_rules, quality_base_statistics, op7_language_id, op8_secret_scans, op9_html_extraction, op10_ngram_jaccard)
+        for f in (op1_byte_bpe, op2_best_fit_packing, op3_line_dedup, op4_pii, op5_exact_dedup, op6_quality_rules, quality_base_statistics, op7_language_id, op8_secret_scans, op9_html_extraction, op10_ngram_jaccard, op11_fill_in_middle, op12_centroid_clustering, op13_simhash)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "quality_base_statistics": quality.OP6_BASE_SQL, "op8_secret_scans": secrets.OP8_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL, "quality_base_statistics": quality.OP6_BASE_SQL, "op8_secret_scans": secrets.OP8_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_centroid_clustering": centroids.OP12_SQL}
