@@ -91,15 +91,16 @@ def stage_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexforge-{spark.sparkContext.applicationId}"
 
 
-#: Rows of a file of a stage table with a known bound.
-FILE_ROWS = 50_000
+#: Rows of a file of a stage table with a known bound, and files up to which the rows are dealt to them once they are made.
+FILE_ROWS, FEW_FILES = 50_000, 8
 
 
 def stage_table(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     ``rows``, a bound of the rows if one is known, spares a small table from
-    lying in a file for each shuffle partition.
+    lying in a file for each shuffle partition. What makes the rows of a small
+    one (an aggregation, say) keeps its own tasks; its rows are dealt anew.
 
     Cuts the lineage: what follows survives the loss of any executor without
     computing ``df`` again. The files stay until ``release`` or the end of the
@@ -107,7 +108,10 @@ def stage_table(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    if rows is not None:
+        files = max(1, -(-rows // FILE_ROWS))
+        df = df.repartition(files) if files <= FEW_FILES else df.coalesce(files)
+    df.write.parquet(path)
     root, fs = _stage_files(spark)
     fs.deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)
