@@ -9,14 +9,22 @@ Where all boilerplate lines together are few, they go to the texts by broadcast,
 one array for each host. Beyond that bound the lines of each text meet the list
 as short (row, digest) rows, of which hot lines go by broadcast, and what was
 found is dealt to the texts by row, so that no host gathers its texts.
+
+A text meets the boilerplate it has itself as a set: built-in expressions find
+these digests by hashing, and an Arrow batch function, which gets only the texts
+that have any, takes their lines out in one pass, however many they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.runtime import BROADCAST_ROWS, col, fresh, join_back, stage_table
+from lexforge.runtime import BROADCAST_ROWS, bounded_batches, col, fresh, join_back, stage_table
 
 #: A line on more than this share of a host's pages is boilerplate,
 MAX_RATIO = 0.02
@@ -36,12 +44,17 @@ def _digest(line):
     return F.when(bare != "", F.md5(bare))
 
 
+def _distinct(text):
+    """The different digests of a text's lines. Hexadecimal until they are distinct: Spark finds equal strings by hashing, equal binaries by comparing all."""
+    return F.transform(F.array_distinct(F.transform(_lines(text), _digest)), lambda x: F.unhex(x))
+
+
 def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, digest, on) of the lines to drop, and on how many pages they are."""
     key, page = F.coalesce(col(host).cast("string"), F.lit("")), F.unhex(F.md5(col(text).cast("string")))
     # Copies of one text are one page, of which only the digests of the lines are shuffled.
     pages = docs.select(key.alias("host"), page.alias("page")).filter("page is not null").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    digests = F.array_distinct(F.transform(_lines(col(text)), lambda x: F.unhex(_digest(x))))
+    digests = _distinct(col(text))
     once = docs.select(key.alias("host"), page.alias("page"), digests.alias("digests")).groupBy("host", "page").agg(F.first("digests").alias("digests"))
     # A page counts once for a line, however often it repeats it.
     seen = once.select("host", F.explode("digests").alias("digest")).filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
@@ -65,22 +78,39 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     found = stage_table(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     key = F.coalesce(col(host).cast("string"), F.lit(""))
     rows = _by_host(docs, key, found, bad) if found.count() <= broadcast_lines else _by_row(docs, key, text, found, bad)
-    parts, kept = fresh(docs, "parts"), fresh(docs, "kept")
-    lines_ = _lines(col(text))
-    rows = rows.withColumn(parts, F.when(F.size(bad) > 0, F.arrays_zip(lines_.alias("line"), F.transform(lines_, _digest).alias("digest"))))
-    # Of a host's list only what the text has is compared with each line.
-    own = F.array_intersect(F.transform(parts, lambda x: x["digest"]), bad)
-    stays = F.transform(F.filter(parts, lambda x: x["digest"].isNull() | ~F.array_contains(F.col(bad), x["digest"])), lambda x: x["line"])
+    own, left = fresh(docs, "own"), fresh(docs, "left")
+    digests = F.array_distinct(F.transform(_lines(col(text)), _digest))
+    rows = bounded_batches(rows.withColumn(own, F.when(F.size(bad) > 0, F.array_intersect(bad, digests)))).drop(bad)
+    has = F.coalesce(F.size(own) > 0, F.lit(False))
+    # Texts without boilerplate do not travel.
+    rows = rows.withColumn(left, F.pandas_udf(_without, "text string, dropped long")(F.when(has, col(text).cast("string")), F.when(has, F.col(own))))
+    null = col(text).isNull()
     return (
-        rows.withColumn(bad, own)
-        .withColumn(kept, F.when(F.size(bad) > 0, stays).otherwise(lines_))
-        .withColumn("n_lines", F.when(col(text).isNull(), 0).otherwise(F.size(lines_)).cast("long"))
-        .withColumn("n_dropped", F.when(col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
-        .withColumn(text, F.when(col(text).isNotNull(), F.concat_ws("\n", kept)))
-        .drop(bad, parts, kept)
+        rows.withColumn("n_lines", F.when(null, 0).otherwise(F.size(_lines(col(text)))).cast("long"))
+        .withColumn("n_dropped", F.when(has, F.col(left)["dropped"]).otherwise(0).cast("long"))
+        .withColumn(text, F.when(has, F.col(left)["text"]).otherwise(col(text)))
+        .drop(own, left)
     )
 
 
+_BLANKS = re.compile("[\t\r]")
+
+
+def _without(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
+    """Each text without the lines whose digests are listed beside it, and how many these were."""
+    out, dropped = [], []
+    for text, digests in zip(texts, own, strict=True):
+        if text is None:
+            out.append(None)
+            dropped.append(0)
+            continue
+        gone, found = set(digests), text.split("\n")
+        kept = [x for x in found if not (bare := _BLANKS.sub(" ", x).strip(" ")) or hashlib.md5(bare.encode()).hexdigest() not in gone]
+        out.append("\n".join(kept))
+        dropped.append(len(found) - len(kept))
+    return pd.DataFrame({"text": pd.Series(out, dtype=object), "dropped": dropped})
+
+
 def _by_host(docs: DataFrame, key, found: DataFrame, bad: str) -> DataFrame:
     """``docs`` with the digests of their host's boilerplate, by broadcast."""
     host = fresh(docs, "host")
@@ -92,7 +122,7 @@ def _by_row(docs: DataFrame, key, text: str, found: DataFrame, bad: str) -> Data
     """``docs`` with the digests of their own boilerplate, however many lines all hosts have."""
     row, line = fresh(docs, "row"), F.concat(F.encode("host", "UTF-8"), F.lit(b"\0"), "digest")
     whole = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    each = whole.select(F.col(row).alias("row"), key.alias("host"), F.explode(F.array_distinct(F.transform(_lines(col(text)), lambda x: F.unhex(_digest(x))))).alias("digest")).filter("digest is not null")
+    each = whole.select(F.col(row).alias("row"), key.alias("host"), F.explode(_distinct(col(text))).alias("digest")).filter("digest is not null")
     met = join_back(each.select("row", "digest", line.alias("line")), found.select(line.alias("line"), "on"), "line", "on", max(HOT_PAGES, whole.count() // HOT_SHARE))
     lists = met.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.lower(F.hex("digest"))).alias(bad))
     return whole.join(lists, row, "left").drop(row)
