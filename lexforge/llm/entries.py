@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lexforge.llm import centroids, exact, fim, html, jaccard, language, lines, pack, pii, quality, secrets, simhash, tokenize
 from lexforge.runtime import table, texts
 
-#: Key of the pseudonyms. A deployment passes its own to ``pii.pseudonymize``.
-PII_KEY = b"lexforge example key"
+#: The setting that holds the key of the pseudonyms, and the key of a session that has none: an example, known to all.
+PII_SETTING, PII_KEY = "spark.lexforge.pii.key", "lexforge example key"
 END_OF_TEXT = 2
 
 
@@ -31,7 +31,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(texts(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymize(texts(spark, sf_dir).select("doc_id", "text"), spark.conf.get(PII_SETTING, PII_KEY).encode())
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

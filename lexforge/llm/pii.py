@@ -6,6 +6,10 @@ number, a date into another date, an address into another address. The
 permutation depends on the key and the kind alone, so equal values (however
 they are spaced, and dates in whatever order) get equal pseudonyms in every
 document and every run, and no table of values is kept or shuffled.
+
+Domains of up to 2^64 places are permuted as numbers. Longer strings (an address
+may have any length) are permuted as two halves of letters, each moved by a key
+stream that the other one starts, so that the time is linear in their length.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import bounded_batches, col
+from lexforge.runtime import bounded_batches, col, map_arrow
 
 ROUNDS = 8
 
@@ -68,16 +73,44 @@ class Feistel:
                 return y
 
     def spell(self, text: str, alphabet: str, kind: str) -> str:
-        """Permute a string over an alphabet, keeping its length."""
-        place, n = {c: i for i, c in enumerate(alphabet)}, 0
+        """Permute a string over an alphabet, keeping its length; only a string without letters stays."""
+        place, size, kind = {c: i for i, c in enumerate(alphabet)}, len(alphabet), f"{kind}{len(text)}"
+        # A power is compared by logarithms, so that it is not made for a long text.
+        if len(text) * math.log2(size) > 64:
+            return "".join(map(alphabet.__getitem__, self._long(np.array([place[c] for c in text], np.int64), size, kind).tolist()))
+        n, out = 0, []
         for c in text:
-            n = n * len(alphabet) + place[c]
-        n, out = self.permute(n, len(alphabet) ** len(text), f"{kind}{len(text)}"), []
+            n = n * size + place[c]
+        n = self.permute(n, size ** len(text), kind)
         for _ in text:
-            n, i = divmod(n, len(alphabet))
+            n, i = divmod(n, size)
             out.append(alphabet[i])
         return "".join(reversed(out))
 
+    def _stream(self, kind: str, turn: int, half: np.ndarray, size: int, n: int) -> np.ndarray:
+        """``n`` letters that depend on the key and on all letters of ``half``."""
+        said = hashlib.blake2b(half.astype(np.uint8).tobytes(), key=self._key, person=b"half", digest_size=32).digest()
+        return np.frombuffer(hashlib.shake_256(self._key + f"{kind}:{turn}:".encode() + said).digest(4 * n), "<u4").astype(np.int64) % size
+
+    def _long(self, letters: np.ndarray, size: int, kind: str) -> np.ndarray:
+        """As ``permute``: the next string in the order of the network, all of which form one cycle."""
+        left, right = letters[: len(letters) // 2].copy(), letters[len(letters) // 2 :].copy()
+        for turn in range(0, ROUNDS, 2):
+            left = (left + self._stream(kind, turn, right, size, len(left))) % size
+            right = (right + self._stream(kind, turn + 1, left, size, len(right))) % size
+        # The next one: the trailing last letters start over, and the one before them moves on.
+        both = np.concatenate([left, right])
+        low = np.nonzero(both != size - 1)[0]
+        at = int(low[-1]) if len(low) else -1
+        both[at + 1 :] = 0
+        if at >= 0:
+            both[at] += 1
+        left, right = both[: len(left)], both[len(left) :]
+        for turn in range(ROUNDS - 2, -1, -2):
+            right = (right - self._stream(kind, turn + 1, left, size, len(right))) % size
+            left = (left - self._stream(kind, turn, right, size, len(left))) % size
+        return np.concatenate([left, right])
+
 
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -187,7 +220,8 @@ def _email(f: Feistel, m: re.Match) -> str | None:
     body = f"{local}@{name}".lower()
     letters = iter(f.spell("".join(c for c in body if "a" <= c <= "z"), LETTERS, "email"))
     digits = iter(f.spell("".join(c for c in body if c in DIGITS), DIGITS, "email-digits"))
-    return "".join(next(letters) if "a" <= c <= "z" else next(digits) if c in DIGITS else c for c in body) + "." + top
+    made = (next(letters) if "a" <= c <= "z" else next(digits) if c in DIGITS else c for c in body)
+    return "".join(new.upper() if old.isupper() else new for old, new in zip(f"{local}@{name}", made, strict=True)) + "." + top
 
 
 _NUMBERS = re.compile(
@@ -198,7 +232,7 @@ _NUMBERS = re.compile(
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![0-9])"
     r"|(?P<ip>(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?[0-9])"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-    r"|\+\d{1,3}[ .-](?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,7}){1,3}|\+\d{8,15})(?![A-Za-z0-9])"
+    r"|\+\d{1,3}[ .-](?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,8}){1,3}|\+\d{8,15}|0\d{1,4}[ /-]\d{6,8})(?![A-Za-z0-9])"
     r")"
 )
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
@@ -255,11 +289,11 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     made = {"n_pii", "pii_spans"}
     kept = [c for c in docs.columns if c.lower() not in made]
     schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("n_pii bigint, pii_spans string").fields])
+    at = kept.index(docs.select(col(text)).columns[0])
 
     def run(batches):
         p = pseudonymizer(key)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             texts, counts, spans = [], [], []
             for v in batch.column(at):
                 x = v.as_py()
@@ -267,7 +301,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 texts.append(new)
                 counts.append(len(found))
                 spans.append(",".join(f"{k}:{s}:{e}" for k, s, e, _ in found))
-            arrays = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(kept))]
+            arrays = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=[*kept, "n_pii", "pii_spans"])
 
-    return bounded_batches(docs.select(*map(col, kept))).mapInArrow(run, schema)
+    return map_arrow(bounded_batches(docs.select(*map(col, kept))), run, schema)
