@@ -18,14 +18,15 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import BROADCAST_ROWS, bounded_batches, col, fresh, salted_join, stage_table
+from lexforge.runtime import BROADCAST_ROWS, bounded_batches, checked_broadcast, col, fresh, map_arrow, salted_join, stage_table
 
-#: Labelled rows of each language that the text model is fitted on, about; chosen by a hash of the row.
-SAMPLE_ROWS = 2_000
+#: Different labelled texts of each language that the text model is fitted on at most (all, if there are fewer), and languages
+#: that it tells apart at most: the labels with the most rows. Driver and tasks hold 65,536 numbers for each language.
+SAMPLE_ROWS, MAX_LANGUAGES = 2_000, 512
 #: Trigrams are hashed into so many places.
 PLACES = 1 << 16
 #: Overlapping trigrams repeat each other; their log likelihoods count by this factor.
@@ -74,38 +75,51 @@ class TextModel:
         return TEXT_WEIGHT * (total + len(g) * math.log(PLACES)), len(g)
 
 
-def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model from a bounded sample of rows with a declared language.
+def fit(docs: DataFrame, text: str = "text", declared: str = "lang", sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> TextModel:
+    """The text model from a bounded sample of texts with a declared language.
 
     Every label is a language, by its first part in lower case ("de" of
-    "de-AT"). What comes to the driver is one number for each language and
-    place, however many rows there are.
+    "de-AT"), up to ``max_languages`` of them; of more, those with the most rows
+    (of equal ones the first by name), and the other labels say nothing. The
+    sample has the ``sample_rows`` different texts of each language with the
+    least hashes, so that no language is without one, and each task reads as
+    many at most. A text counts as often as it occurs; where all of them are
+    more than ``sample_rows``, by its share of that number. What comes to the
+    driver is one number for each language and place, however many rows there
+    are.
     """
     label = primary(col(declared).cast("string"))
     labelled = docs.select(label.alias("lang"), col(text).cast("string").alias("text")).filter("lang <> '' AND text IS NOT NULL")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
+    languages = sorted(r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    if not languages:
         return TextModel([], np.zeros((0, PLACES)))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_rows / n))))
-    drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    known = labelled.filter(F.col("lang").isin(languages)).withColumn("digest", F.xxhash64("text"))
+    # Each task keeps ``sample_rows`` of a language before anything is shuffled by language.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    chosen = known.select("lang", "digest").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_rows).select("lang", "digest")
+    chosen = stage_table(chosen, "sample")
+    near = checked_broadcast(chosen, chosen.count(), MAX_LANGUAGES * SAMPLE_ROWS)
+    drawn = known.join(near, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    drawn = stage_table(drawn.select("lang", "text", "copies"), "drawn")
+    sizes = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.sum("copies").alias("n")).collect()}
 
     def count(batches: Iterable[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, value in zip(batch.column(0), batch.column(1), strict=True):
+            for lang, value, copies in zip(*batch.columns, strict=True):
                 lang = lang.as_py()
                 if lang not in sums:
                     sums[lang] = np.zeros(PLACES, np.int64)
-                sums[lang] += np.bincount(grams(value.as_py()), minlength=PLACES)
+                sums[lang] += copies.as_py() * np.bincount(grams(value.as_py()), minlength=PLACES)
         for lang, s in sums.items():
             at = np.nonzero(s)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "place", "n"])
 
     rows = bounded_batches(drawn).mapInArrow(count, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(sizes)
     counts = np.zeros((len(languages), PLACES))
     which = {k: i for i, k in enumerate(languages)}
     counts[[which[x] for x in rows["lang"].to_pylist()], rows["place"].to_numpy()] = rows["n"].to_numpy()
+    counts *= np.array([min(1.0, sample_rows / sizes[x]) for x in languages])[:, None]
     return TextModel(languages, counts)
 
 
@@ -168,7 +182,7 @@ def identify(docs: DataFrame, model: TextModel | None = None, text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], batch.column(at + 2), pa.array(out, pa.list_(pa.float64())), pa.array(letters, pa.bool_())], names=[*kept, host, scores, seen])
 
     picked = docs.select(*map(col, kept), col(text).cast("string").alias(value), primary(col(declared).cast("string")).alias(said), F.coalesce(key, F.lit("")).alias(host))
-    rows = stage_table(bounded_batches(picked).mapInArrow(score, schema), "scores")
+    rows = stage_table(map_arrow(bounded_batches(picked), score, schema), "scores")
     # The document's own vote, by all evidence but the host's.
     rows = rows.withColumn(vote, F.when(col(seen) & (F.size(scores) > 0), F.array_position(scores, F.array_max(scores)) - 1))
     hosts, whole = _host_counts(rows.select(col(host).alias("host"), col(vote).alias("vote")), n)
