@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from lexforge.runtime import bounded_batches, col, fresh
+from lexforge.runtime import bounded_batches, col, fresh, map_arrow
 
-#: Elements that are never part of an article, and those that have no end tag; fixed by HTML.
-NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input label iframe object svg canvas video audio dialog menu".split())
+#: Elements that are never part of an article (a form is not, either, unless it encloses the page's prose), and those that have no end tag; fixed by HTML.
+NEVER = frozenset("head script style noscript template nav header footer aside button select option textarea input label iframe object svg canvas video audio dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
@@ -55,7 +55,14 @@ CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "t
 KEEPS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 OPENING = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 STOP = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Elements of running text, and words of the line at a page's end that is none.
+PROSE = frozenset("p blockquote pre h1 h2 h3".split())
+COPYRIGHT = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+#: Headings and names of lists of links that belong to an article, and how long links without punctuation are in others.
+REFERENCES = re.compile(r"\b(?:references?|refs?|sources?|bibliograph\w*|citations?|cited|footnotes?|endnotes?|notes|literature|further reading|external links|quellen\w*|literatur\w*|einzelnachweise|références|sources|bibliografía|referencias|fuentes)\b", re.I)
+LONG_LINK = 30
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: Standard deviation of the smoothing over nodes, share of the mean score that content paths reach, and their least score.
@@ -118,6 +125,8 @@ def _attributes(said: str) -> tuple[str, bool]:
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() in ("class", "id", "role"):
             names.append(value)
+        elif m[1].lower() == "style":
+            hidden = hidden or UNSEEN.search(value) is not None
         elif m[1].lower() == "hidden" or value.lower() == "true":
             hidden = True
     return " ".join(names), hidden
@@ -196,8 +205,8 @@ class _Open:
 
     def close(self, tag: str) -> None:
         at = self.last((tag,))
-        # An inline end tag does not reach out of its block.
-        if at >= 0 and (tag in BLOCKS or at > self.last_block()):
+        # An inline end tag does not reach out of its block; that of a list of options does, as theirs may be left out.
+        if at >= 0 and (tag in BLOCKS or tag in NEVER or at > self.last_block()):
             self.cut(at)
 
     def make_room(self, tag: str) -> None:
@@ -293,19 +302,54 @@ def path_scores(paths: Paths, inside: list[tuple[int, int, str]]) -> dict[int, f
     return {p: math.sqrt(fused[p] * t / sums[p][2]) for p, t in totals.items()}
 
 
-def path_weights(paths: Paths, chars: list[int]) -> tuple[list[float], list[bool]]:
+def leave_forms(paths: Paths, inside: list[tuple[int, int, str]]) -> list[bool]:
+    """Which paths are in a form that is a part of the page.
+
+    A form round the page, as some frameworks write it, is none: one that holds
+    every declared article, or else the greater part of the prose.
+    """
+    n, forms = len(paths), [k for k in range(len(paths)) if paths.tag[k] == "form"]
+    out = [False] * n
+    if not forms:
+        return out
+    prose = [0] * n
+    for path, _, text in inside:
+        prose[path] += len(text.strip()) if not paths.linked[path] and PUNCTUATION.search(text) else 0
+    under, articles = paths.sums(prose), _declared(paths)
+    part = {k for k in forms if not (articles[k] == articles[0] if articles[0] else 2 * under[k] > under[0])}
+    for k in range(1, n):
+        out[k] = out[paths.parent[k]] or k in part
+    return out
+
+
+def _declared(paths: Paths) -> list[int]:
+    """Of each path, how many declared articles begin with it."""
+    return paths.sums([int(paths.tag[k] in DECLARED and not paths.outside[k] and not paths.mark[k]) for k in range(len(paths))])
+
+
+def _unmarked_prose(paths: Paths, inside: list[tuple[int, int, str]]) -> bool:
+    """Whether there is running text under no name that marks."""
+    clean = [True] * len(paths)
+    for k in range(1, len(paths)):
+        clean[k] = clean[paths.parent[k]] and not paths.mark[k]
+    return any(clean[p] and not paths.linked[p] and (paths.tag[p] in PROSE or paths.tag[paths.parent[p]] in PROSE) and PUNCTUATION.search(t) and not COPYRIGHT.search(t) for p, _, t in inside)
+
+
+def path_weights(paths: Paths, inside: list[tuple[int, int, str]], chars: list[int]) -> tuple[list[float], list[bool]]:
     """What the tags and names on each path say of it, and whether its last step's names mark it.
 
     The names of an element that encloses the article do not count. It does if
     it holds every declared article and the greater part of the page's text, or,
-    where none is declared, ``COVER`` of that text.
+    where none is declared, ``COVER`` of that text, and no running text of the
+    page is free of such names: comments may be longer than the article.
     """
     under, n = paths.sums(chars), len(paths)
-    articles = paths.sums([int(paths.tag[k] in DECLARED and not paths.outside[k] and not paths.mark[k]) for k in range(n)])
+    articles = _declared(paths)
+    free = not articles[0] and any(paths.mark) and _unmarked_prose(paths, inside)
     out, marked = [1.0] * n, [False] * n
     for k in range(1, n):
         p = paths.parent[k]
-        wraps = articles[k] == articles[0] and 2 * under[k] > under[0] if articles[0] else under[k] >= COVER * under[0]
+        wraps = articles[k] == articles[0] and 2 * under[k] > under[0] if articles[0] else not free and under[k] >= COVER * under[0]
         marked[k] = paths.mark[k] > 0 and not wraps
         out[k] = out[p] * (paths.mark[k] if marked[k] else 1.0) * (ARTICLE if paths.declared[k] and not paths.declared[p] else 1.0)
     return out, marked
@@ -325,13 +369,28 @@ def _container(paths: Paths, chars: list[int]) -> int:
     return top or best
 
 
-def _left_out(paths: Paths, marked: list[bool], score: list[float], chars: list[int], linked: list[int], nodes_: list[int], least: float) -> list[bool]:
-    """Paths under names that mark and with scores under ``least``, and lists of nothing but links."""
+def _references(paths: Paths, inside: list[tuple[int, int, str]]) -> list[bool]:
+    """Paths of links in a declared article that are references: punctuated or long ones, and those under a heading that says so."""
+    n, heading = len(paths), False
+    said, chars, links = [0] * n, [0] * n, [0] * n
+    for path, _, text in inside:
+        if re.fullmatch("h[1-6]", paths.tag[path]):
+            heading = REFERENCES.search(text) is not None
+        elif paths.linked[path] and paths.declared[path]:
+            links[path] += 1
+            chars[path] += len(text.strip())
+            said[path] += 1 if heading or PUNCTUATION.search(text) else 0
+    said, chars, links = paths.sums(said), paths.sums(chars), paths.sums(links)
+    return [links[k] > 0 and (2 * said[k] > links[k] or chars[k] >= LONG_LINK * links[k]) for k in range(n)]
+
+
+def _left_out(paths: Paths, marked: list[bool], score: list[float], chars: list[int], linked: list[int], nodes_: list[int], least: float, references: list[bool]) -> list[bool]:
+    """Paths under names that mark and with scores under ``least``, and lists of nothing but links that are no references."""
     total, all_, links, count = paths.sums([s * c for s, c in zip(score, chars, strict=True)]), paths.sums(chars), paths.sums(linked), paths.sums(nodes_)
     out = [False] * len(paths)
     for k in range(1, len(paths)):
         poor = total[k] < least * all_[k]
-        menu = paths.tag[k] in LISTS and count[k] >= LINKS and links[k] >= LINK_SHARE * all_[k]
+        menu = not references[k] and paths.tag[k] in LISTS and count[k] >= LINKS and links[k] >= LINK_SHARE * all_[k]
         out[k] = out[paths.parent[k]] or poor and (marked[k] or menu)
     return out
 
@@ -341,6 +400,8 @@ def main_text(page: str | None) -> str:
     paths, found = nodes(page or "")
     found = [x for x in found if not paths.outside[x[0]]]
     inside = [x for x in found if x[2].strip()]
+    in_form = leave_forms(paths, inside)
+    found, inside = ([x for x in y if not in_form[x[0]]] for y in (found, inside))
     if not inside:
         return ""
     n = len(paths)
@@ -350,7 +411,7 @@ def main_text(page: str | None) -> str:
         chars[path] += size
         linked[path] += size if paths.linked[path] else 0
         count[path] += 1 if paths.linked[path] else 0
-    weight, marked = path_weights(paths, chars)
+    weight, marked = path_weights(paths, inside, chars)
     score = [0.0] * n
     for path, s in path_scores(paths, inside).items():
         score[path] = s * weight[path]
@@ -361,7 +422,7 @@ def main_text(page: str | None) -> str:
         return ""
     top = _container(paths, [c if p in content else 0 for p, c in enumerate(chars)])
     bare = paths.tag[top] in ("", "html", "body")
-    dropped = _left_out(paths, marked, score, chars, linked, count, least)
+    dropped = _left_out(paths, marked, score, chars, linked, count, least, _references(paths, inside))
     holds = _below(paths, top)
     above, k = {top}, top
     while k:
@@ -416,4 +477,4 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
             texts = [main_text(v.as_py()) for v in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return bounded_batches(pages.select(*map(col, kept), col(html_column).cast("string").alias(raw))).mapInArrow(run, schema)
+    return map_arrow(bounded_batches(pages.select(*map(col, kept), col(html_column).cast("string").alias(raw))), run, schema)

@@ -219,6 +219,39 @@ def test_scores_decide_about_parts_of_the_article(wrapper, part, kept):
     assert html.main_text(page).split("\n") == ["Head", *PROSE[:6], *(blocks if kept else [])]
 
 
+TINY = "<h1>Head</h1><p>Short article text, really.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # A form round the page is no part of it; its controls are.
+        (f"<form id=aspnetForm><select><option>One<option>Two</select><input name=x><label>Name</label><div class=content><h1>Head</h1>{SPLIT}</div><button>Go</button></form>", ["Head", *PROSE[:6]]),
+        (f"<form><nav><a href=/>Home</a></nav><article>{TINY}</article></form>", ["Head", "Short article text, really."]),
+        (f"<div class=main><h1>Head</h1>{SPLIT}<form><p>Leave your words here, please.</p><label>Name</label></form></div>", ["Head", *PROSE[:6]]),
+        (f"<article>{TINY}<form><p>Tell us more, and more, and more.</p></form></article>", ["Head", "Short article text, really."]),
+        # More comments than article.
+        (f"<div class=post>{TINY}</div><div class=comments>{SPLIT}</div>", ["Head", "Short article text, really."]),
+        (f"<div id=main><div class=story><p>Short article text, really.</p></div><div id=disqus_thread>{SPLIT}</div></div>", ["Short article text, really."]),
+        # Names that mark round all there is.
+        (f"<div class=sidebar-layout-widget>{SPLIT}</div><div><p>© 2024 Some. All rights reserved.</p></div>", PROSE[:6]),
+        # Lists of references.
+        (f"<article>{SPLIT}<h2>References</h2><ul><li><a href=1>Smith 2001</a><li><a href=2>Jones 2002</a><li><a href=3>Miller 2003</a></ul></article>", [*PROSE[:6], "References", "Smith 2001", "Jones 2002", "Miller 2003"]),
+        (f"<article>{SPLIT}<ol><li><a href=1>Smith, J. (2001). One.</a><li><a href=2>Jones, K.: Two.</a><li><a href=3>Miller, A. Three.</a></ol></article>", [*PROSE[:6], "Smith, J. (2001). One.", "Jones, K.: Two.", "Miller, A. Three."]),
+        # What is not displayed.
+        (f"<article>{SPLIT}<p style='color: red; DISPLAY : none'>Hidden words, here.</p><div style=\"display:none\"><p>Also, hidden.</p></div><p style='display: block'>Seen, though.</p></article>", [*PROSE[:6], "Seen, though."]),
+    ],
+)
+def test_common_layouts(page, text):
+    found = html.main_text(f"<html><body>{page}</body></html>").split("\n")
+    assert [x for x in found if not x.startswith("©")] == text
+
+
+def test_columns_with_dots(spark):
+    got = html.extract(spark.createDataFrame([(1, f"<article>{TINY}</article>")], "page_id long, html string").selectExpr("*", "2 AS `a.b`")).collect()
+    assert got[0]["a.b"] == 2 and got[0]["text"] == "Head\nShort article text, really."
+
+
 def test_tiny_articles_beside_prose_that_is_marked():
     for body in ("x", "two words"):
         page = f"<body><nav><a href=a>Menu</a></nav><div class='ad'>{' '.join(PROSE[:3])}</div><article><h1>{body}</h1><p>{body}</p></article><footer>No, no.</footer></body>"

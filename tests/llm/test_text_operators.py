@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexforge.llm import entries, exact, language, lines, pii, quality, secrets
@@ -54,6 +55,22 @@ def test_line_dedup(spark):
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_texts_of_nothing_but_boilerplate_take_linear_time(spark):
+    import time
+
+    def seconds(n, bound):
+        text = "\n".join(f"line {k}" for k in range(n))
+        df = spark.createDataFrame([(i, "a", f"{text}\nown {i}\n{text}") for i in range(6)], "doc_id long, source string, text string")
+        began = time.time()
+        got = {r.doc_id: r for r in lines.drop_boilerplate(df, broadcast_lines=bound).collect()}
+        assert all(got[i].text == f"own {i}" and got[i].n_dropped == 2 * n and got[i].n_lines == 2 * n + 1 for i in range(6))
+        return time.time() - began
+
+    for bound in (0, 10**9):
+        seconds(1000, bound)
+        assert seconds(200_000, bound) < 20 * max(seconds(20_000, bound), 1.0)
+
+
 # --- personal data ----------------------------------------------------------------
 
 
@@ -197,6 +214,53 @@ def test_many_values_in_one_text():
     assert seconds(8000) < 16 * max(seconds(1000), 0.05)
 
 
+def test_values_of_any_length():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        text, found = P.replace("a" * n + "@x.com")
+        assert [k for k, *_ in found] == ["email"] and len(text) == n + 6 and text != "a" * n + "@x.com"
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(1_000_000) < 20 * max(seconds(100_000), 0.1)
+    # Long values stay linked, differ in each letter that differs, and keep their case.
+    a, b, c = (P.replace(x + "@x.com")[0] for x in ("ab" * 9000, "AB" * 9000, "ab" * 8999 + "aa"))
+    assert a != b and a.lower() == b.lower() and a != c and b[:18000].isupper()
+    assert P.replace("7" * 10_000_000) == ("7" * 10_000_000, [])
+    long_ = ("9" * 200_000 + "@b.de", "1" * 200_000 + "x@b.de")
+    assert all(P.replace(x)[0] != x and P.replace(x)[0].endswith(".de") for x in long_)
+
+
+def test_strings_beyond_64_bits_form_one_cycle():
+    f = pii.Feistel(b"k")
+    for size, n in ((3, 1), (2, 5), (3, 4)):
+        start, seen = np.zeros(n, np.int64), []
+        now = start
+        for _ in range(size**n):
+            now = f._long(now, size, "t")
+            seen.append(tuple(now.tolist()))
+        assert len(set(seen)) == size**n and seen[-1] == tuple(start.tolist())
+    short, long_ = "a" * 13, "a" * 14
+    assert len(f.spell(short, pii.LETTERS, "t")) == 13 and len(f.spell(long_, pii.LETTERS, "t")) == 14
+
+
+@pytest.mark.parametrize("text", ["030 12345678", "0171/1234567", "+49 30 12345678"])
+def test_numbers_in_one_group(text):
+    new, found = P.replace(f"call {text}.")
+    assert [k for k, *_ in found] == ["phone"] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {text}.") and new != f"call {text}."
+
+
+def test_key_of_the_session(spark, sf_dir):
+    spans = lambda: {r.doc_id: r.text for r in entries.op4_pii(spark, sf_dir).filter("n_pii > 0").collect()}
+    one = spans()
+    spark.conf.set(entries.PII_SETTING, "another key")
+    other = spans()
+    spark.conf.unset(entries.PII_SETTING)
+    assert one.keys() == other.keys() and all(one[k] != other[k] for k in one)
+
+
 # --- exact dedup ------------------------------------------------------------------
 
 
@@ -476,6 +540,51 @@ def test_language_fusion_against_plain_code(spark, bound, monkeypatch):
     assert [found[0][k] for k in (1, 2, 3)] == ["en", "fr", "de"] and found[1][4] == "fr"
 
 
+def plain_fit(rows, most, languages):
+    """Counts of trigram places of the different texts with the least hashes, as many rows as may be."""
+    labels = Counter(lang.split("-")[0].lower() for lang, text in rows if text is not None)
+    known = sorted(sorted(labels, key=lambda x: (-labels[x], x))[:languages])
+    out = {}
+    for lang in known:
+        texts = Counter(text for x, text in rows if x.split("-")[0].lower() == lang and text is not None)
+        drawn = sorted(texts, key=lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))[:most]
+        share = min(1, most / sum(texts[t] for t in drawn))
+        out[lang] = share * sum(texts[t] * np.bincount(language.grams(t), minlength=language.PLACES) for t in drawn)
+    return known, out
+
+
+def test_fit_against_plain_code(spark):
+    rows = [(lang, f"{w} {k} words of {w}") for lang, w in (("en", "some"), ("de-AT", "einige"), ("DE", "viele"), ("fr", "des"), ("xx", "qq")) for k in range(30)] + [("zz", "a"), ("yy", None)]
+    for most, top in ((5, 256), (1000, 3)):
+        model = language.fit(spark.createDataFrame(rows, "lang string, text string"), sample_rows=most, max_languages=top)
+        known, counts = plain_fit(rows, most, top)
+        assert model.languages == known and model.logp.shape == (language.PLACES, len(known))
+        for i, lang in enumerate(known):
+            c = counts[lang] + 0.1
+            assert np.allclose(model.logp[:, i], np.log(c / c.sum()), atol=1e-5)
+
+
+@pytest.mark.parametrize("variant", ["one", "two", "three"])
+def test_sample_under_copies(spark, variant):
+    """A language of few hot texts has each of them, and no more rows than the bound."""
+    hot = spark.range(200_000).selectExpr("'en' AS lang", f"concat('the {variant} text number ', id % 5) AS text")
+    cold = spark.range(5000).selectExpr("'de' AS lang", "concat('der eine text ', id) AS text")
+    model = language.fit(hot.union(cold), sample_rows=100)
+    known, counts = plain_fit([("en", f"the {variant} text number {k}") for k in range(5)] * 40 + [("de", f"der eine text {k}") for k in range(5000)], 100, 256)
+    assert model.languages == known
+    for i, lang in enumerate(known):
+        assert np.allclose(model.logp[:, i], np.log((counts[lang] + 0.1) / (counts[lang] + 0.1).sum()), atol=1e-5)
+
+
+def test_more_labels_than_languages(spark):
+    rows = [(i, f"words of group {i % 7} here", f"l{i % 7}" if i % 7 < 2 or i < 14 else None, "s") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(docs, max_languages=2)
+    assert model.languages == ["l0", "l1"]
+    got = language.identify(docs, model).collect()
+    assert len(got) == 140 and {r.language for r in got} <= {"l0", "l1", "und"}
+
+
 def test_rare_labels_are_languages(spark):
     rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}" * 30, f"l{k}", None) for k in range(300)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
