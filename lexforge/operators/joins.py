@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators.ordering import with_position
-from lexforge.runtime import BROADCAST_ROWS, fresh, stage_table
+from lexforge.operators.scan import Layer, scan
+from lexforge.runtime import col, fresh, stage_table
 
 
 def first_match(left: DataFrame, right: DataFrame, on: str, order: list[Column]) -> DataFrame:
@@ -51,22 +52,61 @@ def contained_in_first(points: DataFrame, spans: DataFrame, by: list[str], width
     return best.select("_lf_point.*", F.col("b.span_no").alias("span_no"), F.col("b.span_begin").alias("span_begin"), F.col("b.span_end").alias("span_end"))
 
 
+def open_prefixes(left: DataFrame, path: str, prefixes: DataFrame, prefix: str, number: str, found: str, every: bool = False) -> DataFrame:
+    """``left`` with ``found``: the ``number`` of the longest prefix that begins ``path`` (null if none does), or the array of ``every`` one, longest first.
+
+    Both sides are sorted together; all that begins with a prefix follows it at
+    once, so a walk needs no more than the stack of the prefixes that are open.
+    Ranges are walked at the same time: what is open at a border are the
+    prefixes of the row before it that begin the row behind it, too, and goes
+    over it (``scan``). The plan is the same however many lengths there are,
+    and no path is listed more than once. Of equal prefixes the last by number is on top.
+    """
+    row, text, side, order = (fresh(left, x) for x in ("row", "text", "side", "order"))
+    rows = left.filter(col(path).isNotNull()).select(F.struct(*map(col, left.columns)).alias(row), col(path).alias(text), F.lit(1).alias(side), F.monotonically_increasing_id().alias(order))
+    marks = prefixes.filter(col(prefix).isNotNull()).select(F.lit(None).cast(rows.schema[row].dataType).alias(row), col(prefix).alias(text), F.lit(0).alias(side), col(number).cast("long").alias(order))
+    both = rows.unionByName(marks)
+
+    def walk(run: list, stack: list) -> tuple[list, list]:
+        stack, out = list(stack), []
+        for s, kind, n in zip(*(x.tolist() for x in run), strict=True):
+            while stack and not s.startswith(stack[-1][0]):
+                stack.pop()
+            if not kind:
+                stack.append((s, n))
+            out.append(([x for _, x in reversed(stack)] if every else stack[-1][1] if stack else None) if kind else None)
+        return stack, out
+
+    def summary(run: list, _: list) -> tuple:
+        return run[0][-1], walk(run, [])[0]
+
+    def over(stack: list, said: tuple) -> list:
+        last, own = said
+        return [x for x in stack if last.startswith(x[0])] + own
+
+    def emit(run: list, entering: list) -> list:
+        return [walk(run, entering[0])[1]]
+
+    kind = "array<bigint>" if every else "bigint"
+    met = scan(both, [], [text, side, order], [text, side, order], [Layer([], summary, over)], emit, f"`{found}` {kind}")
+    return met.filter(F.col(side) == 1).select(*(F.col(row)[c].alias(c) for c in left.columns), found)
+
+
 def longest_prefix(left: DataFrame, path: str, prefixes: DataFrame, prefix: str, rank: Column | None = None) -> DataFrame:
     """``left`` with the row of ``prefixes`` whose ``prefix`` begins ``path``: the longest, or the first by ``rank``.
 
-    An equi join, not a theta join: each path is listed with its beginnings, as
-    many as there are different prefix lengths (the driver gets those lengths,
-    no more than the longest prefix has characters). Equal rows of ``left`` each
-    stay; a row that no prefix begins goes.
+    Equal rows of ``left`` each stay; a row that no prefix begins goes. See
+    ``open_prefixes`` for how prefixes are found.
     """
-    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]
-    start, row = fresh(left, "start"), fresh(left, "row")
+    number, row, found = fresh(prefixes, "number"), fresh(left, "row"), fresh(left, "found")
+    known = _numbered(prefixes, number)
+    if rank is None:
+        return open_prefixes(left, path, known, prefix, number, found).join(known.withColumnRenamed(number, found), found).select(*map(col, [*left.columns, *prefixes.columns]))
+    ranked = known.select(F.col(number).alias(found), rank.alias("_lf_rank"), F.struct(*map(col, prefixes.columns)).alias("_lf_prefix"))
     rows = _numbered(left, row)
-    listed = rows.select(row, path, F.explode(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)))).alias(start))
-    met = listed.join(prefixes, F.col(start) == F.col(prefix))
-    order = rank if rank is not None else -F.length(prefix)
-    best = met.groupBy(row).agg(F.min_by(F.struct(*prefixes.columns), order).alias("_lf_best"))
-    return rows.join(best, row).select(*left.columns, *(F.col(f"_lf_best.{c}").alias(c) for c in prefixes.columns))
+    each = open_prefixes(rows.select(row, path), path, known, prefix, number, found, True).select(row, F.explode(found).alias(found)).join(ranked, found)
+    best = each.groupBy(row).agg(F.min_by("_lf_prefix", "_lf_rank").alias("_lf_best"))
+    return rows.join(best, row).select(*map(col, left.columns), *(F.col("_lf_best")[c].alias(c) for c in prefixes.columns))
 
 
 def zip_join(frames: list[DataFrame], orders: list[list[Column]], check: bool = True) -> DataFrame:
@@ -87,17 +127,32 @@ def strict_full_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return joined.filter(ok).drop("_lf_l", "_lf_r")
 
 
-def as_of(left: DataFrame, at: str, steps: DataFrame, threshold: str, value: str) -> DataFrame:
-    """``left`` with ``value`` of the last threshold below ``at``; null before the first.
+def as_of(left: DataFrame, at: str, steps: DataFrame, threshold: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """``left`` with ``value`` of the last threshold below ``at`` (in the row's group ``by``); null before the first.
 
-    ``steps`` is a schedule, sent to all tasks; one with more rows than may be
-    broadcast is an error.
+    A merge of both sides in one order, of any size: rows and thresholds are
+    dealt to range partitions, each row takes the last threshold before it, and
+    what is last in all partitions before goes over their borders, one short row
+    for each. Equal places are dealt over several partitions, so that a hot one
+    is no hot task. Of equal thresholds the one of the largest value counts; a
+    null place comes before all thresholds, null thresholds count for nothing.
     """
-    if steps.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"a schedule has {BROADCAST_ROWS} steps at most")
-    few = steps.agg(F.sort_array(F.collect_list(F.struct(F.col(threshold).alias("t"), F.col(value).alias("v")))).alias("_lf_s"))
-    below = F.filter("_lf_s", lambda s: s["t"] < F.col(at))
-    return left.crossJoin(F.broadcast(few)).withColumn(value, F.get(below, F.size(below) - 1)["v"]).drop("_lf_s")
+    by = by or []
+    part, row, place, side, number, said = (fresh(left, x) for x in ("part", "row", "place", "side", "number", "said"))
+    keys = [fresh(left, f"key{k}") for k in range(len(by))]
+    rows = left.select(F.struct(*map(col, left.columns)).alias(row), *(col(k).alias(n) for k, n in zip(by, keys, strict=True)), col(at).alias(place), F.lit(0).alias(side), F.monotonically_increasing_id().alias(number))
+    marks = steps.filter(col(threshold).isNotNull()).select(*(col(k).alias(n) for k, n in zip(by, keys, strict=True)), col(threshold).alias(place), F.lit(1).alias(side), col(value).alias(said))
+    order = [*keys, place, side, number]
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    ranged = stage_table(both.repartitionByRange(*order, said).withColumn(part, F.spark_partition_id()), "merged")
+    mark = F.when(F.col(side) == 1, F.struct(*keys, F.lit(True).alias("set"), F.col(said).alias("value")))
+    # One row for each partition: a window over all of them is small by construction.
+    ends = ranged.groupBy(part).agg(F.max_by(mark, F.when(F.col(side) == 1, F.struct(*keys, place, said))).alias("end"))
+    carried = ends.select(part, F.last("end", True).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = F.last(mark, True).over(Window.partitionBy(part).orderBy(*order, said).rowsBetween(Window.unboundedPreceding, 0))
+    met = ranged.withColumn("inside", inside).filter(F.col(side) == 0).join(F.broadcast(carried), part).withColumn("last", F.coalesce("inside", "carried"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"last.{k}")) for k in keys], F.col("last.set").isNotNull() & F.col(place).isNotNull())
+    return met.select(*(F.col(row)[c].alias(c) for c in left.columns if c.lower() != value.lower()), F.when(same, F.col("last.value")).alias(value))
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -124,10 +179,11 @@ def grid(choices: dict[str, list], spark) -> DataFrame:
 
 def last_prefix_entry(words: DataFrame, word: str, table: DataFrame, line: str, line_no: str) -> DataFrame:
     """``words`` with ``entry``: the second field (after ``|||``) of the last table line that begins with the word."""
-    lengths = [r[0] for r in words.select(F.length(word)).distinct().collect()]
-    starts = table.withColumn("_lf_start", F.explode(F.array_distinct(F.array(*(F.when(F.length(line) >= n, F.substring(line, 1, n)) for n in lengths)))))
-    last = starts.groupBy("_lf_start").agg(F.max_by(line, line_no).alias("_lf_line"))
-    return words.join(last, F.col(word) == F.col("_lf_start"), "left").withColumn("entry", F.trim(F.get(F.split("_lf_line", r"\|\|\|", -1), F.lit(1)))).drop("_lf_start", "_lf_line")
+    number, found = fresh(words, "number"), fresh(table, "found")
+    known = _numbered(words, number)
+    met = open_prefixes(table.select(line, line_no), line, known, word, number, found, True).select(F.explode(found).alias(number), line, line_no)
+    last = met.groupBy(number).agg(F.max_by(line, line_no).alias("_lf_line"))
+    return known.join(last, number, "left").withColumn("entry", F.trim(F.get(F.split("_lf_line", r"\|\|\|", -1), F.lit(1)))).drop(number, "_lf_line")
 
 
 def row_window(by: list[str], order: list[Column]) -> Window:

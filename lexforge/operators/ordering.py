@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.scan import budget_batches
 from lexforge.runtime import fresh, stage_table
 
 
@@ -104,35 +105,10 @@ def bucketed_batches(df: DataFrame, order: list[Column], by: list[Column], pool:
 def token_budget_batches(df: DataFrame, group: str, order: list[str], length: str, budget: int) -> DataFrame:
     """``df`` with ``batch`` in each group: rows in order, a new batch where (rows) x (longest + 2) would pass the budget.
 
-    A row that alone passes the budget is left out. The fold reads a group as a
-    sorted stream; it holds one batch's state, not the group.
+    A row that alone passes the budget is left out. See ``scan.budget_batches``:
+    a group may hold all rows.
     """
-    import pyarrow as pa
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField("batch", LongType())])
-    names = [*df.columns, "batch"]
-    g, at = names.index(group), names.index(length)
-
-    def run(batches):
-        now, batch, rows, longest = object(), 0, 0, 0
-        for b in batches:
-            keep, ids = [], []
-            for i, (key, n) in enumerate(zip(b.column(g), b.column(at), strict=True)):
-                key, n = key.as_py(), (n.as_py() or 0) + 2
-                if key != now:
-                    now, batch, rows, longest = key, 0, 0, 0
-                if n > budget:
-                    continue
-                if rows and (rows + 1) * max(longest, n) > budget:
-                    batch, rows, longest = batch + 1, 0, 0
-                rows, longest = rows + 1, max(longest, n)
-                keep.append(i)
-                ids.append(batch)
-            kept = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids, pa.int64())], names=names)
-
-    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
+    return budget_batches(df, [group], order, length, budget)
 
 
 def running_budget(df: DataFrame, group: list[str], order: list[Column], length: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as X
 from lexforge.operators import ordering as O
+from lexforge.operators import scan
 from lexforge.operators import vocabulary as V
 from lexforge.plans.catalog import query
 from lexforge.runtime import table, texts
@@ -274,7 +275,7 @@ SELECT source, doc_id, n, batch FROM f""")
 def token_budget_batches(spark, sf_dir):
     """Batches under a token budget."""
     d = docs(spark, sf_dir).select("source", "doc_id", F.size(tokens()).cast("long").alias("n"))
-    return O.token_budget_batches(d, "source", ["n", "doc_id"], "n", 4096)
+    return scan.budget_batches(d, ["source"], ["n", "doc_id"], "n", 4096)
 
 
 @query("""

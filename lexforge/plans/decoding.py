@@ -104,9 +104,13 @@ def length_limits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 200, "short").when(n > 20000, "cut").otherwise("ok").alias("status"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+b AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: x::DOUBLE), 'DESC')[3] AS least FROM embeddings),
+g AS (SELECT vec_id, i, x / 0.7 - ln(-ln((('0x' || substr(md5(vec_id || ':' || i), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656)) AS score FROM e JOIN b USING (vec_id) WHERE x >= least)
+SELECT vec_id, arg_max(i, score)::BIGINT AS token FROM g GROUP BY vec_id""")
 def sampled_tokens(spark, sf_dir):
-    """One token of each row, drawn from its three best; the draw depends on a hash of the row, so it has no SQL."""
+    """One token of each row, drawn from its three best by a hash of the row and the token."""
     scores = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", D.choose_token(scores, 0.7, 3, F.col("vec_id")).cast("long").alias("token"))
 

@@ -154,6 +154,26 @@ def accum_schedule_asof(spark, sf_dir):
     return J.as_of(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", steps, "t", "accum")
 
 
+@query("""
+WITH p AS (SELECT user_id, ts, max(value) AS last_purchase FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT e.event_id, e.user_id, e.event_type, p.last_purchase FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.ts""")
+def asof_by_group(spark, sf_dir):
+    """Each event with its user's last purchase before it: as many thresholds as there are purchases."""
+    e = table(spark, sf_dir, "events")
+    steps = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_purchase"))
+    return J.as_of(e.select("event_id", "user_id", "event_type", "ts"), "ts", steps, "ts", "last_purchase", ["user_id"]).drop("ts")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS t, max(l_quantity) AS v FROM lineitem GROUP BY 1)
+SELECT o_orderkey, v AS quantity FROM orders ASOF LEFT JOIN s ON o_orderkey * 8 > t""")
+def asof_long_schedule(spark, sf_dir):
+    """A schedule with a step for each line: far more than could be broadcast at scale."""
+    steps = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("t"), F.col("l_quantity").alias("quantity"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 8).alias("place"))
+    return J.as_of(orders, "place", steps, "t", "quantity").select("o_orderkey", "quantity")
+
+
 @query("SELECT o_orderkey, coalesce(w, 0.3) AS dropout FROM orders LEFT JOIN (VALUES (1, 0.5::DOUBLE), (65, 0.1::DOUBLE)) s(t, w) ON t = o_orderkey + 1")
 def dropout_schedule(spark, sf_dir):
     """A value that changes exactly at the step after."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import kernels as K
 from lexforge.operators import ordering as O
 from lexforge.operators import reports as R
+from lexforge.operators import scan as S
 from lexforge.plans.catalog import query
 from lexforge.runtime import table
 
@@ -236,8 +237,9 @@ SELECT user_id, arg_max(status, n) AS status, max_by(coalesce(best_step, -1), n)
 def patience_states(spark, sf_dir):
     """When each user's series of figures would have stopped, and its best day (-1: none)."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 3).alias("ppl"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("acc"))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("step"), "ppl", "acc"))).alias("h"))
-    return rows.select("user_id", R.patience(F.col("h"), 4).alias("s")).select("user_id", "s.status", F.coalesce("s.best_step", F.lit(-1).cast("long")).alias("best_step"))
+    steps = e.select("user_id", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("step"), "ppl", "acc")
+    states = S.stopping_states(steps, ["user_id"], ["step"], "step", "ppl", "acc", 4)
+    return S.last_of_groups(states, ["user_id"], ["step"], ["status", "best_step"]).withColumn("best_step", F.coalesce("best_step", F.lit(-1).cast("long")))
 
 
 @query("""
@@ -249,8 +251,9 @@ f(user_id, day, n, average) AS (
 SELECT user_id, day, round(arg_max(average, n), 6) AS average FROM f GROUP BY 1, 2""")
 def moving_average_fold(spark, sf_dir):
     """An average that moves slower the longer it runs."""
-    g = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    return g.select("user_id", "day", F.round(R.moving_average(F.transform("s", lambda x: x["value"]), 0.9), 6).alias("average"))
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value")
+    moved = S.moving_averages(e, ["user_id", "day"], ["ts", "event_id"], "value", 0.9)
+    return S.last_of_groups(moved, ["user_id", "day"], ["ts", "event_id"], ["average"]).withColumn("average", F.round("average", 6))
 
 
 @query("""

@@ -8,7 +8,7 @@ from lexforge.operators import chop, subtokens
 from lexforge.operators import decode as D
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
-from lexforge.runtime import table, texts
+from lexforge.runtime import stage_table, table, texts
 
 
 def part_trees(spark, sf_dir):
@@ -69,7 +69,11 @@ def tree_levels_all(spark, sf_dir):
     return part_trees(spark, sf_dir).select("p_partkey", *(T.rewritten(t, lambda x, n=n: chop.level(x, n)).alias(n.replace("-", "_")) for n in names))
 
 
-@query()
+@query(_TREES + """
+, u AS (SELECT p_partkey, replace(tree, ' (', '(') AS seed, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
+v AS (SELECT *, sum((tok <> ')')::INT) OVER w - 1 AS place, sum((tok = '(')::INT) OVER w - sum((tok = ')')::INT) OVER w + (tok = ')')::INT AS depth FROM u WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+m AS (SELECT *, CASE WHEN tok = ')' THEN last_value(CASE WHEN tok = '(' THEN place END IGNORE NULLS) OVER (PARTITION BY p_partkey, depth ORDER BY i) ELSE place END AS own FROM v)
+SELECT p_partkey, replace(replace(replace(string_agg(tok, ' ' ORDER BY i), '( ', '('), ' (', '('), ' )', ')') AS pruned FROM m WHERE own = 0 OR substr(sha256(seed || ':' || own), 1, 1) < '8' GROUP BY p_partkey""")
 def random_prune_hash(spark, sf_dir):
     """Trees pruned by a hash of their text and of each node's place."""
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(F.col("tree"), lambda t: T.prune(t, 0.5, T.show(t))).alias("pruned"))
@@ -85,12 +89,77 @@ def subtokenize_full(spark, sf_dir):
     return out.select("doc_id", "n", F.array_join("pieces", "|").alias("pieces"))
 
 
-@query()
-def beam_decode(spark, sf_dir):
-    """Beams over a table of continuation scores; one join and top-k for each step."""
+def _beam_sql(beam: int, n_best: int, longest: int, alpha: float, attention: str = "", penalty: str = "0.0", stepwise: bool = False) -> str:
+    """Beam search by recursion: a row of ``b`` is a chosen beam of a step; ``attention`` gives (prev, weights)."""
+    covered = "CASE WHEN b.step = 0 THEN w.weights ELSE list_transform(list_zip(b.covered, w.weights), lambda x: x[1] + x[2]) END" if attention else "b.covered"
+    owed = "CASE WHEN step > 0 THEN owed ELSE 0 END" if stepwise else "0.0"
+    said = "score" if stepwise or not attention else "score - owed"
+    return f"""
+WITH RECURSIVE n AS (SELECT (l_partkey % 16)::INT AS prev, (l_suppkey % 16)::INT AS token, count(*) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT prev, token, ln(n / sum(n) OVER (PARTITION BY prev)) AS gain FROM n),
+w AS ({attention or "SELECT 0 AS prev, [0.0::DOUBLE] AS weights WHERE FALSE"}),
+b(step, example, pos, tip, tokens, logp, score, covered, taken, owed, over, topped, ended) AS (
+  SELECT 0, i, 1::BIGINT, i::INT, [i::INT], 0.0::DOUBLE, 0.0::DOUBLE, []::DOUBLE[], 0.0::DOUBLE, 0.0::DOUBLE, FALSE, FALSE, 0::BIGINT FROM range(4) r(i)
+  UNION ALL
+  SELECT step + 1, example, pos, next, tokens, logp, score, covered, taken, owed, over, bool_or(topped OR (pos = 1 AND over)) OVER (PARTITION BY example), (ended + sum(over::INT) OVER (PARTITION BY example))::BIGINT FROM (
+    SELECT *, next = 0 OR step + 1 = {longest} AS over FROM (
+      SELECT *, row_number() OVER (PARTITION BY example ORDER BY score DESC, tokens) AS pos FROM (
+        SELECT step, example, s.token AS next, list_append(tokens, s.token) AS tokens, c.logp + gain AS logp, (c.logp + gain) / {f"pow((5.0 + step + 2) / 6.0, {alpha})" if alpha else "1.0"} AS score, covered, now AS taken, owed, topped, ended
+        FROM (SELECT *, logp + taken - ({owed}) AS logp2, ({owed}) AS now FROM (SELECT *, {penalty} AS owed FROM (SELECT b.* EXCLUDE (covered, owed), {covered} AS covered FROM b {"JOIN w ON b.tip = w.prev" if attention else ""}
+              WHERE NOT over AND NOT (topped AND ended >= {n_best})))) c0, LATERAL (SELECT logp2 AS logp) c JOIN s ON c0.tip = s.prev
+      )
+    ) WHERE pos <= {beam}
+  )
+),
+d AS (SELECT example, {said} AS score, tokens, row_number() OVER (PARTITION BY example ORDER BY {said} DESC, tokens) AS rank FROM b WHERE over)
+SELECT example, rank, round(score, 6) AS score, array_to_string(tokens, ' ') AS tokens FROM d WHERE rank <= {n_best}"""
+
+
+def _continuations(spark, sf_dir):
+    """(prev, token, logp) from which parts and suppliers meet, and four starts."""
     lines = table(spark, sf_dir, "lineitem")
     n = lines.groupBy((F.col("l_partkey") % 16).cast("int").alias("prev"), (F.col("l_suppkey") % 16).cast("int").alias("token")).agg(F.count("*").alias("n"))
     total = n.groupBy("prev").agg(F.sum("n").alias("t"))
     scores = n.join(total, "prev").select("prev", "token", F.log(F.col("n") / F.col("t")).alias("logp"))
-    starts = spark.range(4).select(F.col("id").alias("example"), F.col("id").cast("int").alias("token"))
-    return D.beam_search(starts, scores, beam=5, n_best=3, end=0, longest=8, alpha=0.6).select("example", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+    return stage_table(scores, "scores"), spark.range(4).select(F.col("id").alias("example"), F.col("id").cast("int").alias("token"))
+
+
+def _said(found):
+    return found.select("example", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+
+
+@query(_beam_sql(5, 3, 8, 0.6))
+def beam_decode(spark, sf_dir):
+    """Beams over a table of continuation scores; one join and top-k for each step."""
+    scores, starts = _continuations(spark, sf_dir)
+    return _said(D.beam_search(starts, scores, beam=5, n_best=3, end=0, longest=8, alpha=0.6))
+
+
+_ATTENTION = """
+SELECT prev, list(n / t ORDER BY place) AS weights FROM (
+  SELECT (l_partkey % 16)::INT AS prev, place, sum((l_linenumber = place)::INT + 1) AS n, sum(sum((l_linenumber = place)::INT + 1)) OVER (PARTITION BY (l_partkey % 16)::INT) AS t FROM lineitem, range(1, 8) r(place) GROUP BY 1, 2
+) GROUP BY prev"""
+_SUMMARY = "0.7 * (list_sum(list_transform(covered, lambda c: greatest(c, 1.0))) - len(covered))"
+_WU = "-0.4 * list_sum(list_transform(covered, lambda c: ln(least(c, 1.0))))"
+
+
+def _attention(spark, sf_dir):
+    """(prev, weights): how a token looks at seven source positions."""
+    places = [F.sum((F.col("l_linenumber") == k).cast("int") + 1).alias(f"n{k}") for k in range(1, 8)]
+    sums = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 16).cast("int").alias("prev")).agg(*places)
+    total = sum((F.col(f"n{k}") for k in range(2, 8)), F.col("n1"))
+    return stage_table(sums.select("prev", F.array(*(F.col(f"n{k}") / total for k in range(1, 8))).alias("weights")), "attention")
+
+
+@query(_beam_sql(4, 3, 8, 0.6, _ATTENTION, _SUMMARY, True))
+def beam_stepwise_coverage(spark, sf_dir):
+    """Beams chosen by scores from which the penalty of their coverage is taken at each step."""
+    scores, starts = _continuations(spark, sf_dir)
+    return _said(D.beam_search(starts, scores, 4, 3, 0, 8, 0.6, attention=_attention(spark, sf_dir), coverage="summary", beta=0.7, stepwise=True))
+
+
+@query(_beam_sql(4, 3, 8, 0.0, _ATTENTION, _WU))
+def beam_final_coverage(spark, sf_dir):
+    """Beams with the penalty of their coverage in the final scores only."""
+    scores, starts = _continuations(spark, sf_dir)
+    return _said(D.beam_search(starts, scores, 4, 3, 0, 8, attention=_attention(spark, sf_dir), coverage="wu", beta=0.4))

@@ -7,8 +7,8 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from lexforge.plans import catalog
 
-#: Queries with one small side by their nature: a limit, ten query vectors, a schedule, a grid of options.
-ONE_SMALL_SIDE = {"height_percentile_filter", "order_statistic", "dot_score_topk", "accum_schedule_asof", "config_grid"}
+#: Queries with one small side by their nature: a limit, ten query vectors, a grid of options.
+ONE_SMALL_SIDE = {"height_percentile_filter", "order_statistic", "dot_score_topk", "config_grid"}
 
 
 def plan(df):
