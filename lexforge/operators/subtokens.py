@@ -1,12 +1,21 @@
 """Context-aware splitting of identifiers.
 
-The context of a document weighs lower-case pieces: how often names and
-definitions use them. A piece is cut further only where the weights say that
-its parts are better known than the whole.
+The context of a document weighs lower-case pieces: how often its own names and
+the definitions of all documents use them. A piece is cut further only where the
+weights say that its parts are better known than the whole.
+
+What the definitions weigh is made once, as a table with a row for each piece
+(``corpus_weights``). Longer pieces pass a share of their weight on to their
+beginnings, in the order in which pieces first came: these sums are repeated
+until none changes, as often as the longest chain of beginnings has links. A
+document meets the rows of its own pieces' parts only, and works out where its
+names change them. Weights are compared at nine decimals, so that the order of
+sums does not matter.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Callable
@@ -16,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import SPLIT_PLACES
+from lexforge.functions.text import SPLIT_PLACES, split_identifier
+from lexforge.operators.ordering import with_position
+from lexforge.runtime import fresh, stage_table
 
 # Fixed values.
 SUFFIXES = ["x", "g", "m", "n", "l", "r", "b", "f", "z", "r", "le", "lt", "ge", "gt", "ne", "eq", "Pn", "Vn", "Mn", "Un"]
@@ -35,6 +46,8 @@ _LONGEST_FIRST = sorted(SUFFIXES, key=len, reverse=True)
 DEFINED, NAMED = (0.6, 3.0), (0.2, 1.0)
 #: Share of a word's weight that its beginnings get: (cut, least length of the word, divisor).
 BEGINNINGS = ((1, 3, 2), (2, 4, 3), (3, 5, 5))
+#: Decimals of weights, and rows of the corpus's weights that are sent to all tasks at most (some 100 bytes each).
+DECIMALS, SHIPPED = 9, 200_000
 
 
 def pieces(name: str) -> list[str]:
@@ -64,7 +77,7 @@ def _labelled(parts: list[str]) -> list[tuple[str, bool | None]]:
 
 
 def build_context(names: list[str], definitions: list[str], modules: list[str]) -> dict[str, float]:
-    """Weights in the order in which the pieces first came."""
+    """Weights in the order in which the pieces first came; the rule, for definitions that one task can hold."""
     weights: dict[str, float] = dict.fromkeys(ATOMIC_WORDS, math.inf)
     weights.update(dict.fromkeys((m.lower() for m in modules), math.inf))
 
@@ -89,6 +102,123 @@ def build_context(names: list[str], definitions: list[str], modules: list[str])
     return weights
 
 
+def own_weights(names: list[str]) -> dict[str, float]:
+    """What a document's names alone weigh, in the order in which the pieces first came."""
+    out: dict[str, float] = {}
+    for n in names:
+        for p, tail in _labelled(pieces(n)):
+            if tail is False and len(p) >= 2:
+                out[p.lower()] = out.get(p.lower(), 0.0) + NAMED[len(p) > 2]
+    return out
+
+
+def corpus_weights(definitions: DataFrame, order: list[str]) -> DataFrame:
+    """(word, known, place, visit, weight) of the pieces of all ``definitions`` (name, order columns), and of their beginnings.
+
+    ``known`` is whether a definition has the piece; ``place`` its place in the
+    order in which pieces first came, ``visit`` what it passes shares of on, and
+    ``weight`` what it weighs in the end. A beginning that no definition has
+    (known is false) only has what would be passed on to it.
+    """
+    said = definitions.filter("name IS NOT NULL").select(F.struct(*order).alias("at"), F.posexplode(split_identifier("name")).alias("no", "piece")).filter(F.length("piece") >= 2)
+    long_ = F.length("piece") > 2
+    base = F.sum((~long_).cast("long")) * DEFINED[0] + F.sum(long_.cast("long")) * DEFINED[1]
+    words = said.groupBy(F.lower("piece").alias("word")).agg(base.alias("base"), F.min(F.struct("at", "no")).alias("first"))
+    words = with_position(words, [F.col("first")], "place").select("word", "place", F.col("word").isin(ATOMIC_WORDS).alias("fixed"), F.round("base", DECIMALS).alias("base"))
+    words = stage_table(words, "words")
+    now = stage_table(words.withColumn("visit", F.col("base")), "visits")
+    n = F.length("word")
+    turns = F.array(*(F.when(n >= least, F.struct(F.expr(f"left(word, length(word) - {cut})").alias("to"), F.lit(float(by)).alias("by"))) for cut, least, by in BEGINNINGS))
+
+    def shares(now: DataFrame) -> DataFrame:
+        """(to, from_place, part): what each piece passes on."""
+        return now.filter(~F.col("fixed")).select(F.explode(turns).alias("turn"), F.col("place").alias("from_place"), "visit").filter("turn IS NOT NULL").select("turn.to", "from_place", (F.col("visit") / F.col("turn.by")).alias("part"))
+
+    while True:
+        # Only what comes first is passed on.
+        got = shares(now).join(words.select(F.col("word").alias("to"), "place"), "to").filter("from_place < place").groupBy("to").agg(F.sum("part").alias("got"))
+        visit = F.round(F.col("base") + F.coalesce("got", F.lit(0.0)), DECIMALS)
+        new = now.withColumnRenamed("visit", "was").join(got.withColumnRenamed("to", "word"), "word", "left").withColumn("visit", visit)
+        new = stage_table(new.select("word", "place", "fixed", "base", "visit", (visit != F.col("was")).alias("moved")), "visits")
+        moved, now = not new.filter("moved").isEmpty(), new.drop("moved")
+        if not moved:
+            break
+    every = shares(now).groupBy(F.col("to").alias("word")).agg(F.sum("part").alias("got"))
+    met = now.join(every, "word", "full")
+    got, known = F.coalesce("got", F.lit(0.0)), F.col("place").isNotNull()
+    weight = F.when(F.col("fixed"), F.lit(math.inf)).otherwise(F.round(F.coalesce("base", F.lit(0.0)) + got, DECIMALS))
+    return stage_table(met.select("word", known.alias("known"), "place", F.coalesce("visit", F.round(got, DECIMALS)).alias("visit"), weight.alias("weight")), "weights")
+
+
+def wanted(names: list[str]) -> set[str]:
+    """The rows of ``corpus_weights`` that the splitting of names can ask for: the parts of their pieces."""
+    out: set[str] = set()
+    for n in names:
+        if not is_identifier(n):
+            continue
+        for p, tail in _labelled(pieces(n)):
+            w = p.lower()
+            for k in range(2, len(w) + 1):
+                out.add(w[:k])
+                out.add(w[1:k])
+            if tail:
+                out.update(w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+    return out
+
+
+class CorpusContext:
+    """The weights of one document's context, from the corpus's rows and the document's names and modules."""
+
+    def __init__(self, rows: dict[str, tuple], names: list[str], modules: list[str]):
+        self._rows, self._fixed, self._changed = rows, {*ATOMIC_WORDS, *(m.lower() for m in modules)}, {}
+        own = own_weights(names)
+        late = {w: (1 << 62) + k for k, w in enumerate(own)}
+        self._modules = [m.lower() for m in modules]
+        row = lambda w: rows.get(w, (False, None, 0.0, 0.0))
+        place = lambda w: row(w)[1] if row(w)[0] else late[w]
+        # What is passed on differs from the corpus's by: before the piece was visited itself, and in all.
+        before, whole = dict.fromkeys(own, 0.0), dict.fromkeys(own, 0.0)
+        gone = {w for w in self._fixed.difference(ATOMIC_WORDS) if row(w)[0]}
+        queue = [(-len(w), w) for w in {*own, *gone}]
+        heapq.heapify(queue)
+        seen = {w for _, w in queue}
+        while queue:
+            w = heapq.heappop(queue)[1]
+            known, _, visit, weight = row(w)
+            if w in self._fixed:
+                # A module passes nothing on, whatever the definitions gave it.
+                moved = -visit if w in gone else 0.0
+            else:
+                more = own.get(w, 0.0)
+                moved = more + before[w] + (0.0 if known else visit)
+                self._changed[w] = weight + more + whole[w]
+            for cut, least, by in BEGINNINGS if moved else ():
+                to = w[:-cut]
+                if len(w) < least or to in self._fixed or not (row(to)[0] or to in own):
+                    continue
+                if to not in seen:
+                    seen.add(to)
+                    before.setdefault(to, 0.0)
+                    whole.setdefault(to, 0.0)
+                    heapq.heappush(queue, (-len(to), to))
+                whole[to] += moved / by
+                if place(w) < place(to):
+                    before[to] += moved / by
+
+    def get(self, word: str, default: float = 0.0) -> float:
+        if word in self._fixed:
+            return math.inf
+        if word in self._changed:
+            return round(self._changed[word], DECIMALS)
+        found = self._rows.get(word)
+        return found[3] if found and found[0] else default
+
+    def weights(self, names: list[str]) -> dict[str, float]:
+        """Of the modules, and of all that the splitting of ``names`` can ask for."""
+        asked = {**dict.fromkeys(self._modules), **dict.fromkeys(sorted(wanted(names)))}
+        return {w: x for w in asked if (x := self.get(w))}
+
+
 def _suffix(word: str) -> str | None:
     return next((s for s in _LONGEST_FIRST if word.endswith(s)), None)
 
@@ -121,7 +251,7 @@ def _tail(piece: str, known: Callable[[str], float]) -> list[str]:
     return out
 
 
-def split_name(name: str, context: dict[str, float]) -> list[str]:
+def split_name(name: str, context: dict[str, float] | CorpusContext) -> list[str]:
     """Sub-tokens whose concatenation is the name; what is no identifier stays whole."""
     if not is_identifier(name):
         return [name]
@@ -138,48 +268,85 @@ def split_name(name: str, context: dict[str, float]) -> list[str]:
     return out
 
 
-def _documents(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
-    """(doc, rows) of each document that has names: its definitions, then its names, in order."""
-    rows = names.select(doc, F.lit(1).alias("kind"), F.col(order).alias("at"), "name", "modules").unionByName(definitions.select(doc, F.lit(0).alias("kind"), F.col(order).alias("at"), "name", F.array().cast("array<string>").alias("modules")))
-    return rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("kind", "at", "name", "modules"))).alias("rows")).filter(F.exists("rows", lambda r: r["kind"] == 1))
+def _documents(names: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, rows) of each document: its names with their modules, in order."""
+    rows = names.select(doc, F.struct(F.col(order).alias("at"), "name", "modules").alias("row"))
+    return rows.groupBy(doc).agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
 def _read(batch: pa.RecordBatch):
-    """(document, its names, its definitions, its modules) of each row; fields are converted in one go."""
+    """(document, its names, its modules) of each row; fields are converted in one go."""
     lists = batch.column(1)
     fields = lists.flatten()
-    kinds, names, modules = (fields.field(f).to_pylist() for f in ("kind", "name", "modules"))
+    names, modules = (fields.field(f).to_pylist() for f in ("name", "modules"))
     at = 0
     for doc, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
-        first = next(i for i in range(at, at + n) if kinds[i] == 1)
-        yield doc, names[first : at + n], names[at:first], list(dict.fromkeys(m for ms in modules[first : at + n] for m in ms))
+        yield doc, names[at : at + n], list(dict.fromkeys(m for ms in modules[at : at + n] for m in ms or ()))
         at += n
 
 
-def document_contexts(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
-    """(doc, context map) of each document that has names: ``names`` (doc, name, modules array, order), ``definitions`` (doc, name, order)."""
+def _in_context(names: DataFrame, definitions: DataFrame, doc: str, order: str, make, schema: str, shipped: int) -> DataFrame:
+    """``make(document, names, context)`` gives record batches for each document under the weights of all definitions.
 
-    def run(batches):
+    The weights go to all tasks where they have ``shipped`` rows at most. Beyond
+    that each document lists the parts of its names, and is joined with their rows.
+    """
+    weights = corpus_weights(definitions, [doc, order])
+    docs = _documents(names, doc, order)
+    columns = ["word", "known", "place", "visit", "weight"]
+    if weights.count() <= shipped:
+        table = {w: tuple(rest) for w, *rest in zip(*(c.to_pylist() for c in weights.select(*columns).toArrow().columns), strict=True)}
+
+        def run(batches):
+            for b in batches:
+                for key, ns, ms in _read(b):
+                    yield make(key, ns, CorpusContext(table, ns, ms), b.column(0).type)
+
+        return docs.mapInArrow(run, schema)
+    docs, found, key = stage_table(docs, "names"), fresh(names, "found"), fresh(names, "key")
+    kind = names.schema[doc].dataType.simpleString()
+
+    def parts(batches):
         for b in batches:
-            maps = [list(build_context(ns, ds, ms).items()) for _, ns, ds, ms in _read(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.map_(pa.string(), pa.float64()))], names=[doc, "context"])
+            for k, ns, ms in _read(b):
+                words = sorted(wanted(ns) | {m.lower()[:k] for m in ms for k in range(1, len(m) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), b.column(0).type), pa.array(words, pa.string())], names=[key, "word"])
 
-    return _documents(names, definitions, doc, order).mapInArrow(run, f"`{doc}` {names.schema[doc].dataType.simpleString()}, context map<string,double>")
+    # A hot part is a skewed key of an inner equi join, which the adaptive plan splits.
+    met = docs.mapInArrow(parts, f"`{key}` {kind}, word string").join(weights, "word").groupBy(key).agg(F.collect_list(F.struct(*columns)).alias(found))
+    both = docs.join(met, F.col(doc).eqNullSafe(F.col(key)), "left").select(doc, "rows", found)
 
+    def run_joined(batches):
+        for b in batches:
+            for (k, ns, ms), rows in zip(_read(b), b.column(2).to_pylist(), strict=True):
+                table = {r["word"]: (r["known"], r["place"], r["visit"], r["weight"]) for r in rows or ()}
+                yield make(k, ns, CorpusContext(table, ns, ms), b.column(0).type)
 
-def split_documents(names: DataFrame, definitions: DataFrame, doc: str, order: str) -> DataFrame:
-    """(doc, n, name, pieces): all names split under their document's context, which never leaves the worker."""
+    return both.mapInArrow(run_joined, schema)
 
-    def run(batches):
-        for b in batches:
-            for key, ns, ds, ms in _read(b):
-                context = build_context(ns, ds, ms)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(ns), b.column(0).type), pa.array(range(len(ns)), pa.int64()), pa.array(ns, pa.string()), pa.array([split_name(n, context) for n in ns], pa.list_(pa.string()))],
-                    names=[doc, "n", "name", "pieces"],
-                )
-
-    return _documents(names, definitions, doc, order).mapInArrow(run, f"`{doc}` {names.schema[doc].dataType.simpleString()}, n bigint, name string, pieces array<string>")
+
+def document_contexts(names: DataFrame, definitions: DataFrame, doc: str, order: str, shipped: int = SHIPPED) -> DataFrame:
+    """(doc, context): the weights that the splitting of each document's names can ask for: ``names`` (doc, name, modules array, order), ``definitions`` (doc, name, order) of all documents."""
+
+    def make(key, ns, context, kind):
+        return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([list(context.weights(ns).items())], pa.map_(pa.string(), pa.float64()))], names=[doc, "context"])
+
+    return _in_context(names, definitions, doc, order, make, f"`{doc}` {names.schema[doc].dataType.simpleString()}, context map<string,double>", shipped)
+
+
+def split_documents(names: DataFrame, definitions: DataFrame, doc: str, order: str, shipped: int = SHIPPED) -> DataFrame:
+    """(doc, n, name, pieces): all names split under their document's context, which never leaves the worker.
+
+    Definitions come in the order of their documents and, within, of ``order``;
+    those of all documents weigh in each. Null names are left out; a document
+    without names gives no rows.
+    """
+
+    def make(key, ns, context, kind):
+        said = [split_name(n, context) for n in ns]
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(ns), kind), pa.array(range(len(ns)), pa.int64()), pa.array(ns, pa.string()), pa.array(said, pa.list_(pa.string()))], names=[doc, "n", "name", "pieces"])
+
+    return _in_context(names.filter("name IS NOT NULL"), definitions, doc, order, make, f"`{doc}` {names.schema[doc].dataType.simpleString()}, n bigint, name string, pieces array<string>", shipped)
 
 
 def _split_names(name: pd.Series, context: pd.Series) -> pd.Series:

@@ -79,12 +79,17 @@ def random_prune_hash(spark, sf_dir):
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(F.col("tree"), lambda t: T.prune(t, 0.5, T.show(t))).alias("pruned"))
 
 
+def _names_and_definitions(spark, sf_dir):
+    """The words of each document are its names, those of more than six letters are definitions, in alphabetical order."""
+    d = texts(spark, sf_dir).select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name"))
+    names = d.select("doc_id", "name", F.array("source").alias("modules"), F.col("name").alias("at"))
+    return names, d.filter(F.length("name") > 6).select("doc_id", "name", F.col("name").alias("at"))
+
+
 @query()
 def subtokenize_full(spark, sf_dir):
-    """Sub-tokens of the plain words of each document under its own context."""
-    d = texts(spark, sf_dir).select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("name"))
-    names = d.select("doc_id", "name", F.array("source").alias("modules"), F.xxhash64("name").alias("at"))
-    definitions = d.filter(F.length("name") > 6).select("doc_id", "name", F.xxhash64("name").alias("at"))
+    """Sub-tokens of the plain words of each document, in a context of its own words and the long words of all documents."""
+    names, definitions = _names_and_definitions(spark, sf_dir)
     out = subtokens.split_documents(names, definitions, "doc_id", "at")
     return out.select("doc_id", "n", F.array_join("pieces", "|").alias("pieces"))
 
