@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexforge.functions import registry
@@ -88,15 +89,29 @@ def counter_listing(spark, sf_dir):
 
 
 @query("""
-SELECT 'brnn-s+bsexpl1-rnn-st-de_500-deh_500-ddh_500-rnl_2-do_0.5-vift_1+attn+copy' AS name, '' AS problems UNION ALL SELECT 'none-s+s-rnn-x-de_500-deh_500-ddh_0-rnl_2-do_2.0-vift_1', 'encoder,inputs,output,sizes,dropout,equal hidden sizes'""")
+SELECT p_partkey, (CASE WHEN p_size % 7 = 0 THEN 'none' ELSE 'brnn' END) || '-' || (CASE WHEN p_size % 3 = 0 THEN 's+s' ELSE 's+bsexpl1' END) || '-rnn-st-de_500-deh_' || p_size * 10 || '-ddh_' || p_size % 2 * p_size * 10 || '-rnl_2-do_' || p_size % 4 || '.0-vift_1' || CASE WHEN p_size % 5 = 0 THEN '' ELSE '+attn' END AS name,
+  array_to_string(list_filter([CASE WHEN p_size % 7 = 0 THEN 'encoder' END, CASE WHEN p_size % 3 = 0 THEN 'inputs' END, CASE WHEN p_size % 2 = 0 THEN 'sizes' END, CASE WHEN p_size % 4 > 1 THEN 'dropout' END, CASE WHEN p_size % 2 = 0 THEN 'equal hidden sizes' END], lambda x: x IS NOT NULL), ',') AS problems FROM part""")
 def configuration_checks(spark, sf_dir):
-    """Names of model configurations read from options, and what is wrong with them."""
-    options = [
-        {"config-dict.inputs": "s+bsexpl1", "config-dict.use_attn": "True", "config-dict.use_copy": "yes", "other": "1"},
-        {"config-dict.encoder": "none", "config-dict.inputs": "s+s", "config-dict.output": "x", "config-dict.dim_decoder_hidden": "0", "config-dict.dropout": "2", "config-dict.use_attn": "false", "config-dict.use_copy": "False"},
-    ]
-    made = [inputs.ModelConfig.from_options(o) for o in options]
-    return spark.createDataFrame([(m.name, ",".join(m.problems())) for m in made], "name string, problems string")
+    """Names of the model configurations that rows of options give, and what is wrong with them."""
+    size, text = F.col("p_size"), lambda c: c.cast("string")
+    options = {
+        "config-dict.encoder": F.when(size % 7 == 0, "none").otherwise("brnn"),
+        "config-dict.inputs": F.when(size % 3 == 0, "s+s").otherwise("s+bsexpl1"),
+        "config-dict.dim_encoder_hidden": text(size * 10),
+        "config-dict.dim_decoder_hidden": text(size % 2 * size * 10),
+        "config-dict.dropout": text(size % 4),
+        "config-dict.use_attn": F.when(size % 5 == 0, "False").otherwise("yes"),
+        "other": F.lit("1"),
+    }
+    given = F.create_map(*(x for k, v in options.items() for x in (F.lit(k), v)))
+
+    def check(batches):
+        for b in batches:
+            made = [inputs.ModelConfig.from_options(dict(o)) for o in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.name for m in made]), pa.array([",".join(m.problems()) for m in made])], names=["p_partkey", "name", "problems"])
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", given.alias("options"))
+    return rows.mapInArrow(check, f"p_partkey {rows.schema['p_partkey'].dataType.simpleString()}, name string, problems string")
 
 
 @query(_TREES + "SELECT p_partkey, len(list_filter(toks, lambda x: x = 'x'))::BIGINT AS hits, CASE WHEN k > 0 THEN 'x' ELSE '' END AS first FROM k")

@@ -125,12 +125,17 @@ def dependency_closure(spark, sf_dir):
 
 
 @query("""
-SELECT inputs, copy, layers, ((i * 2 + j) * 3 + k)::BIGINT AS config_no FROM (SELECT unnest(['s', 's+t', 't']) AS inputs, unnest([0, 1, 2]) AS i), (SELECT unnest(['yes', 'no']) AS copy, unnest([0, 1]) AS j), (SELECT unnest(['1', '2', '4']) AS layers, unnest([0, 1, 2]) AS k)
-WHERE NOT (copy = 'yes' AND inputs = 't')""")
+WITH f AS (SELECT l_returnflag AS flag, row_number() OVER (ORDER BY l_returnflag) - 1 AS i FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+s AS (SELECT o_orderstatus AS status, row_number() OVER (ORDER BY o_orderstatus) - 1 AS j FROM (SELECT DISTINCT o_orderstatus FROM orders)),
+p AS (SELECT o_orderpriority AS priority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS k FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+n AS (SELECT (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM p) AS np)
+SELECT flag, status, priority, ((i * ns + j) * np + k)::BIGINT AS config_no FROM f, s, p, n WHERE NOT (flag = 'N' AND status = 'F')""")
 def config_grid(spark, sf_dir):
-    """All valid combinations of options, numbered as an odometer counts."""
-    g = J.grid({"inputs": ["s", "s+t", "t"], "copy": ["yes", "no"], "layers": ["1", "2", "4"]}, spark)
-    return g.filter(~((F.col("copy") == "yes") & (F.col("inputs") == "t"))).select("inputs", "copy", "layers", "config_no")
+    """All valid combinations of the options that occur, numbered as an odometer counts."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    options = lambda df, name: sorted(r[0] for r in df.select(name).distinct().collect())
+    g = J.grid({"flag": options(lines, "l_returnflag"), "status": options(orders, "o_orderstatus"), "priority": options(orders, "o_orderpriority")}, spark)
+    return g.filter(~((F.col("flag") == "N") & (F.col("status") == "F"))).select("flag", "status", "priority", "config_no")
 
 
 @query("""

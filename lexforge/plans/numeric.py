@@ -179,16 +179,18 @@ def pointer_mixture(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", z.alias("z"), "label").select("vec_id", F.round((1 - F.col("z")) * 0.3 + F.col("z") * F.col("label") / 10, 6).alias("p"))
 
 
-@query("SELECT p, d, round(CASE WHEN d % 2 = 0 THEN sin(p * exp(-(d // 2 * 2) * (ln(10000.0::DOUBLE) / 16))) ELSE cos(p * exp(-(d // 2 * 2) * (ln(10000.0::DOUBLE) / 16))) END, 6) AS x FROM range(0, 100) a(p), range(0, 16) b(d)")
+@query("SELECT conv_id, turn::BIGINT AS p, d, round(CASE WHEN d % 2 = 0 THEN sin(turn * exp(-(d // 2 * 2) * (ln(10000.0::DOUBLE) / 16))) ELSE cos(turn * exp(-(d // 2 * 2) * (ln(10000.0::DOUBLE) / 16))) END, 6) AS x FROM conversations, range(0, 16) b(d)")
 def positional_encoding(spark, sf_dir):
-    grid = spark.range(100).withColumnRenamed("id", "p").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")))
-    return grid.select("p", "d", F.round(K.positional_encoding(F.col("p"), F.col("d"), 16), 6).alias("x"))
+    """The position code of each turn of a conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("d"))
+    return turns.select("conv_id", "p", "d", F.round(K.positional_encoding(F.col("p"), F.col("d"), 16), 6).alias("x"))
 
 
-@query("SELECT i, j, greatest(least(j - i, 4), -4) + 4 AS rel FROM range(0, 20) a(i), range(0, 20) b(j)")
+@query("SELECT vec_id, j, greatest(least(j - label, 4), -4) + 4 AS rel FROM embeddings, range(0, 20) b(j)")
 def relative_positions(spark, sf_dir):
-    grid = spark.range(20).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")))
-    return grid.select("i", "j", K.relative_position(F.col("i"), F.col("j"), 4).cast("long").alias("rel"))
+    """The clipped distances from each row's own position to all others."""
+    rows = vectors(spark, sf_dir).select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")).alias("j"))
+    return rows.select("vec_id", "j", K.relative_position(F.col("label"), F.col("j"), 4).cast("long").alias("rel"))
 
 
 @query("SELECT vec_id, label::BIGINT AS valid, (10 - label)::BIGINT AS masked FROM embeddings")

@@ -72,8 +72,11 @@ def tree_levels_all(spark, sf_dir):
 @query(_TREES + """
 , u AS (SELECT p_partkey, replace(tree, ' (', '(') AS seed, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
 v AS (SELECT *, sum((tok <> ')')::INT) OVER w - 1 AS place, sum((tok = '(')::INT) OVER w - sum((tok = ')')::INT) OVER w + (tok = ')')::INT AS depth FROM u WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
-m AS (SELECT *, CASE WHEN tok = ')' THEN last_value(CASE WHEN tok = '(' THEN place END IGNORE NULLS) OVER (PARTITION BY p_partkey, depth ORDER BY i) ELSE place END AS own FROM v)
-SELECT p_partkey, replace(replace(replace(string_agg(tok, ' ' ORDER BY i), '( ', '('), ' (', '('), ' )', ')') AS pruned FROM m WHERE own = 0 OR substr(sha256(seed || ':' || own), 1, 1) < '8' GROUP BY p_partkey""")
+m AS (SELECT *, CASE WHEN tok = ')' THEN last_value(CASE WHEN tok = '(' THEN place END IGNORE NULLS) OVER (PARTITION BY p_partkey, depth ORDER BY i) ELSE place END AS own FROM v),
+r AS (SELECT p_partkey, i, tok, sum((tok = '(')::INT) OVER w - sum((tok = ')')::INT) OVER w + (tok = ')')::INT AS depth FROM m WHERE own = 0 OR substr(sha256(seed || ':' || own), 1, 1) < '8' WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+l AS (SELECT *, last_value(CASE WHEN tok = '(' THEN i END IGNORE NULLS) OVER (PARTITION BY p_partkey, depth ORDER BY i) AS list FROM r),
+b AS (SELECT *, tok NOT IN ('(', ')') AND row_number() OVER (PARTITION BY p_partkey, list, tok IN ('(', ')') ORDER BY i) > 1 AS blank FROM l)
+SELECT p_partkey, string_agg(CASE WHEN blank THEN ' ' ELSE '' END || tok, '' ORDER BY i) AS pruned FROM b GROUP BY p_partkey""")
 def random_prune_hash(spark, sf_dir):
     """Trees pruned by a hash of their text and of each node's place."""
     return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(F.col("tree"), lambda t: T.prune(t, 0.5, T.show(t))).alias("pruned"))
@@ -86,6 +89,33 @@ def _names_and_definitions(spark, sf_dir):
     return names, d.filter(F.length("name") > 6).select("doc_id", "name", F.col("name").alias("at"))
 
 
+def _weights_sql(rounds: int = 12) -> str:
+    """The shares that pieces pass on, repeated as often as the longest chain of beginnings can need."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""
+v{r + 1} AS MATERIALIZED (SELECT p.*, round(base + coalesce(got, 0), 9) AS visit FROM p LEFT JOIN (
+  SELECT t.word, sum(s.visit / part) AS got FROM v{r} s JOIN b ON length(s.word) >= least_ JOIN p t ON t.word = left(s.word, length(s.word) - cut) WHERE NOT s.fixed AND s.place < t.place GROUP BY 1) USING (word))""")
+    atoms = ", ".join(f"'{w}'" for w in subtokens.ATOMIC_WORDS)
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents),
+e AS (SELECT doc_id, name, unnest(regexp_extract_all(name, '[A-Z][a-z]*|[a-z]+')) AS piece, generate_subscripts(regexp_extract_all(name, '[A-Z][a-z]*|[a-z]+'), 1) AS no FROM d WHERE length(name) > 6),
+w AS (SELECT lower(piece) AS word, round(sum(CASE length(piece) WHEN 2 THEN 0.6::DOUBLE ELSE 3 END), 9) AS base, min((doc_id, name, no)) AS first FROM e WHERE length(piece) >= 2 GROUP BY 1),
+p AS MATERIALIZED (SELECT word, base, row_number() OVER (ORDER BY first) - 1 AS place, word IN ({atoms}) AS fixed FROM w),
+b(cut, least_, part) AS (VALUES (1, 3, 2.0::DOUBLE), (2, 4, 3.0), (3, 5, 5.0)),
+v0 AS (SELECT *, base AS visit FROM p),{",".join(steps)},
+g AS (SELECT left(word, length(word) - cut) AS word, sum(visit / part) AS got FROM v{rounds} JOIN b ON length(word) >= least_ WHERE NOT fixed GROUP BY 1)
+SELECT coalesce(v.word, g.word) AS word, place IS NOT NULL AS known, round(coalesce(visit, got), 6) AS visit, CASE WHEN coalesce(fixed, FALSE) THEN -1 ELSE round(coalesce(base, 0) + coalesce(got, 0), 6) END AS weight FROM v{rounds} v FULL JOIN g ON v.word = g.word"""
+
+
+@query(_weights_sql())
+def definition_weights(spark, sf_dir):
+    """What the definitions of all documents weigh in each context (-1: without bound), and what they would pass on to other beginnings."""
+    _, definitions = _names_and_definitions(spark, sf_dir)
+    found = subtokens.corpus_weights(definitions, ["doc_id", "at"])
+    return found.select("word", "known", F.round("visit", 6).alias("visit"), F.when(F.col("weight") == float("inf"), -1.0).otherwise(F.round("weight", 6)).alias("weight"))
+
+
 @query()
 def subtokenize_full(spark, sf_dir):
     """Sub-tokens of the plain words of each document, in a context of its own words and the long words of all documents."""

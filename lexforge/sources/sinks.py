@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.operators.ordering import with_position
+from lexforge.runtime import col, fresh
+
 
 def write_batched_json(df: DataFrame, path: str, per_file: int = 5000, exist_ok: bool = False) -> None:
     """JSON lines with ``per_file`` rows in a file at most; an existing path is an error unless it may be replaced."""
     df.write.mode("overwrite" if exist_ok else "errorifexists").option("maxRecordsPerFile", per_file).json(path)
 
 
+def write_numbered_json(df: DataFrame, root: str, order: list[Column], per_file: int = 5000, exist_ok: bool = False) -> None:
+    """Files ``batch-N.json`` below ``root``, each one array of ``per_file`` rows in ``order``, the last one shorter."""
+    spark, pos, batch = df.sparkSession, fresh(df, "pos"), fresh(df, "batch")
+    placed = with_position(df, order, pos).withColumn(batch, F.floor(F.col(pos) / per_file))
+    row = F.struct(F.col(pos).alias("pos"), F.struct(*map(col, df.columns)).alias("row"))
+    arrays = placed.groupBy(batch).agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"])).alias("value"))
+    parts = f"{root.rstrip('/')}-parts"
+    arrays.repartition(batch).write.mode("overwrite" if exist_ok else "errorifexists").partitionBy(batch).text(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    home, source = path(root), path(parts)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(home) and not exist_ok:
+        raise FileExistsError(root)
+    fs.delete(home, True)
+    fs.mkdirs(home)
+    for folder in fs.listStatus(source):
+        number = folder.getPath().getName().partition("=")[2]
+        for file in fs.listStatus(folder.getPath()) if number else ():
+            if file.getPath().getName().startswith("part-"):
+                fs.rename(file.getPath(), path(home, f"batch-{number}.json"))
+    fs.delete(source, True)
+
+
 def write_parts(df: DataFrame, path: str, by: list[str], exist_ok: bool = False) -> None:
     """Parquet in one folder for each combination of ``by``; each task writes few files, hot parts are spread."""
     df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite" if exist_ok else "errorifexists").partitionBy(*by).parquet(path)
