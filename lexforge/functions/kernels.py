@@ -254,6 +254,12 @@ def pad(values: Column, length: int, filler: Column) -> Column:
     return F.slice(F.concat(values, F.array_repeat(filler, length)), 1, length)
 
 
+def pad_grid(grid: Column, height: Column, width: Column, filler: Column) -> Column:
+    """An array of rows cut or filled up to ``height`` rows of ``width`` values."""
+    rows = F.transform(F.slice(grid, F.lit(1), height), lambda row: F.slice(F.concat(row, F.array_repeat(filler, width)), F.lit(1), width))
+    return F.slice(F.concat(rows, F.array_repeat(F.array_repeat(filler, width), height)), F.lit(1), height)
+
+
 def merged_feature_width(vocab_size: Column, exponent: float = 0.7) -> Column:
     return F.floor(F.pow(vocab_size.cast("double"), F.lit(exponent)))
 

@@ -156,8 +156,29 @@ def as_of(left: DataFrame, at: str, steps: DataFrame, threshold: str, value: str
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """All (a, b, depth) with a path from a to b; depth is the shortest. One join for each step, on what is new only; each step's rows are written once."""
-    new, depth = stage_table((start if start is not None else edges).select("a", "b").distinct().withColumn("depth", F.lit(1).cast("long")), "closure"), 1
+    """All (a, b, depth) with a path from a to b; depth is the shortest.
+
+    Without ``start`` by doubling: where all paths of up to n steps are known,
+    those of up to 2n are one of exactly n steps and a known one behind it, as a
+    shortest path passes a node at depth n. The rounds are the logarithm of the
+    longest path, each joins on the node in the middle (an equi join, which the
+    adaptive plan splits at hot nodes) and is written once. With ``start``
+    (a, b), the paths that begin with one of its steps, one join for each step,
+    on what is new only.
+    """
+    long_ = F.lit(1).cast("long").alias("depth")
+    if start is None:
+        known, depth = stage_table(edges.select("a", "b").distinct().select("a", "b", long_), "closure"), 1
+        parts = [known]
+        while True:
+            last, whole = parts[-1].filter(F.col("depth") == depth), reduce(DataFrame.unionByName, parts)
+            step = last.select("a", F.col("b").alias("mid")).join(whole.select(F.col("a").alias("mid"), "b", (F.col("depth") + depth).alias("depth")), "mid")
+            new = stage_table(step.groupBy("a", "b").agg(F.min("depth").alias("depth")).join(whole.select("a", "b"), ["a", "b"], "left_anti"), "closure")
+            if new.isEmpty():
+                return whole
+            parts.append(new)
+            depth *= 2
+    new, depth = stage_table(start.select("a", "b").distinct().select("a", "b", long_), "closure"), 1
     known = new
     while not new.isEmpty():
         depth += 1

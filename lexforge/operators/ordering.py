@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.kernels import pad_grid
 from lexforge.operators.scan import budget_batches
 from lexforge.runtime import fresh, stage_table
 
@@ -111,6 +112,22 @@ def token_budget_batches(df: DataFrame, group: str, order: list[str], length: st
     return budget_batches(df, [group], order, length, budget)
 
 
+def padded_grids(df: DataFrame, batch: str, grid: str, filler: float) -> DataFrame:
+    """``df`` with each ``grid`` (an array of rows) filled up to the greatest height and width in its batch, and height and width (long) of what it was.
+
+    Two numbers of each batch are aggregated and met by its rows again; a batch
+    is never gathered. Rows may differ in length within a grid; a null grid is
+    an empty one.
+    """
+    tall, wide = fresh(df, "tall"), fresh(df, "wide")
+    own = F.coalesce(F.col(grid), F.array().cast(df.schema[grid].dataType))
+    rows = df.withColumn(grid, own).withColumn("height", F.size(grid).cast("long")).withColumn("width", F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0)).cast("long"))
+    sizes = rows.groupBy(batch).agg(F.max("height").cast("int").alias(tall), F.max("width").cast("int").alias(wide))
+    key = fresh(df, "batch")
+    met = rows.join(sizes.withColumnRenamed(batch, key), F.col(batch).eqNullSafe(F.col(key))).drop(key)
+    return met.withColumn(grid, pad_grid(F.col(grid), F.col(tall), F.col(wide), F.lit(float(filler)))).drop(tall, wide)
+
+
 def running_budget(df: DataFrame, group: list[str], order: list[Column], length: str) -> DataFrame:
     """``df`` with ``elements``: rows so far x (longest so far + 2), the padded size of a batch that grew up to here."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -72,14 +72,23 @@ def frequency_model(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def shard_stream(spark, sf_dir):
     """Files read as a bounded stream, counted once each."""
-    path, name = f"{stage_root(spark)}/shards-{uuid.uuid4().hex[:12]}", f"lexforge_{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/shards-{uuid.uuid4().hex[:12]}"
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     events.repartition(3).write.parquet(path)
     counts = stateful.read_shards(spark, path, events.schema).groupBy("event_type").agg(F.count("*").alias("n"))
-    out = f"{path}-state"
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", out).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    stateful.write_batches(counts, f"{path}-counts", "complete")
+    return stateful.read_batches(spark, f"{path}-counts", counts.schema, last=True)
+
+
+@query("SELECT event_id, event_type, r AS round FROM events, range(0, 3) t(r) WHERE NOT (r = 2 AND event_id % 4 > 1)")
+def shard_cycles(spark, sf_dir):
+    """Shards read round after round by a stream that is stopped and started again: two rounds and a half."""
+    path = f"{stage_root(spark)}/cycle-{uuid.uuid4().hex[:12]}"
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 4).cast("int").alias("shard"))
+    sinks.write_parts(events, path, ["shard"])
+    for _ in range(5):
+        stateful.cycle_shards(spark, path, 4, f"{path}-read", per_trigger=2)
+    return spark.read.parquet(f"{path}-read").select("event_id", "event_type", "round")
 
 
 @query("SELECT string_agg('- ' || p_size || ': ' || n, chr(10) ORDER BY n DESC, p_size::VARCHAR) AS listing FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)")

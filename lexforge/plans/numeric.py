@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import kernels as K
+from lexforge.operators import ordering as O
 from lexforge.operators.ordering import top_per_group
 from lexforge.plans.catalog import query
 from lexforge.runtime import BROADCAST_ROWS, table
@@ -251,3 +252,35 @@ def copy_vocabulary(spark, sf_dir):
     """A vocabulary of each row's own tokens, and the alignment of a target with it."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["text"]).alias("t"))
     return rows.select("conv_id", F.size(K.copy_vocabulary(F.col("t"))).cast("long").alias("vocab"), F.size(K.copy_alignment(F.col("t"), F.col("t"))).cast("long").alias("aligned"))
+
+
+def _grids(spark, sf_dir):
+    """Each vector as a grid of label + 1 rows, in batches of sixteen."""
+    n = F.col("label") + 1
+    width = F.floor(F.size("embedding") / n).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.col("label")), lambda i: F.transform(F.slice("embedding", i * width + 1, width), lambda x: x.cast("double")))
+    return vectors(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 16).alias("batch"), rows.alias("grid"))
+
+
+def _grid_sql(filler: float) -> str:
+    return f"""
+WITH g AS (SELECT vec_id, vec_id // 16 AS batch, (label + 1)::BIGINT AS height, (len(embedding) // (label + 1))::BIGINT AS width, list_sum(list_transform(embedding[1:(label + 1) * (len(embedding) // (label + 1))], lambda x: x::DOUBLE)) AS total FROM embeddings),
+m AS (SELECT batch, max(height) AS h, max(width) AS w FROM g GROUP BY batch)
+SELECT vec_id, height, width, h AS rows_, w AS columns_, round(total + {filler} * (h * w - height * width), 4) AS total FROM g JOIN m USING (batch)"""
+
+
+def _measured(padded):
+    total = F.aggregate(F.flatten("grid"), F.lit(0.0), lambda s, x: s + x)
+    return padded.select("vec_id", "height", "width", F.size("grid").cast("long").alias("rows_"), F.size(F.get("grid", F.lit(0))).cast("long").alias("columns_"), F.round(total, 4).alias("total"))
+
+
+@query(_grid_sql(1.0))
+def image_batches(spark, sf_dir):
+    """Images filled with ones up to the greatest height and width of their batch."""
+    return _measured(O.padded_grids(_grids(spark, sf_dir), "batch", "grid", 1.0))
+
+
+@query(_grid_sql(0.0))
+def audio_batches(spark, sf_dir):
+    """Frames of features filled with zeros up to the longest of their batch."""
+    return _measured(O.padded_grids(_grids(spark, sf_dir), "batch", "grid", 0.0))

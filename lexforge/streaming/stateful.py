@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -74,6 +75,61 @@ def stopping_rule(validations: DataFrame, tolerance: int) -> DataFrame:
     return validations.groupBy("run").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def write_batches(stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
+    """Process what is there now; each trigger's rows go to ``out/batch=N`` and replace what a trigger that died left there.
+
+    The checkpoint lies beside them, so that a stream that is started again with
+    the same ``out`` goes on where it ended, and each trigger counts once. No row
+    passes the driver.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out.rstrip('/')}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def read_batches(spark: SparkSession, out: str, schema: StructType, last: bool = False) -> DataFrame:
+    """What ``write_batches`` has written; of a stream in complete mode the ``last`` trigger's rows are the whole result."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(out)
+    if last:
+        # One number; the folders' names are all that is read for it.
+        newest = rows.agg(F.max("batch")).first()[0]
+        rows = rows.filter(F.col("batch") == newest) if newest is not None else rows
+    return rows.drop("batch")
+
+
+def cycle_shards(spark: SparkSession, root: str, shards: int, out: str, per_trigger: int = 1, rounds: int | None = None, multiple: int = 1) -> StreamingQuery:
+    """One trigger of an endless stream over the shards of ``root`` (folders ``shard=0`` to ``shard=n-1``), that goes round and round.
+
+    A clock counts the shards that were read; tick t is shard t % n of round
+    t // n. The clock's place is in the checkpoint beside ``out``: started again,
+    in the middle of a round or after a trigger that died, the stream goes on
+    with the next shard, and each row comes once a round. A trigger reads
+    ``per_trigger`` shards, by the names of their folders, into ``out/batch=N``
+    with round (long) and padding (boolean); after ``rounds`` rounds it reads
+    none. Where ``multiple`` does not divide a shard's rows, its first rows are
+    repeated as padding, once round at most.
+    """
+
+    def write(ticks: DataFrame, number: int) -> None:
+        # As many ticks as shards of a trigger.
+        for t in sorted(r["value"] for r in ticks.select("value").collect()):
+            if rounds is not None and t >= rounds * shards:
+                continue
+            rows = spark.read.parquet(root).filter(F.col("shard") == t % shards).withColumn("round", F.lit(t // shards).cast("long")).withColumn("padding", F.lit(False))
+            missing = -rows.count() % multiple if multiple > 1 else 0
+            rows = rows.unionByName(rows.limit(missing).withColumn("padding", F.lit(True))) if missing else rows
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}/tick={t}")
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_trigger).option("numPartitions", 1).load()
+    q = clock.writeStream.foreachBatch(write).option("checkpointLocation", f"{out.rstrip('/')}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there now and give it back as a frame; for tests and reports of bounded size."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

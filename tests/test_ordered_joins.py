@@ -80,3 +80,32 @@ def test_last_entry_of_a_phrase_table(spark, parts):
         found = [(n, x) for n, x in lines if x.startswith(w)]
         want[w] = max(found)[1].split("|||")[1].strip() if found and "|||" in max(found)[1] else None
     assert got == want
+
+
+def test_closure_by_doubling(spark, monkeypatch):
+    n, rounds = 1500, []
+    stage = J.stage_table
+    monkeypatch.setattr(J, "stage_table", lambda df, *a: rounds.append(1) or stage(df, *a))
+    path = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = J.closure(path)
+    assert len(rounds) <= 13
+    assert out.count() == n * (n - 1) // 2 and out.filter("depth <> b - a").count() == 0
+    rng = random.Random(4)
+    edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(60)}
+    known, new, depth = {}, set(edges), 1
+    while new:
+        known |= dict.fromkeys(new, depth)
+        new, depth = {(a, d) for a, b in new for c, d in edges if b == c} - known.keys(), depth + 1
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    assert {(r["a"], r["b"]): r["depth"] for r in J.closure(df).collect()} == known
+    assert J.closure(df.limit(0)).count() == 0
+    some = {(a, b): d for (a, b), d in known.items() if a == 3}
+    assert {(r["a"], r["b"]): r["depth"] for r in J.closure(df, df.filter("a = 3")).collect()} == some
+
+
+def test_grids_in_batches(spark):
+    from lexforge.operators import ordering as O
+
+    rows = [(1, "x", [[1.0, 2.0], [3.0]]), (2, "x", [[4.0, 5.0, 6.0]]), (3, None, None), (4, None, [[7.0]])]
+    got = {r["id"]: (r["grid"], r["height"], r["width"]) for r in O.padded_grids(spark.createDataFrame(rows, "id long, b string, grid array<array<double>>"), "b", "grid", 1.0).collect()}
+    assert got == {1: ([[1, 2, 1], [3, 1, 1]], 2, 2), 2: ([[4, 5, 6], [1, 1, 1]], 1, 3), 3: ([[1]], 0, 0), 4: ([[7]], 1, 1)}
