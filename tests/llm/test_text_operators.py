@@ -407,10 +407,11 @@ def plain_estimate(v, salts, x):
         if len(some):
             starts.append((some.mean(axis=0), np.cov(some.T, bias=True) + floors))
 
-    def step(mean, cov):
+    def step(mean, cov, *_):
         d2 = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
-        near = v[d2 <= order(d2, quality.SUPPORT)]
-        return near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(quality.SUPPORT, k) + floors
+        # As many as there are up to the limit, with room for rounding where rows are equal.
+        near = v[d2 <= order(d2, quality.SUPPORT) * (1 + 1e-12) + 1e-12]
+        return near.mean(axis=0), np.cov(near.T, bias=True).reshape(k, k) * quality.consistency(quality.SUPPORT, k) + floors, len(near)
 
     for _ in range(quality.FIRST_STEPS):
         starts = [step(*s) for s in starts]
@@ -431,12 +432,51 @@ def test_estimates_against_numpy(spark):
     df = spark.createDataFrame(rows, ["g1", "g2", "salt", *x]).withColumn("salt", F.col("salt").cast("int")).repartition(3)
     got = {r.g1: r for r in quality.covariance_estimates(df, x, 2).collect()}
     for g, v, salts in made:
-        mean, cov = plain_estimate(v, salts, x)
+        mean, cov, _ = plain_estimate(v, salts, x)
         assert [got[g][f"mean_{a}"] for a in x] == pytest.approx(list(mean), rel=1e-6)
         assert [got[g][f"cov_{a}_{b}"] for i, a in enumerate(x) for b in x[: i + 1]] == pytest.approx([cov[i, j] for i in range(4) for j in range(i + 1)], rel=1e-6, abs=1e-9)
         assert np.abs(mean - [1.7, 0.2, 0.1, 0.3]).max() < 0.1
 
 
+def test_the_verdict_against_numpy(spark, sf_dir):
+    """The whole of op6: statistics, both levels of estimates, their mixture, distances and verdicts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    # In one partition the number of a row is its place.
+    salts = [r[0] for r in spark.createDataFrame([(r["doc_id"], k) for k, r in enumerate(rows)], "d long, k long").coalesce(1).select(F.pmod(F.xxhash64("d", "k"), F.lit(quality.SALTS))).collect()]
+    x, own, whole, found = list(quality.vector()), {}, {}, {}
+    for r, salt in zip(rows, salts, strict=True):
+        n_words, chars, symbols, dup, repeats = brute_statistics(r["text"])
+        failed = n_words < 50 or 100 * repeats > 50 * n_words
+        n = max(n_words, 1)
+        v = [math.log1p(chars / n), math.log1p(50 * symbols / n), math.log1p(50 * dup / n), math.log1p(20 * repeats / n)]
+        found[r["doc_id"]] = (failed, v, (r["lang"] or "", r["source"] or ""))
+        if not failed:
+            own.setdefault((r["lang"] or "", r["source"] or ""), []).append((v, salt))
+            whole.setdefault(r["lang"] or "", []).append((v, salt))
+    estimate = lambda g: plain_estimate(np.array([v for v, _ in g]), np.array([s for _, s in g]), x)
+    above, k = {g: estimate(v) for g, v in whole.items()}, float(quality.PRIOR_ROWS)
+    mixed = {}
+    for g, v in own.items():
+        (m, c, n), (wm, wc, _) = estimate(v), above[g[0]]
+        mixed[g] = ((n * m + k * wm) / (n + k), (n * c + k * wc + n * k / (n + k) * np.outer(wm - m, wm - m)) / (n + k))
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert got.keys() == found.keys()
+    for i, (failed, v, g) in found.items():
+        assert got[i]["base_failed"] == failed
+        if failed:
+            assert not got[i]["kept"] and got[i]["distance"] is None
+            continue
+        mean, cov = mixed[g]
+        d2 = (np.array(v) - mean) @ np.linalg.inv(cov) @ (np.array(v) - mean)
+        assert got[i]["distance"] == pytest.approx(d2, rel=1e-6, abs=1e-9)
+        assert got[i]["kept"] == (d2 <= quality.CUTOFF)
+    # The registered query gives the same statistics, and few verdicts hang on the parts that rows are dealt to.
+    query = {r["doc_id"]: r for r in entries.op6_quality_rules(spark, sf_dir).collect()}
+    assert {i: tuple(r)[:7] for i, r in query.items()} == {i: tuple(r)[:7] for i, r in got.items()}
+    assert sum(query[i]["kept"] != got[i]["kept"] for i in got) <= 0.01 * len(got)
+
+
 def test_small_groups_lean_on_their_language(spark):
     words = lambda i, n: " ".join(f"w{(i * 1009 + k) % 90000 + 10000}" for k in range(n))
     big = [(i, words(i, 90 + i % 20), "en", "big") for i in range(150)]
