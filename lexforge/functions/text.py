@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Zero-width places where an identifier splits in the first pass.
+#: Fixed value: zero-width places where an identifier splits in the first pass.
 SPLIT_PLACES = r"(?<=[_'])(?!$)|(?<!^)(?=[_'])|(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[A-Z0-9])|(?<=[0-9])(?=[a-zA-Z0-9])"
 IGNORED_KINDS = ("COM",)
 

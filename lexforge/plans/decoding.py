@@ -10,7 +10,7 @@ from lexforge.operators import decode as D
 from lexforge.operators import ordering as O
 from lexforge.operators import reports as R
 from lexforge.plans.catalog import query
-from lexforge.runtime import stage_table, table
+from lexforge.runtime import checked_broadcast, stage_table, table
 from lexforge.streaming import stateful
 
 
@@ -44,16 +44,30 @@ def source_map(spark, sf_dir):
     return vocab.select("conv_id", "vocab", F.posexplode("src").alias("pos", "token")).select("conv_id", F.col("pos").cast("long").alias("pos"), (F.array_position("vocab", F.col("token")) - 1).alias("id"))
 
 
+@query("""
+WITH t AS (SELECT conv_id, list(role ORDER BY turn) FILTER (turn % 2 = 0) AS src, list(role ORDER BY turn) AS tgt FROM conversations GROUP BY conv_id),
+v AS (SELECT conv_id, tgt, list_concat(['<unk>', '<blank>'], (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(src) AS x, generate_subscripts(src, 1) AS i) GROUP BY x))) AS vocab FROM t)
+SELECT conv_id, array_to_string(list_concat([0], list_transform(tgt, lambda x: greatest(coalesce(list_position(vocab, x), 0) - 1, 0)), [0]), ' ') AS aligned FROM v""")
+def target_alignment(spark, sf_dir):
+    """The places of a target's tokens in its source's own vocabulary, with a mark at either end."""
+    lists = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["role"])
+    each = F.struct("turn", "role")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lists(F.when(F.col("turn") % 2 == 0, each)).alias("src"), lists(each).alias("tgt"))
+    aligned = F.transform(K.copy_alignment(F.col("src"), F.col("tgt")), lambda i: i.cast("string"))
+    return rows.select("conv_id", F.array_join(aligned, " ").alias("aligned"))
+
+
 @query("""
 WITH v AS (SELECT n_nationkey AS id, n_name AS word FROM nation), l AS (SELECT l_orderkey, l_linenumber, (l_partkey % 30)::INT AS id FROM lineitem),
 e AS (SELECT *, min(CASE WHEN id = 3 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS stop FROM l)
 SELECT l_orderkey, string_agg(coalesce(word, '<copy' || (e.id - 25) || '>'), ' ' ORDER BY l_linenumber, e.id) AS text FROM e LEFT JOIN v ON e.id = v.id WHERE stop IS NULL OR l_linenumber < stop GROUP BY l_orderkey""")
 def ids_to_tokens(spark, sf_dir):
     """Ids back to words up to the end mark; ids beyond the vocabulary are copies."""
-    vocab = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("word"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("word"))
+    vocab = checked_broadcast(nations, nations.count())
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 30).cast("int").alias("id"))
     rows = rows.withColumn("stop", F.min(F.when(F.col("id") == 3, F.col("l_linenumber"))).over(Window.partitionBy("l_orderkey"))).filter("stop IS NULL OR l_linenumber < stop")
-    said = rows.join(F.broadcast(vocab), "id", "left").withColumn("w", F.coalesce("word", F.format_string("<copy%d>", F.col("id") - 25)))
+    said = rows.join(vocab, "id", "left").withColumn("w", F.coalesce("word", F.format_string("<copy%d>", F.col("id") - 25)))
     lists = said.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "id", "w"))).alias("s"))
     return lists.select("l_orderkey", F.array_join(F.transform("s", lambda x: x["w"]), " ").alias("text"))
 
