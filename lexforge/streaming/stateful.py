@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -75,6 +75,58 @@ def stopping_rule(validations: DataFrame, tolerance: int) -> DataFrame:
     return validations.groupBy("run").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class _Idle(StatefulProcessor):
+    """One short row for each key that is in use; a timer lets it go."""
+
+    def __init__(self, idle_ms: int):
+        self._idle = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._use = handle.getValueState("use", "first bigint, last bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = sorted(int(t.value // 1_000_000) for part in rows for t in part["ts"])
+        first, last, n = self._use.get() if self._use.exists() else (None, None, 0)
+        over = []
+        for t in times:
+            if last is not None and t >= last + self._idle:
+                over.append((key[0], first, last, n))
+                first, n = None, 0
+            # A row of a stretch that goes on may come late.
+            first, last, n = t if first is None else min(first, t), t if last is None or n == 0 else max(last, t), n + 1
+        for old in self._handle.listTimers():
+            self._handle.deleteTimer(old)
+        self._handle.registerTimer(last + self._idle)
+        self._use.update((first, last, n))
+        yield _uses(over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first, last, n = self._use.get()
+        self._use.clear()
+        yield _uses([(key[0], first, last, n)])
+
+    def close(self) -> None:
+        pass
+
+
+def _uses(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["key", "first", "last", "n"])
+    return out.astype({"first": "int64", "last": "int64", "n": "int64"})
+
+
+def idle_unloads(events: DataFrame, key: str, ts: str, idle_seconds: int, late: str) -> DataFrame:
+    """(key, first, last, n): each stretch of use of a key, once nothing came for ``idle_seconds`` (milliseconds of the first and last event, and how many there were).
+
+    The state of a key is one row; a timer of event time unloads it when the
+    watermark passes its last event by the idle time. Needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``). Null keys are one
+    key, rows without a time go.
+    """
+    rows = events.filter(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(_Idle(idle_seconds * 1000), "key string, first bigint, last bigint, n bigint", "append", "eventtime")
+
+
 def write_batches(stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
     """Process what is there now; each trigger's rows go to ``out/batch=N`` and replace what a trigger that died left there.
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.operators import reports as R
 from lexforge.streaming import stateful as S
@@ -79,3 +80,21 @@ def test_batches_in_files_survive_a_restart(spark, tmp_path):
     S.write_batches(stream(), out, "complete")
     got = S.read_batches(spark, out, stream().schema, last=True).collect()
     assert {r["k"]: r["count"] for r in got} == {0: 8, 1: 7}
+
+
+def test_idle_keys_are_unloaded_by_timers(spark, tmp_path):
+    """Stretches of use against a loop, over restarts; only what the watermark has not passed is still loaded."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        uses = {"a": [0, 5, 9, 40, 41, 90], "b": [3, 30], "c": [100]}
+        source, out = str(tmp_path / "in"), str(tmp_path / "out")
+        for low, high in ((0, 35), (35, 60), (60, 200)):
+            rows = [(k, t) for k, ts in uses.items() for t in ts if low <= t < high]
+            spark.createDataFrame(rows, "k string, t long").select("k", F.timestamp_seconds(F.col("t") + 10**6).alias("ts")).coalesce(1).write.mode("append").parquet(source)
+            stream = S.idle_unloads(S.read_shards(spark, source, spark.read.parquet(source).schema), "k", "ts", 20, "1 second")
+            S.write_batches(stream, out)
+        got = sorted((r["key"], r["first"] - 10**9, r["last"] - 10**9, r["n"]) for r in S.read_batches(spark, out, stream.schema).collect())
+        assert got == [("a", 0, 9000, 3), ("a", 40000, 41000, 2), ("b", 3000, 3000, 1), ("b", 30000, 30000, 1)]
+    finally:
+        spark.conf.unset(provider)
