@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lexforge.plans import corpus, decoding, documents, extensions, inventory, joining, neural, numeric, reporting, roundtrips, structure  # noqa: F401
+    from lexforge.plans import corpus, decoding, documents, extensions, inventory, joining, media, neural, numeric, reporting, roundtrips, structure  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

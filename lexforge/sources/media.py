@@ -3,12 +3,62 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from lexforge.runtime import map_arrow
+
+
+def npy_bytes(rows: list[list[float]]) -> bytes:
+    """A matrix as the content of an ``.npy`` file."""
+    out = io.BytesIO()
+    np.save(out, np.array(rows, float), allow_pickle=False)
+    return out.getvalue()
+
+
+def png_bytes(rows: list[list]) -> bytes:
+    """Rows of grey values, or of (red, green, blue), from 0 to 255 as the content of a PNG file."""
+    pixels = np.array(rows, np.uint8)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
+    # Each row begins with the number of its filter, none.
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def wav_bytes(samples: list, rate: int = 16000) -> bytes:
+    """Samples of 16 bits, or tuples of them for several channels, as the content of a WAV file."""
+    signal, out = np.array(samples, "<i2"), io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(signal.shape[1] if signal.ndim == 2 else 1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(signal.tobytes())
+    return out.getvalue()
+
+
+def encoded(df: DataFrame, column: str, encode: Callable[[list], bytes]) -> DataFrame:
+    """``df`` with ``column`` (an array) as the content of a file; null for null."""
+    at = df.columns.index(column)
+    schema = StructType([StructField(f.name, BinaryType()) if i == at else f for i, f in enumerate(df.schema)])
+
+    def run(batches):
+        for b in batches:
+            made = pa.array([None if x is None else encode(x) for x in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names=schema.names)
+
+    return map_arrow(df, run, schema)
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +116,7 @@ def read_audio(spark: SparkSession, root: str, rate: int = 16000, window: float
                 try:
                     out.append(one(c.as_py()))
                 except (wave.Error, EOFError) as e:
-                    out.append((None, None, str(e)))
+                    out.append((None, None, str(e) or "no sound"))
             n, f, e = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(f, pa.list_(pa.list_(pa.float64()))), pa.array(e, pa.string())], names=["path", "frames", "features", "error"])
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyarrow import fs as stores
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from lexforge.operators.ordering import with_position
 from lexforge.runtime import col, fresh
@@ -46,6 +51,56 @@ def write_lines(df: DataFrame, path: str, line: Column, exist_ok: bool = False)
     df.select(line.alias("value")).write.mode("overwrite" if exist_ok else "errorifexists").text(path)
 
 
+class _FileWriter(DataSourceArrowWriter):
+    """Each row (name, content) becomes a file; a task writes it under a name of its own and moves it, so that no file is ever half of one."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator):
+        store, root = _store(self.root)
+        for batch in iterator:
+            for name, content in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                if name is None:
+                    continue
+                path = f"{root}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                draft = f"{path}.{uuid.uuid4().hex}.draft"
+                with store.open_output_stream(draft) as out:
+                    out.write(content or b"")
+                store.move(draft, path)
+        return WriterCommitMessage()
+
+
+class _Files(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "lexforge_files"
+
+    def writer(self, schema, overwrite):
+        return _FileWriter(self.options["path"])
+
+
+def _store(root: str) -> tuple[stores.FileSystem, str]:
+    """The store of a folder, and the folder's path in it."""
+    local = re.fullmatch(r"(?:file:)?(/.*)", root)
+    if local:
+        return stores.LocalFileSystem(), "/" + local[1].strip("/")
+    store, path = stores.FileSystem.from_uri(root)
+    return store, path.rstrip("/")
+
+
+def write_files(df: DataFrame, root: str, name: str, content: str) -> None:
+    """One file below ``root`` for each row: ``content`` (binary, null: empty) under the relative path ``name``; rows without a name write none.
+
+    The tasks write. A task that is run again replaces its files by the same
+    ones; of rows with one name, one is kept. ``root`` is a folder that all
+    executors share, in a store that Arrow knows by its URI.
+    """
+    df.sparkSession.dataSource.register(_Files)
+    df.select(col(name).cast("string").alias("name"), col(content).cast("binary").alias("content")).write.format("lexforge_files").mode("append").save(root)
+
+
 def write_checkpoint(df: DataFrame, root: str, step: int, keep: int = 5) -> None:
     """Write ``step`` and drop all but the newest ``keep`` (-1: none is dropped)."""
     spark = df.sparkSession
