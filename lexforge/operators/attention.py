@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.functions.kernels import let
-from lexforge.runtime import map_arrow, stage_table
+from lexforge.runtime import bounded_batches, map_arrow, stage_table
 
 #: Added to each arc's weight in the Laplacian, so that it can be inverted.
 EPSILON = 1e-5
@@ -142,11 +141,12 @@ def attend(
     a row of its own in the result. Rows with a null in a place or vector are
     left out; null sequences are none. ``block`` is the number of positions of a
     block. A sequence of more than ``together`` blocks is spread over several
-    tasks: its blocks of keys are copied to each of them.
+    tasks: its blocks of keys are copied to each of them. All vectors have one
+    width; Arrow batches are bounded (``runtime.bounded_batches``).
     """
     if relations is not None and len(relations) % 2 == 0:
         raise ValueError("an odd number of relations")
-    rows = df.select(F.col(sequence).alias("s"), F.col(position).cast("long").alias("p"), *(F.col(c).cast("array<double>").alias(n) for c, n in ((query, "q"), (key, "k"), (value, "v")))).dropna()
+    rows = bounded_batches(df).select(F.col(sequence).alias("s"), F.col(position).cast("long").alias("p"), *(F.col(c).cast("array<double>").alias(n) for c, n in ((query, "q"), (key, "k"), (value, "v")))).dropna()
     packed = rows.groupBy("s", F.floor(F.col("p") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p", "q", "k", "v"))).alias("r"))
     blocks = stage_table(packed.select("s", "b", *(F.col("r")[c].alias(c) for c in "pqkv")), "attention-blocks")
     # A sequence's blocks are counted, so that the blocks of queries of a long one go to several tasks.
@@ -163,6 +163,7 @@ def attend(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made: list[pa.RecordBatch] = []
             for i in range(batch.num_rows):
                 s, qp, q, kp, k, v = (batch.column(c).slice(i, 1) for c in range(6))
                 places, others = (x.flatten().to_numpy(zero_copy_only=False) for x in (qp, kp))
@@ -173,20 +174,28 @@ def attend(
                 top, mass, total, seen = _partial(places, _matrix(first, width), others, _matrix(k.flatten(), width), _matrix(v.flatten(), width), heads, fixed, causal)
                 at = np.nonzero(seen)[0]
                 lists = (pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in (np.ascontiguousarray(top.T[at]), np.ascontiguousarray(mass.T[at]), total[at]))
-                yield pa.RecordBatch.from_arrays([s.take(pa.array(np.zeros(len(at), int))), pa.array(places[at]), pa.array(at), *lists], names=schema.names)
+                made.append(pa.RecordBatch.from_arrays([s.take(pa.array(np.zeros(len(at), int))), pa.array(places[at]), pa.array(at), *lists], names=schema.names))
+            # Short sequences give few rows each; together they are one batch.
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches() if made else ()
 
     found = map_arrow(pairs.select("s", "qp", "q", "kp", "k", "v"), run, schema)
     # Positions may repeat: the place within the block tells them apart.
     met = found.groupBy("s", "p", "i").agg(F.collect_list(F.struct("top", "mass", "total")).alias("x"))
-    part = F.size(F.col("x")[0]["total"]) / heads
-
-    def over(h):
-        """(greatest score, mass) of a head over all blocks of keys."""
-        top = F.array_max(F.transform("x", lambda x: F.get(x["top"], h)))
-        return let(top, lambda t: F.struct(t.alias("top"), F.aggregate("x", F.lit(0.0), lambda a, x: a + F.get(x["mass"], h) * F.exp(F.get(x["top"], h) - t)).alias("mass")))
-
-    whole = met.withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), over)).withColumn("w", part.cast("int"))
-    # Each block's sum is brought to the common top, then sums are added place by place.
-    scaled = F.transform("x", lambda x: F.transform(x["total"], lambda t, c: let(F.floor(c / F.col("w")).cast("int"), lambda h: t * F.exp(F.get(x["top"], h) - F.get("m", h)["top"]) / F.get("m", h)["mass"])))
-    added = F.aggregate(F.slice("y", 2, F.size("y")), F.get("y", F.lit(0)), lambda a, y: F.zip_with(a, y, lambda c, d: c + d))
-    return whole.select("s", "p", scaled.alias("y"), F.transform("m", lambda m: 1 / m["mass"]).alias("top")).select(F.col("s").alias(sequence), F.col("p").alias(position), added.alias("context"), "top")
+    out = T.StructType([T.StructField(sequence, own), T.StructField(position, T.LongType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("context", "top"))])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            first, each = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            top, mass, total = (f.flatten().to_numpy(zero_copy_only=False).reshape(len(each), -1) for f in lists.flatten().flatten())
+            # What each block of keys gives is brought to the greatest score of all.
+            scale = np.exp(top - np.maximum.reduceat(top, first)[each])
+            masses = np.add.reduceat(mass * scale, first)
+            sums = np.add.reduceat(total.reshape(len(each), heads, -1) * scale[:, :, None], first) / masses[:, :, None]
+            made = (pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in (sums.reshape(len(sizes), -1), 1 / masses))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=out.names)
+
+    return map_arrow(met.select("s", "p", "x"), whole, out)
