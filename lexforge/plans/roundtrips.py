@@ -10,7 +10,7 @@ from lexforge.operators import trees as T
 from lexforge.operators import vocabulary as V
 from lexforge.plans.catalog import query
 from lexforge.plans.inventory import _place
-from lexforge.runtime import stage_table, table
+from lexforge.runtime import dealt, stage_table, table
 from lexforge.sources import files, sinks
 
 BLANK = r"[\x20\t\n\r\f\x0b]+"
@@ -115,7 +115,7 @@ _LOC = "(loc (((fname (InFile f.v))(line_nb 1)(bol_pos 0)(line_nb_last 1)(bol_po
 def _shaped(spark, sf_dir, shape: str, *places: int):
     """A tree for each part, with the places moved by the part's size."""
     at = [F.col("p_size") + p for p in places]
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.format_string(shape.replace("LOC", _LOC), *at).alias("tree"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", "p_size", F.format_string(shape.replace("LOC", _LOC), *at).alias("tree"))
 
 
 @query("""
@@ -137,7 +137,7 @@ def notation_shapes(spark, sf_dir):
     plus, listed, plain = made(r'"\"_ + _\""', term(7, 8) + term(3, 4)), made(r'"\"[ _ ; .. ; _ ]\""', term(11, 12) + term(7, 8) + term(3, 4)), made('"nat"', "")
     twice = lambda x: F.lit(f"(a {x} {x})")
     k = F.col("p_size") % 3
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, twice(plus)).when(k == 1, twice(listed)).otherwise(twice(plain)).alias("tree"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, twice(plus)).when(k == 1, twice(listed)).otherwise(twice(plain)).alias("tree"))
     say = lambda n: "|".join(n.symbols).replace(" ", "~") + ":" + ",".join(str(a.place.begin) for a in n.arguments)
     return rows.select("p_partkey", T.rewritten(F.col("tree"), lambda t: [say(n) for n in S.notations(t)]).alias("said"))
 
@@ -155,7 +155,7 @@ def lexeme_forms(spark, sf_dir):
     part = lambda body, a, b: F.concat(F.lit(f"((v {body[0]}"), F.col("p_size").cast("string"), F.lit(body[1] + ")"), F.format_string(_LOC, F.col("p_size") + a, F.col("p_size") + b), F.lit(")"))
     mark = F.concat(F.lit("((v LEFTQMARK)"), F.format_string(_LOC, F.col("p_size") + 9, F.col("p_size") + 10), F.lit(")"))
     tree = F.concat(F.lit("(Sentence ("), part(('(NUMERAL ((int ', ')(frac "")(exp "")))'), 0, 2), part(('(IDENT "w', '")'), 3, 4), mark, F.lit("))"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
     return rows.select("p_partkey", T.rewritten(F.col("tree"), lambda t: [f"{x.content}:{x.place.begin}:{x.place.end}" for x in S.lexemes(t)]).alias("lexemes"))
 
 
@@ -167,7 +167,7 @@ def command_words(spark, sf_dir):
     """How many words at the start of a sentence belong to the longest command that it begins with."""
     k, prefixes = F.col("p_size") % 4, S.Prefixes(_COMMANDS)
     tree = F.when(k == 0, "(Add ML Path x)").when(k == 1, "(Add x ML)").when(k == 2, "(x Add)").otherwise("(Qed Qed)")
-    rows = table(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
     return rows.select("p_partkey", T.rewritten(F.col("tree"), lambda t: [str(prefixes.count(t))]).alias("words"))
 
 
@@ -183,4 +183,4 @@ def child_access(spark, sf_dir):
         except S.Mismatch:
             return ["none"]
 
-    return table(spark, sf_dir, "part").select("p_partkey", T.rewritten(tree, child).alias("child"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", T.rewritten(tree, child).alias("child"))

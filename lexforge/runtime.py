@@ -43,6 +43,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows that take long, dealt evenly over as many tasks as there are cores, or more if its scan has more.
+
+    A few megabytes hold a million rows, which are one split, or several of
+    which one has the only row group: the number of splits says nothing of
+    them. Filters and column pruning pass; make long columns from it only then.
+    """
+    df = table(spark, sf_dir, name)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table whose rows take long, spread over the cores."""
     return spread(table(spark, sf_dir, name))
