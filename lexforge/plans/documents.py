@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import syntax as S
 from lexforge.plans.catalog import query
-from lexforge.runtime import table
+from lexforge.runtime import dealt
 
 #: The document, with a name that is replaced by one of the same length for each part.
 NAME = "add_000"
@@ -50,7 +50,7 @@ def documents(spark, sf_dir):
     made = lambda text: F.replace(F.lit(text), F.lit(NAME), name)
     ast = F.when(F.col("p_partkey") % 10 == 0, "(").otherwise(made(_syntax_trees()))
     path = F.concat(F.lit("dir/p"), F.col("p_partkey").cast("string"), F.lit(".v"))
-    return table(spark, sf_dir, "part").select(path.alias("path"), made(SOURCE).alias("source"), ast.alias("ast"), made(_token_trees()).alias("tok"))
+    return dealt(spark, sf_dir, "part").select(path.alias("path"), made(SOURCE).alias("source"), ast.alias("ast"), made(_token_trees()).alias("tok"))
 
 
 _P = "WITH p AS (SELECT p_partkey, 'dir/p' || p_partkey || '.v' AS path, 'l' || lpad(p_partkey::VARCHAR, 6, '0') AS name, p_partkey % 10 = 0 AS failed FROM part)\n"
@@ -80,5 +80,5 @@ def definition_collection(spark, sf_dir):
     name = F.concat(F.lit("d"), F.col("p_partkey").cast("string"))
     plain = F.concat(F.lit(f"((v (VernacExpr () (VernacDefinition (NoDischarge Definition) (((v (Name (Id "), name, F.lit(f"))){_loc(0, 1)}) z) z))){_loc(0, 9)})"))
     other = F.when(F.col("p_size") % 3 == 1, _command("(VernacDefinition (NoDischarge Example) z)")).otherwise(_command("(VernacDefinition (NoDischarge Definition) z)"))
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("dir/p"), F.col("p_partkey").cast("string"), F.lit(".v")).alias("path"), F.when(F.col("p_size") % 3 == 0, plain).otherwise(other).alias("ast"))
+    rows = dealt(spark, sf_dir, "part").select(F.concat(F.lit("dir/p"), F.col("p_partkey").cast("string"), F.lit(".v")).alias("path"), F.when(F.col("p_size") % 3 == 0, plain).otherwise(other).alias("ast"))
     return S.collect_definitions(rows).filter("error IS NULL").select("path", "name")

@@ -8,6 +8,7 @@ from lexforge.plans import catalog
 
 LONG_ROWS = [
     "term_spans",
+    "document_tokens",
 ]
 
 
