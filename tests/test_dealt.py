@@ -9,6 +9,7 @@ from lexforge.plans import catalog
 LONG_ROWS = [
     "term_spans",
     "document_tokens",
+    "lemma_collection",
 ]
 
 
