@@ -8,13 +8,13 @@ from lexforge.operators import chop, subtokens
 from lexforge.operators import decode as D
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
-from lexforge.runtime import stage_table, table, texts
+from lexforge.runtime import dealt, stage_table, table, texts
 
 
 def part_trees(spark, sf_dir):
     """Trees built from the columns of parts, some with deeper chains."""
     deep = F.concat(F.repeat(F.lit("(GProd x y "), F.col("p_size") % 12), F.lit("(GApp (GRef (ConstRef c) ()) (Id "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("))"), F.repeat(F.lit(")"), F.col("p_size") % 12))
-    return table(spark, sf_dir, "part").select("p_partkey", deep.alias("tree"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", deep.alias("tree"))
 
 
 _TREES = "WITH t AS (SELECT p_partkey, p_size % 12 AS k, repeat('(GProd x y ', (p_size % 12)::BIGINT) || '(GApp (GRef (ConstRef c) ()) (Id ' || replace(p_brand, '#', '') || '))' || repeat(')', (p_size % 12)::BIGINT) AS tree FROM part), k AS (SELECT p_partkey, k, tree, regexp_extract_all(tree, '[()]|[^\\s()]+') AS toks FROM t)\n"

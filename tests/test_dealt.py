@@ -10,6 +10,7 @@ LONG_ROWS = [
     "term_spans",
     "document_tokens",
     "lemma_collection",
+    "tree_levels_all",
 ]
 
 
