@@ -11,6 +11,7 @@ LONG_ROWS = [
     "document_tokens",
     "lemma_collection",
     "tree_levels_all",
+    "notation_shapes",
 ]
 
 
