@@ -13,7 +13,7 @@ from lexforge.operators import ordering as O
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
 from lexforge.plans.structure import _CUT_SQL, _TREES, part_trees
-from lexforge.runtime import stage_root, table
+from lexforge.runtime import dealt, stage_root, table
 from lexforge.sources import files, sinks
 
 #: A part's brand without its mark, as the trees have it.
@@ -58,7 +58,7 @@ def tree_collect_modify(spark, sf_dir):
 def tree_template(spark, sf_dir):
     """Trees under templates that keep, remove and replace; a single child takes its list's place."""
     t = F.concat(F.lit("(Id "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" "), F.col("p_size").cast("string"), F.lit(")"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.rewritten(t, lambda x: T.apply_template(x, ["R", "K", "Unew"])).alias("changed"), T.rewritten(t, lambda x: T.apply_template(x, ["R", "K", "R"])).alias("single"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", T.rewritten(t, lambda x: T.apply_template(x, ["R", "K", "Unew"])).alias("changed"), T.rewritten(t, lambda x: T.apply_template(x, ["R", "K", "R"])).alias("single"))
 
 
 @query(f"""
@@ -67,7 +67,7 @@ def tree_statement_levels(spark, sf_dir):
     """Statements without their command, kind and name, and their first syntax level."""
     brand = F.replace("p_brand", F.lit("#"), F.lit(""))
     t = F.concat(F.lit("(VernacExpr () (V Lemma (((nm (Id "), brand, F.lit(") (CRef (Id c) ())) rest) more) z))"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.rewritten(t, lambda x: chop.level(x, "syntax-0")).alias("bare"), T.rewritten(t, lambda x: chop.level(x, "syntax-1")).alias("first"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", T.rewritten(t, lambda x: chop.level(x, "syntax-0")).alias("bare"), T.rewritten(t, lambda x: chop.level(x, "syntax-1")).alias("first"))
 
 
 @query(_TREES + """
@@ -91,7 +91,7 @@ def input_projection(spark, sf_dir):
     first, last = F.left("p_name", F.lit(1)), F.right("p_name", F.lit(1))
     tree = F.concat(F.lit("(a (b c ()) (d "), first, F.lit("))"))
     none = F.lit(None).cast("string")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(first, last).alias("statement"), tree.alias("kernel"), F.when(F.col("p_size") % 5 == 0, "((").otherwise(none).alias("syntax"), F.create_map().cast("map<string,string>").alias("context"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", F.array(first, last).alias("statement"), tree.alias("kernel"), F.when(F.col("p_size") % 5 == 0, "((").otherwise(none).alias("syntax"), F.create_map().cast("map<string,string>").alias("context"))
     out = inputs.project_inputs(rows, ["s", "bsexp", "bsexpnp", "fsexp"])
     said = lambda c: F.array_join(F.col(f"`src.{c}`"), " ")
     return out.select("p_partkey", said("s").alias("statement"), said("bsexp").alias("whole"), said("bsexpnp").alias("leaves"), F.col("input_error").isNotNull().alias("wrong"))

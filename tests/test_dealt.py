@@ -12,6 +12,7 @@ LONG_ROWS = [
     "lemma_collection",
     "tree_levels_all",
     "notation_shapes",
+    "tree_graph",
 ]
 
 
