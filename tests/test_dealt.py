@@ -13,6 +13,7 @@ LONG_ROWS = [
     "tree_levels_all",
     "notation_shapes",
     "tree_graph",
+    "tree_kernel_levels",
 ]
 
 
