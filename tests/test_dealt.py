@@ -14,6 +14,7 @@ LONG_ROWS = [
     "notation_shapes",
     "tree_graph",
     "tree_kernel_levels",
+    "definition_collection",
 ]
 
 
