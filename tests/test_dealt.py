@@ -15,6 +15,7 @@ LONG_ROWS = [
     "tree_graph",
     "tree_kernel_levels",
     "definition_collection",
+    "random_prune_hash",
 ]
 
 
