@@ -16,6 +16,7 @@ LONG_ROWS = [
     "tree_kernel_levels",
     "definition_collection",
     "random_prune_hash",
+    "lexeme_forms",
 ]
 
 
