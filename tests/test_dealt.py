@@ -17,6 +17,7 @@ LONG_ROWS = [
     "definition_collection",
     "random_prune_hash",
     "lexeme_forms",
+    "tree_collect_modify",
 ]
 
 
