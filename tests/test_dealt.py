@@ -18,6 +18,7 @@ LONG_ROWS = [
     "random_prune_hash",
     "lexeme_forms",
     "tree_collect_modify",
+    "node_arrays",
 ]
 
 
