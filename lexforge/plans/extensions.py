@@ -12,7 +12,7 @@ from lexforge.operators import inputs
 from lexforge.operators import trees as T
 from lexforge.plans.catalog import query
 from lexforge.plans.structure import _TREES, part_trees
-from lexforge.runtime import stage_root, table
+from lexforge.runtime import dealt, stage_root, table
 from lexforge.sources import config, sinks
 from lexforge.streaming import stateful
 
@@ -119,7 +119,7 @@ def configuration_checks(spark, sf_dir):
             made = [inputs.ModelConfig.from_options(dict(o)) for o in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.name for m in made]), pa.array([",".join(m.problems()) for m in made])], names=["p_partkey", "name", "problems"])
 
-    rows = table(spark, sf_dir, "part").select("p_partkey", given.alias("options"))
+    rows = dealt(spark, sf_dir, "part").select("p_partkey", given.alias("options"))
     return rows.mapInArrow(check, f"p_partkey {rows.schema['p_partkey'].dataType.simpleString()}, name string, problems string")
 
 

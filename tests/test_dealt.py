@@ -19,6 +19,7 @@ LONG_ROWS = [
     "lexeme_forms",
     "tree_collect_modify",
     "node_arrays",
+    "configuration_checks",
 ]
 
 
