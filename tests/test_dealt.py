@@ -20,6 +20,7 @@ LONG_ROWS = [
     "tree_collect_modify",
     "node_arrays",
     "configuration_checks",
+    "tree_canonical",
 ]
 
 
