@@ -11,7 +11,7 @@ from lexforge.functions import kernels as K
 from lexforge.operators import ordering as O
 from lexforge.operators.ordering import top_per_group
 from lexforge.plans.catalog import query
-from lexforge.runtime import BROADCAST_ROWS, table
+from lexforge.runtime import BROADCAST_ROWS, dealt, table
 
 VS = "list_transform(embedding, lambda x: x::DOUBLE)"
 
@@ -55,7 +55,7 @@ SELECT p_partkey, round(CASE WHEN h1 = 0 THEN 0 ELSE (CASE WHEN c < r THEN exp(1
   ln(h1::DOUBLE / c) + {" + ".join(f"ln((h{n} + 1)::DOUBLE / (greatest(c - {n - 1}, 0) + 1))" for n in range(2, 5))}) / 4) END, 6) AS bleu4 FROM h""")
 def bleu_score(spark, sf_dir):
     """Character BLEU-4 of two names; tests hold it against counters."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(K.bleu4(K.characters("p_name"), K.characters("p_type")), 6).alias("bleu4"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.round(K.bleu4(K.characters("p_name"), K.characters("p_type")), 6).alias("bleu4"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(((5.0::DOUBLE + l_quantity) / 6.0::DOUBLE) ** 0.9, 6) AS wu, l_quantity AS average, 1.0::DOUBLE AS none FROM lineitem")

@@ -21,6 +21,7 @@ LONG_ROWS = [
     "node_arrays",
     "configuration_checks",
     "tree_canonical",
+    "bleu_score",
 ]
 
 
