@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import kernels as K
 from lexforge.operators import ordering as O
+from lexforge.operators import tiles as TL
 from lexforge.operators.ordering import top_per_group
 from lexforge.plans.catalog import query
-from lexforge.runtime import BROADCAST_ROWS, dealt, table
+from lexforge.runtime import BROADCAST_ROWS, bounded_batches, dealt, table
 
 VS = "list_transform(embedding, lambda x: x::DOUBLE)"
 
@@ -125,18 +126,32 @@ SELECT q, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PA
 def dot_score_topk(spark, sf_dir):
     """The five vectors with the highest dot product for each query: the vectors with an id divisible by 50.
 
-    Queries are sent to all tasks in blocks of ``BROADCAST_ROWS`` or so; each block meets all rows.
+    Queries are sent to all tasks in blocks of ``BROADCAST_ROWS`` or so; each block meets all rows,
+    as tiles of vectors (``tile_top``). What is no vector of 64 plain numbers meets the rest one by one.
     """
-    e = vectors(spark, sf_dir)
-    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), doubles().alias("a"))
-    blocks = max(1, -(-queries.count() // BROADCAST_ROWS))
-
-    def best(block: int):
-        q = F.broadcast(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block))
-        scored = q.crossJoin(e.select("vec_id", doubles().alias("b"))).select("q", "vec_id", K.dot(F.col("a"), F.col("b")).alias("score"))
-        return top_per_group(scored, ["q"], [F.desc("score"), F.asc("vec_id")], 5)
-
-    return reduce(lambda a, b: a.unionByName(b), map(best, range(blocks))).withColumn("score", F.round("score", 5))
+    e = dealt(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    plain = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") == 64) & F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < 1e100, F.lit(False))), F.lit(False))
+    asked = F.col("vec_id") % 50 == 0
+    blocks = max(1, -(-e.filter(asked).count() // BROADCAST_ROWS))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    kind = e.schema["vec_id"].dataType
+    rows = bounded_batches(TL.tiles(e.filter(plain), "vec_id", "embedding", 64, 2048, "ids", "vectors"))
+
+    def best(k: int):
+        q = F.broadcast(TL.tiles(e.filter(asked & plain & (block == k)), "vec_id", "embedding", 64, 512, "q_ids", "q_vectors"))
+        return TL.tile_top(q.crossJoin(rows), "q_ids", "q_vectors", "ids", "vectors", 64, 5).select(F.col("q").cast(kind).alias("q"), F.col("id").cast(kind).alias("vec_id"), "score")
+
+    def one_by_one(queries, among):
+        q = F.broadcast(queries.select(F.col("vec_id").alias("q"), doubles().alias("a")))
+        return q.crossJoin(among.select("vec_id", doubles().alias("b"))).select("q", "vec_id", K.dot(F.col("a"), F.col("b")).alias("score"))
+
+    found = list(map(best, range(blocks)))
+    if not e.filter(~plain).isEmpty():
+        for k in range(blocks):
+            own = e.filter(asked & (block == k))
+            found += [one_by_one(own.filter(~plain), e), one_by_one(own.filter(plain), e.filter(~plain))]
+    scored = reduce(lambda a, b: a.unionByName(b), found)
+    return top_per_group(scored, ["q"], [F.desc("score"), F.asc("vec_id")], 5).withColumn("score", F.round("score", 5))
 
 
 @query("""
