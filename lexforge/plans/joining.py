@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import joins as J
 from lexforge.plans.catalog import query
-from lexforge.runtime import checked_broadcast, stage_table, table
+from lexforge.runtime import checked_broadcast, parts_of, stage_table, table
 
+#: Documents of a task that counts their words.
+DOCUMENTS = 2_000
 TERMS = r"[\x20\t\n\r\f\x0b]+"
 
 
@@ -195,13 +197,15 @@ def multiset_intersection(spark, sf_dir):
     """Size of the bag intersection of each document with each benchmark item that it shares a word with.
 
     Whole texts of all rows. The items of a word are listed beside it, and the
-    documents are dealt by doc_id once, so that both counts stay in their tasks.
+    documents are dealt by doc_id once, so that both counts stay in their tasks,
+    of some ``DOCUMENTS`` each.
     """
     words = lambda df: df.select(df.columns[0], F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
     counts = words(table(spark, sf_dir, "benchmark").select("item_id", "text")).groupBy("item_id", "w").agg(F.count("*").alias("m"))
     items = stage_table(counts.groupBy("w").agg(F.collect_list(F.struct("item_id", "m")).alias("items")), "items")
     known = checked_broadcast(items, items.count())
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.repartition(parts_of(spark, docs.count(), DOCUMENTS), "doc_id")
     said = words(docs).join(known.select("w"), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     met = said.join(known, "w").select("doc_id", "n", F.explode("items").alias("item"))
     return met.groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.sum(F.least("n", "item.m")).alias("shared"))

@@ -54,6 +54,14 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
 
 
+def parts_of(spark: SparkSession, rows: int, each: int) -> int:
+    """Shuffle partitions for ``rows``: those of the session, or so many that none gets far more than ``each``.
+
+    With a number that does not grow with its rows, a task sorts and counts ever more of them in memory.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table whose rows take long, spread over the cores."""
     return spread(table(spark, sf_dir, name))
