@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lexforge.operators.ordering import with_position
 from lexforge.operators.scan import Layer, scan
-from lexforge.runtime import col, fresh, stage_table
+from lexforge.runtime import col, fresh, parts_of, stage_table
+
+#: Points of a task of an interval join.
+POINTS = 250_000
 
 
 def first_match(left: DataFrame, right: DataFrame, on: str, order: list[Column]) -> DataFrame:
@@ -41,14 +44,18 @@ def contained_in_first(points: DataFrame, spans: DataFrame, by: list[str], width
     Spans with more than one token beat those with one, then the lower number wins.
     An interval join on bins: a span is listed in each bin it touches, a point only in
     the bin where it begins, so a pair meets once. Equal points each keep their row.
+    A task has some ``POINTS`` of them, however many there are.
     """
     row = fresh(points, "row")
     bins = F.explode(F.sequence(F.floor(F.col("span_begin") / width), F.floor(F.col("span_end") / width)))
     s = spans.withColumn("_lf_bin", bins)
-    p = _numbered(points, row).withColumn("_lf_bin", F.floor(F.col("begin") / width)).withColumn("_lf_point", F.struct(*points.columns))
+    numbered = _numbered(points, row)
+    n, keys = parts_of(points.sparkSession, numbered.count(), POINTS), [*by, "_lf_bin"]
+    s = s.repartition(n, *map(col, keys))
+    p = numbered.withColumn("_lf_bin", F.floor(F.col("begin") / width)).withColumn("_lf_point", F.struct(*points.columns)).repartition(n, *map(col, keys))
     cond = reduce(lambda a, b: a & b, [p[k].eqNullSafe(s[k]) for k in by]) & (p["_lf_bin"] == s["_lf_bin"]) & (s["span_begin"] <= p["begin"]) & (s["span_end"] >= p["end"])
     met = p.join(s.drop(*[c for c in s.columns if c in points.columns and c not in by]), cond, "left").select(row, "_lf_point", "span_no", "span_begin", "span_end", "one_token")
-    best = met.groupBy(row).agg(F.first("_lf_point").alias("_lf_point"), F.min(F.when(F.col("span_no").isNotNull(), F.struct("one_token", "span_no", "span_begin", "span_end"))).alias("b"))
+    best = met.repartition(n, row).groupBy(row).agg(F.first("_lf_point").alias("_lf_point"), F.min(F.when(F.col("span_no").isNotNull(), F.struct("one_token", "span_no", "span_begin", "span_end"))).alias("b"))
     return best.select("_lf_point.*", F.col("b.span_no").alias("span_no"), F.col("b.span_begin").alias("span_begin"), F.col("b.span_end").alias("span_end"))
 
 

@@ -94,3 +94,16 @@ def test_hypothesis_back_trace_takes_all_lines(spark, tmp_path):
                 step -= 1
             want.append((example, " ".join(tokens)))
     assert got == sorted(want) and max(last.values()) == 7
+
+
+def test_tasks_of_joins_do_not_grow_with_their_rows(spark, sf_dir, monkeypatch):
+    from lexforge.operators import joins
+    from lexforge.plans import joining
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(joining, "DOCUMENTS", 10)
+    assert "RepartitionByExpression [doc_id" in plan(joining.multiset_intersection(spark, sf_dir)) and f", {-(-docs.count() // 10)}" in plan(joining.multiset_intersection(spark, sf_dir))
+    monkeypatch.setattr(joins, "POINTS", 100)
+    points = docs.selectExpr("sum(ceil(length(text) / 50))").first()[0]
+    assert plan(joining.interval_token_join(spark, sf_dir)).count(f", {-(-points // 100)}\n") >= 3
