@@ -43,15 +43,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a task of ``dealt`` at most, so that tasks do not get longer with the table.
+DEALT_ROWS = 50_000
+
+
 def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of short rows that take long, dealt evenly over as many tasks as there are cores, or more if its scan has more.
+    """A table of short rows that take long, dealt evenly over as many tasks as there are cores, or more if its scan or its rows ask for more.
 
     A few megabytes hold a million rows, which are one split, or several of
     which one has the only row group: the number of splits says nothing of
-    them. Filters and column pruning pass; make long columns from it only then.
+    them. The cores are those that are there when the plan is made, before
+    late executors, so that the rows are counted too (by the footers of the
+    files). Filters and column pruning pass; make long columns from it only then.
     """
     df = table(spark, sf_dir, name)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions(), -(-df.count() // DEALT_ROWS)))
 
 
 def parts_of(spark: SparkSession, rows: int, each: int) -> int:
