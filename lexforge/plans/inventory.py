@@ -41,8 +41,8 @@ def tree_depth_cut(spark, sf_dir):
 SELECT p_partkey, '(<GApp> c ' || brand || ')' AS second, repeat('(<GProd> x', k::BIGINT) || '(<GApp>(ConstRef c) ' || brand || ')' || repeat(')', k::BIGINT) AS explicit, '(GApp(GRef(ConstRef c)())(Id ' || brand || '))' AS conclusion FROM b""")
 def tree_kernel_levels(spark, sf_dir):
     """The second kernel level, the one with explicit constants, and what stands after the products."""
-    t = F.col("tree")
-    return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(t, lambda x: chop.level(x, "kernel-2")).alias("second"), T.rewritten(t, lambda x: chop.level(x, "kernel-x")).alias("explicit"), T.rewritten(t, chop.conclusion).alias("conclusion"))
+    found = T.rewritten_all(F.col("tree"), {"second": lambda x: chop.level(x, "kernel-2"), "explicit": lambda x: chop.level(x, "kernel-x"), "conclusion": chop.conclusion})
+    return part_trees(spark, sf_dir).select("p_partkey", found.alias("found")).select("p_partkey", "found.*")
 
 
 @query(_TREES + "SELECT p_partkey, regexp_extract(tree, '\\(Id [^)]*\\)') AS hit, replace(replace(replace(tree, ' (', '('), ' y', ''), ' x', ' z') AS changed FROM t")
