@@ -48,10 +48,10 @@ def tree_kernel_levels(spark, sf_dir):
 @query(_TREES + "SELECT p_partkey, regexp_extract(tree, '\\(Id [^)]*\\)') AS hit, replace(replace(replace(tree, ' (', '('), ' y', ''), ' x', ' z') AS changed FROM t")
 def tree_collect_modify(spark, sf_dir):
     """The first subtree of a kind, and trees with one leaf taken out and another renamed."""
-    t = F.col("tree")
     wanted = lambda x: isinstance(x, list) and x[:1] == ["Id"]
     change = lambda x: T.GONE if x == "y" else "z" if x == "x" else x
-    return part_trees(spark, sf_dir).select("p_partkey", T.rewritten(t, lambda x: T.collect(x, wanted, stop=True)[0]).alias("hit"), T.rewritten(t, lambda x: T.modify(x, change)).alias("changed"))
+    found = T.rewritten_all(F.col("tree"), {"hit": lambda x: T.collect(x, wanted, stop=True)[0], "changed": lambda x: T.modify(x, change)})
+    return part_trees(spark, sf_dir).select("p_partkey", found.alias("found")).select("p_partkey", "found.*")
 
 
 @query(f"SELECT p_partkey, '(' || {_BRAND} || ' new)' AS changed, {_BRAND} AS single FROM part")

@@ -7,7 +7,7 @@ from lexforge.operators import trees as T
 from lexforge.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["tree_kernel_levels"])
+@pytest.mark.parametrize("name", ["tree_kernel_levels", "tree_collect_modify"])
 def test_one_function_makes_all_columns(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("run(") == 1
