@@ -36,3 +36,44 @@ def test_both_ways_of_parsing_agree():
         assert _outcome(T.parse_all, text) == _outcome(T._parse_lexemes, text)
         plain += T._parse_plain(text) is not None
     assert plain > 3_000
+
+
+def test_a_seed_is_hashed_once_for_all_nodes(monkeypatch):
+    made, sha256 = [], hashlib.sha256
+    monkeypatch.setattr(hashlib, "sha256", lambda x: made.append(x) or sha256(x))
+    T.prune(T.parse("(a b (c d e) f (g (h i)))"), 0.5, "s")
+    assert made == [b"s:"]
+
+
+def _pruned(tree, keep, seed):
+    """Pruning as it is defined, with a number for each node."""
+    places = iter(range(10**9))
+
+    def children(t):
+        out = []
+        for c in t:
+            kept = int(hashlib.sha256(f"{seed}:{next(places)}".encode()).hexdigest()[:16], 16) < keep * 2**64
+            below = c if isinstance(c, str) else children(c)
+            out += [below] if kept else [] if isinstance(c, str) else below
+        return out
+
+    next(places)
+    return tree if isinstance(tree, str) else children(tree)
+
+
+@pytest.mark.parametrize("keep", [0.0, 1e-30, 0.25, 0.5, 0.9, 1.0])
+def test_pruning_follows_its_definition(keep):
+    rng = random.Random(6)
+
+    def tree(depth):
+        return "ab"[rng.randrange(2)] if depth > 4 or rng.random() < 0.4 else [tree(depth + 1) for _ in range(rng.randrange(5))]
+
+    for i in range(2_000):
+        t = tree(0)
+        assert T.prune(t, keep, f"s{i}") == _pruned(t, keep, f"s{i}")
+
+
+def test_blanks_of_both_forms():
+    t = T.parse('(a (b) c ((d e) f "g h") () (() i))')
+    assert T.show(t) == '(a(b) c((d e)f "g h")()(()i))'
+    assert T.show(t, spaced=True) == '(a (b) c ((d e) f "g h") () (() i))'
