@@ -152,8 +152,12 @@ def pattern_counts(spark, sf_dir):
 @query("SELECT p_partkey, '(' || p_size || ':' || p_size || ':' || p_size + 2 || ' w' || p_size || ':' || p_size + 3 || ':' || p_size + 4 + length(p_size::VARCHAR) || ' ?:' || p_size + 9 || ':' || p_size + 10 || ')' AS lexemes FROM part")
 def lexeme_forms(spark, sf_dir):
     """Numbers, words and marks of a lexer's tokens; a token's end agrees with its length."""
-    part = lambda body, a, b: F.concat(F.lit(f"((v {body[0]}"), F.col("p_size").cast("string"), F.lit(body[1] + ")"), F.format_string(_LOC, F.col("p_size") + a, F.col("p_size") + b), F.lit(")"))
-    mark = F.concat(F.lit("((v LEFTQMARK)"), F.format_string(_LOC, F.col("p_size") + 9, F.col("p_size") + 10), F.lit(")"))
+    start, middle, end = _LOC.split("%d")
+    moved = lambda n: (F.col("p_size") + n).cast("string")
+    # Texts are put together by concat: a format would be parsed anew for each row.
+    loc = lambda a, b: F.concat(F.lit(start), moved(a), F.lit(middle), moved(b), F.lit(end))
+    part = lambda body, a, b: F.concat(F.lit(f"((v {body[0]}"), F.col("p_size").cast("string"), F.lit(body[1] + ")"), loc(a, b), F.lit(")"))
+    mark = F.concat(F.lit("((v LEFTQMARK)"), loc(9, 10), F.lit(")"))
     tree = F.concat(F.lit("(Sentence ("), part(('(NUMERAL ((int ', ')(frac "")(exp "")))'), 0, 2), part(('(IDENT "w', '")'), 3, 4), mark, F.lit("))"))
     rows = dealt(spark, sf_dir, "part").select("p_partkey", tree.alias("tree"))
     return rows.select("p_partkey", T.rewritten(F.col("tree"), lambda t: [f"{x.content}:{x.place.begin}:{x.place.end}" for x in S.lexemes(t)]).alias("lexemes"))

@@ -77,3 +77,17 @@ def test_blanks_of_both_forms():
     t = T.parse('(a (b) c ((d e) f "g h") () (() i))')
     assert T.show(t) == '(a(b) c((d e)f "g h")()(()i))'
     assert T.show(t, spaced=True) == '(a (b) c ((d e) f "g h") () (() i))'
+
+
+def test_lexemes_of_other_shapes():
+    place = "(loc (((fname (InFile f.v))(line_nb 1)(bol_pos 0)(line_nb_last 1)(bol_pos_last 0)(bp 3)(ep 4))))"
+    one = S.lexeme(T.parse(f'((v (IDENT "abc")){place})'))
+    assert one == S.Lexeme("abc", "ID", S.Place(3, 6, "f.v", 1))
+    assert S.lexeme([["v", ["IDENT", "abc"], "more"], T.parse(place), "more"]) == one
+    for bad in (f"(vx {place})", f"((w (IDENT a)){place})", "((v (IDENT a)))", f"((v){place})", "(x)", "()"):
+        with pytest.raises(S.Mismatch):
+            S.lexeme(T.parse(bad))
+
+
+def test_texts_of_lexemes_need_no_format(spark, sf_dir):
+    assert "format_string" not in catalog.queries()["lexeme_forms"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
