@@ -91,3 +91,8 @@ def test_lexemes_of_other_shapes():
 
 def test_texts_of_lexemes_need_no_format(spark, sf_dir):
     assert "format_string" not in catalog.queries()["lexeme_forms"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_canonical_tree_and_the_count_come_from_one_pass(spark, sf_dir):
+    df = catalog.queries()["tree_canonical"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("run(") == 1
