@@ -118,9 +118,15 @@ def definition_weights(spark, sf_dir):
 
 @query()
 def subtokenize_full(spark, sf_dir):
-    """Sub-tokens of the plain words of each document, in a context of its own words and the long words of all documents."""
-    names, definitions = _names_and_definitions(spark, sf_dir)
-    out = subtokens.split_documents(names, definitions, "doc_id", "at")
+    """Sub-tokens of the plain words of each document, in a context of its own words and the long words of all documents.
+
+    A document's words stay in its row; only definitions get rows of their own.
+    """
+    found = texts(spark, sf_dir).select("doc_id", "source", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("names"))
+    modules = F.array_sort(F.collect_set("source"))
+    docs = stage_table(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("names"))).alias("names"), modules.alias("modules")), "names")
+    definitions = docs.select("doc_id", F.explode(F.filter("names", lambda w: F.length(w) > 6)).alias("name")).withColumn("at", F.col("name"))
+    out = subtokens.split_gathered(docs, definitions, "at")
     return out.select("doc_id", "n", F.array_join("pieces", "|").alias("pieces"))
 
 
