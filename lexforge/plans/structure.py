@@ -125,7 +125,7 @@ def subtokenize_full(spark, sf_dir):
     found = texts(spark, sf_dir).select("doc_id", "source", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("names"))
     modules = F.array_sort(F.collect_set("source"))
     docs = stage_table(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("names"))).alias("names"), modules.alias("modules")), "names")
-    definitions = docs.select("doc_id", F.explode(F.filter("names", lambda w: F.length(w) > 6)).alias("name")).withColumn("at", F.col("name"))
+    definitions = docs.select("doc_id", F.explode("names").alias("name")).filter(F.length("name") > 6).withColumn("at", F.col("name"))
     out = subtokens.split_gathered(docs, definitions, "at")
     return out.select("doc_id", "n", F.array_join("pieces", "|").alias("pieces"))
 
